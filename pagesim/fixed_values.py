@@ -51,11 +51,8 @@ LOOKUP_SKIPPED = "skipped"
 UNVERIFIED_SOURCE = "phishtank_unverified"
 SIGNATURE_SOURCE = "signature-local"
 SKIPPED_MESSAGE = "URL not found in PhishTank database, NCD analysis skipped"
-ERROR_NO_DOM = (
-    "Unable to extract DOM from URL. Please check if ChromeDriver is configured correctly "
-    "and the URL is accessible."
-)
-ERROR_NO_PROTOTYPES = "No prototypes available. Run tools/build_prototypes.py first."
+ERROR_NO_DOM = "Unable to extract DOM from URL."
+ERROR_NO_PROTOTYPES = "No prototypes available."
 
 # Certificate probe answers, first matching keyword wins.
 SSL_MESSAGES = [
