@@ -147,7 +147,8 @@ def html_tokens(df: DataFrame, fields=("tags",), html: str = "html",
     if engine != "parser":
         raise ValueError(f"unknown engine {engine!r}")
 
-    kept = [f for f in df.schema.fields if keep_html or f.name != html]
+    replaced = {*fields, "parse_error"} | (set() if keep_html else {html})
+    kept = [f for f in df.schema.fields if f.name not in replaced]
     schema = T.StructType(
         kept + [T.StructField(f, PAGE_FIELDS[f]) for f in fields]
         + [T.StructField("parse_error", T.StringType())]

@@ -318,7 +318,7 @@ def _cluster_rounds(k: int) -> str:
 ORACLE["fpf_cluster_l2"] = sql(VECTORS, MEANS, _cluster_rounds(4), select="""
 SELECT 1::BIGINT AS cluster, key AS idx, NULL::DOUBLE AS cover_distance, NULL::DOUBLE AS variance_before, NULL::DOUBLE AS variance_after FROM k1
 """ + "".join(f"""UNION ALL SELECT {i}, key, round(cover, 6), (SELECT round(var_pop(d), 6) FROM d{i - 1}), (SELECT round(var_pop(d), 6) FROM d{i}) FROM k{i}
-WHERE (SELECT bool_and(gain >= 0) FROM (VALUES {", ".join(f"((SELECT var_pop(d) FROM d{j - 1}) - (SELECT var_pop(d) FROM d{j}))" for j in range(2, i + 1))}) t(gain))
+WHERE (SELECT bool_and(gain >= -1) FROM (VALUES {", ".join(f"((SELECT var_pop(d) FROM d{j - 1}) - (SELECT var_pop(d) FROM d{j}))" for j in range(2, i + 1))}) t(gain))
 """ for i in range(2, 5)))
 ORACLE["cover_variance_l2"] = sql(VECTORS, """
 near AS (SELECT v.idx, c.idx AS centre, list_distance(v.e, c.e) AS d FROM v JOIN v c ON c.idx IN (0, 1, 2))""", """

@@ -318,7 +318,7 @@ def prototype_build_summary(spark, sf):
 
 @query
 def fpf_cluster_l2(spark, sf):
-    out = P.fpf_cluster(I.vectors(spark, sf), min_variance_gain=0.0, distance="l2")
+    out = P.fpf_cluster(I.vectors(spark, sf), min_variance_gain=-1.0, distance="l2")
     return out.select(F.col("cluster").cast("bigint").alias("cluster"), "idx",
                       *r6("cover_distance", "variance_before", "variance_after"))
 
@@ -644,7 +644,8 @@ def detection_metrics(spark, sf):
 
 def _event_stream(spark, sf):
     schema = I.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _check_stream(spark, sf):

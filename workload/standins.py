@@ -77,8 +77,8 @@ def feed_raw(spark: SparkSession, sf: str) -> DataFrame:
 def feed_log(spark: SparkSession, sf: str) -> DataFrame:
     """``feed_raw`` and then one resubmission per event: hot urls, hot ids and collisions on
     both keys."""
-    events = url_checks(spark, sf, ["value", "event_type"])
-    again = events.select(
+    checks = url_checks(spark, sf, ["value", "event_type"])
+    again = checks.select(
         (F.lit(1000000) + F.floor("value")).cast("bigint").alias("phish_id"), "url",
         F.concat(F.lit("detail/"), F.col("event_id").cast("string")).alias("phish_detail_url"),
         _stamp(F.col("event_id")).alias("submission_time"),
@@ -94,11 +94,16 @@ def feed(spark: SparkSession, sf: str) -> DataFrame:
     return replace_signatures(filter_feed(feed_raw(spark, sf)), updated_at=F.lit("2024-06-01"))
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """The files hold times without a zone; they are UTC."""
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def url_checks(spark: SparkSession, sf: str, extra: list[str] = []) -> DataFrame:
     """One check per event, of the page its user looks at."""
-    events = table(spark, sf, "events").select("event_id", "ts", "user_id", *extra)
+    e = events(spark, sf).select("event_id", "ts", "user_id", *extra)
     p = table(spark, sf, "pages").select(F.col("page_id").alias("user_id"), "url")
-    return events.join(p, "user_id").select("event_id", "ts", "url", *extra)
+    return e.join(p, "user_id").select("event_id", "ts", "url", *extra)
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +184,7 @@ def snapshots(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Click events as feedback on the detection of their own id; other events name ids nobody
     knows."""
-    e = table(spark, sf, "events")
+    e = events(spark, sf)
     known = F.col("event_type") == "click"
     return e.select(
         F.when(known, F.col("event_id")).otherwise(F.col("event_id") + 1000000000).cast("string").alias("id"),
