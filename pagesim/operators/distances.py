@@ -148,7 +148,7 @@ def grid_scores(cands: DataFrame, others: DataFrame, key: str, payload: str = "d
 
     def cell(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
         if lhs.empty or rhs.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame([], columns=names)
         rhs = rhs.sort_values([set_col, order_col], kind="stable").reset_index(drop=True)
         targets = [k.prepare(p) for p in rhs["payload"]]
         parts = [(name, list(at)) for name, at in rhs.groupby(set_col, sort=False).indices.items()]
