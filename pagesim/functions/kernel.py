@@ -7,8 +7,6 @@ of n candidates against m prototypes costs n + m + n*m compressions."""
 from __future__ import annotations
 
 import lzma
-from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,11 +31,6 @@ def compressed_size(data: bytes) -> int:
     return len(lzma.compress(data, format=lzma.FORMAT_XZ, filters=chain))
 
 
-def _ncd_prepare(data):
-    data = bytes(data)
-    return data, compressed_size(data)
-
-
 def _ncd_pair(first, second):
     joined = compressed_size(first[0] + second[0])
     low, high = sorted((first[1], second[1]))
@@ -62,16 +55,53 @@ def _l2_pair(first, second):
     return float(np.sqrt(np.dot(gap, gap)))
 
 
-@dataclass(frozen=True)
 class Kernel:
-    prepare: Callable
-    pair: Callable          # pair(first, second): argument order matters to ncd
+    """One distance: ``pair(first, second)`` over prepared payloads, in that order."""
+
+    def __init__(self, name, measure, prepare, pair):
+        self.name, self.measure, self._prepare, self.pair = name, measure, prepare, pair
+
+    def prepare(self, payload, size=None):
+        """What ``pair`` takes; ``size`` is the payload's ``measure`` if it is already known."""
+        if self.measure is None:
+            return self._prepare(payload)
+        data = self._prepare(payload)
+        return data, self.measure(data) if size is None else int(size)
+
+    def triangle(self, payloads, apart=None) -> np.ndarray:
+        """Distances i < j of one block as a matrix, NaN elsewhere.
+
+        With ``apart`` only pairs whose entries there differ are measured. Repeated payloads
+        are measured once."""
+        n = len(payloads)
+        out = np.full((n, n), np.nan)
+        apart = None if apart is None else np.asarray(apart)
+        if self.name == "l2":
+            points = np.stack([self._prepare(p) for p in payloads])
+            for i in range(n - 1):
+                out[i, i + 1:] = np.sqrt(((points[i + 1:] - points[i]) ** 2).sum(axis=1))
+            if apart is not None:
+                out[apart[:, None] == apart[None, :]] = np.nan
+            return out
+        ids = {}
+        which = [ids.setdefault(memo_key(p), len(ids)) for p in payloads]
+        distinct = [self.prepare(key) for key in ids]
+        seen = {}
+        for i in range(n):
+            for j in range(i + 1, n):
+                if apart is not None and apart[i] == apart[j]:
+                    continue
+                pair = which[i], which[j]
+                if pair not in seen:
+                    seen[pair] = self.pair(distinct[pair[0]], distinct[pair[1]])
+                out[i, j] = seen[pair]
+        return out
 
 
 _KERNELS = {
-    "ncd": Kernel(_ncd_prepare, _ncd_pair),
-    "tag_jaccard": Kernel(_jaccard_prepare, _jaccard_pair),
-    "l2": Kernel(_l2_prepare, _l2_pair),
+    "ncd": Kernel("ncd", compressed_size, bytes, _ncd_pair),
+    "tag_jaccard": Kernel("tag_jaccard", None, _jaccard_prepare, _jaccard_pair),
+    "l2": Kernel("l2", None, _l2_prepare, _l2_pair),
 }
 
 
@@ -82,6 +112,11 @@ def kernel(distance: str) -> Kernel:
     return _KERNELS[distance]
 
 
+def payload_size(payload: Column, distance: str) -> Column:
+    """The part of preparing that is worth keeping as a column: C(x) for ncd."""
+    return csize(payload) if distance == "ncd" else F.lit(None).cast("bigint")
+
+
 def memo_key(payload):
     """A hashable stand-in for a payload, to measure repeated payloads of a batch once."""
     return payload.tobytes() if isinstance(payload, np.ndarray) else bytes(payload)
@@ -112,11 +147,12 @@ def tag_jaccard(x: Column, y: Column) -> Column:
 def register_kernels(spark: SparkSession) -> None:
     """``csize(x)`` and ``ncd(x, y)`` for SQL."""
     spark.udf.register("csize", csize)
+    measured = kernel("ncd")
 
     @F.pandas_udf(T.DoubleType())
     def ncd_udf(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([
-            None if a is None or b is None else _ncd_pair(_ncd_prepare(a), _ncd_prepare(b))
+            None if a is None or b is None else measured.pair(measured.prepare(a), measured.prepare(b))
             for a, b in zip(x, y)
         ], dtype="float64")
 

@@ -11,6 +11,7 @@ import math
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from ..session import bounded_rows
 MAX_BROADCAST_ROWS = 2000
 MAX_BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS = 256
+SMALLEST_BLOCK = 32
 BLOCK_BYTES = 16 << 20
 
 
@@ -105,24 +107,41 @@ def prototype_distances(cands: DataFrame, protos: DataFrame, key: str = "page_id
 
 # --- the grid -----------------------------------------------------------------------------
 
-def _blocks(df: DataFrame, payload: str, block_rows: int) -> int:
-    """How many blocks keep both the rows and the bytes of a block small."""
+def _size_columns(df: DataFrame, payload: str) -> list[Column]:
     is_binary = isinstance(df.schema[payload].dataType, T.BinaryType)
     size = F.sum(F.octet_length(payload)) if is_binary else F.lit(0)
-    n, total = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    return max(1, math.ceil(n / block_rows), math.ceil(total / BLOCK_BYTES))
+    return [F.count("*").alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")]
+
+
+def _blocks(rows: int, size: int, cells_wanted: int, block_rows: int | None) -> int:
+    """Blocks of one side: small enough in rows and bytes, and enough of them that the cells
+    keep every core busy even when the data is tiny but each pair is costly."""
+    least = math.ceil(rows / (block_rows or BLOCK_ROWS))
+    if block_rows is None:
+        least = max(least, min(math.ceil(math.sqrt(cells_wanted)), math.ceil(rows / SMALLEST_BLOCK)))
+    return max(1, least, math.ceil(size / BLOCK_BYTES))
+
+
+def _cell_partitions(spark, cells: int) -> int:
+    """Tasks for the cells. Given explicitly: by bytes, adaptive execution would merge cells
+    that are small to ship but long to compute."""
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    return max(1, min(2 * cells, most))
 
 
 def grid_scores(cands: DataFrame, others: DataFrame, key: str, payload: str = "dom",
                 distance: str = "ncd", set_col: str = "label", order_col: str = "idx",
-                carry: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+                carry: tuple[str, ...] = (), block_rows: int | None = None) -> DataFrame:
     """Per candidate and set: count, sum, minimum and the nearest row (ties to lowest order).
 
     ``key`` must be unique. Rows are spread over blocks by hash, so no cell depends on how the
     data is distributed; each cell combines before anything is shuffled again."""
     k = kernel(distance)
-    left_blocks = _blocks(cands, payload, block_rows)
-    right_blocks = _blocks(others, payload, block_rows)
+    spark = cands.sparkSession
+    wanted = 8 * spark.sparkContext.defaultParallelism
+    left_blocks = _blocks(*cands.agg(*_size_columns(cands, payload)).first(), wanted, block_rows)
+    right_blocks = _blocks(*others.agg(*_size_columns(others, payload)).first(), wanted, block_rows)
+    tasks = _cell_partitions(spark, left_blocks * right_blocks)
 
     def block(column, count):
         return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
@@ -165,6 +184,7 @@ def grid_scores(cands: DataFrame, others: DataFrame, key: str, payload: str = "d
                 out.append((cand, name, len(at), sum(d[i] for i in at), d[best], *near[best]))
         return pd.DataFrame(out, columns=names)
 
+    left, right = left.repartition(tasks, "lb", "rb"), right.repartition(tasks, "lb", "rb")
     partial = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(cell, schema)
     nearest = F.min(F.struct("d", order_col, *extra))
     return partial.groupBy(key, set_col).agg(
@@ -173,11 +193,8 @@ def grid_scores(cands: DataFrame, others: DataFrame, key: str, payload: str = "d
              *[F.col(f"near.{c}").alias(c) for c in [order_col, *extra]])
 
 
-_PARTIAL = "n bigint, total double, lo double, hi double"
-
-
 def _self_grid(samples: DataFrame, key: str, payload: str, distance: str, group: str | None,
-               block_rows: int, emit: str) -> DataFrame:
+               block_rows: int | None, emit: str) -> DataFrame:
     """Every unordered pair once, in cells of two blocks of one group.
 
     A group gets as many blocks as its own size needs, so a group holding most of the data is
@@ -188,17 +205,19 @@ def _self_grid(samples: DataFrame, key: str, payload: str, distance: str, group:
         (F.col(group) if group else F.lit(0)).alias("g"), F.col(key).alias("key"),
         F.col(payload).alias("payload"),
     )
-    is_binary = isinstance(samples.schema[payload].dataType, T.BinaryType)
-    size = F.sum(F.octet_length("payload")) if is_binary else F.lit(0)
-    blocks = rows.groupBy("g").agg(F.greatest(
-        F.ceil(F.count("*") / block_rows), F.ceil(F.coalesce(size, F.lit(0)) / BLOCK_BYTES), F.lit(1),
-    ).cast("int").alias("blocks"))
+    spark = samples.sparkSession
+    wanted = 16 * spark.sparkContext.defaultParallelism
+    sizes = rows.groupBy("g").agg(*_size_columns(rows, "payload")).collect()  # one row per group
+    counts = [(r["g"], _blocks(r["rows"], r["bytes"], wanted, block_rows)) for r in sizes]
+    blocks = spark.createDataFrame(counts, T.StructType([
+        T.StructField("g", group_type), T.StructField("blocks", T.IntegerType())]))
+    tasks = _cell_partitions(spark, sum(n * (n + 1) // 2 for _, n in counts))
     placed = (
         rows.join(blocks, "g")
         .withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo_b", F.least("b", "other")).withColumn("hi_b", F.greatest("b", "other"))
-        .drop("other", "blocks")
+        .drop("other", "blocks").repartition(tasks, "g", "lo_b", "hi_b")
     )
     key_type = samples.schema[key].dataType
     head = [T.StructField("g", group_type), T.StructField("key", key_type)]
@@ -214,25 +233,22 @@ def _self_grid(samples: DataFrame, key: str, payload: str, distance: str, group:
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
-        keys, where = list(pdf["key"]), list(pdf["b"])
-        ready = [k.prepare(p) for p in pdf["payload"]]
-        g, split = pdf["g"].iloc[0], pdf["lo_b"].iloc[0] != pdf["hi_b"].iloc[0]
-        pairs, sums = [], {}
-        for i in range(len(keys)):
-            for j in range(i + 1, len(keys)):
-                if split and where[i] == where[j]:
-                    continue
-                d = k.pair(ready[i], ready[j])
-                if emit == "pairs":
-                    pairs.append((g, keys[i], keys[j], d))
-                    continue
-                # one side per pair is enough for set statistics; both sides for row sums
-                for side in ((i, j) if emit == "rows" else (i,)):
-                    n, total, lo, hi = sums.get(side, (0, 0.0, math.inf, -math.inf))
-                    sums[side] = (n + 1, total + d, min(lo, d), max(hi, d))
+        keys, g = pdf["key"].to_numpy(dtype=object), pdf["g"].iloc[0]
+        split = pdf["lo_b"].iloc[0] != pdf["hi_b"].iloc[0]
+        d = k.triangle(list(pdf["payload"]), pdf["b"].to_numpy() if split else None)
+        there = ~np.isnan(d)
         if emit == "pairs":
-            return pd.DataFrame(pairs, columns=names)
-        return pd.DataFrame([(g, keys[i], *s) for i, s in sums.items()], columns=names)
+            i, j = np.nonzero(there)
+            return pd.DataFrame({"g": [g] * len(i), "i": keys[i], "j": keys[j], "distance": d[there]})
+        if not there.any():
+            return pd.DataFrame([], columns=names)
+        if emit == "stats":
+            return pd.DataFrame([(g, None, int(there.sum()), d[there].sum(), d[there].min(), d[there].max())],
+                                columns=names)
+        both = there | there.T
+        total = np.nansum(d, axis=0) + np.nansum(d, axis=1)
+        return pd.DataFrame({"g": [g] * len(keys), "key": keys, "n": both.sum(axis=1), "total": total,
+                             "lo": np.nan, "hi": np.nan})
 
     out = placed.groupBy("g", "lo_b", "hi_b").applyInPandas(cell, schema)
     return out.withColumnRenamed("g", group) if group else out.drop("g")
@@ -240,7 +256,7 @@ def _self_grid(samples: DataFrame, key: str, payload: str, distance: str, group:
 
 def pairwise_distances(samples: DataFrame, key: str = "idx", payload: str = "dom",
                        distance: str = "ncd", group: str | None = None,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       block_rows: int | None = None) -> DataFrame:
     """The distance matrix as rows (i, j, distance) with i < j.
 
     The answer itself has n*(n-1)/2 rows, so this is for prototype-sized sets; the aggregates
@@ -249,7 +265,7 @@ def pairwise_distances(samples: DataFrame, key: str = "idx", payload: str = "dom
 
 
 def mean_distance(samples: DataFrame, key: str = "idx", payload: str = "dom",
-                  distance: str = "ncd", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  distance: str = "ncd", block_rows: int | None = None) -> DataFrame:
     """Row mean of the distance matrix, its zero diagonal included."""
     partial = _self_grid(samples, key, payload, distance, None, block_rows, "rows")
     sums = partial.groupBy("key").agg(F.sum("total").alias("total"), F.sum("n").alias("others"))
@@ -258,7 +274,7 @@ def mean_distance(samples: DataFrame, key: str = "idx", payload: str = "dom",
 
 
 def group_distance_stats(samples: DataFrame, group: str, key: str = "idx", payload: str = "dom",
-                         distance: str = "ncd", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                         distance: str = "ncd", block_rows: int | None = None) -> DataFrame:
     """A9 within groups: count, min, max and mean over the pairs i < j of every group."""
     partial = _self_grid(samples, key, payload, distance, group, block_rows, "stats")
     return partial.groupBy(group).agg(

@@ -12,15 +12,15 @@ import random
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed_values import (
     DEFAULT_K, MAX_CLUSTERS, MIN_VARIANCE_GAIN, MINIMAL_DOM_THRESHOLD, UNKNOWN,
 )
-from ..functions.kernel import kernel
-from ..session import shared_folder
+from ..functions.kernel import kernel, payload_size
+from ..session import materialize, shared_folder
 from .distances import group_distance_stats, mean_distance
 
 CHECKPOINT_EVERY = 8
@@ -33,6 +33,13 @@ def filter_minimal(samples: DataFrame, threshold: int = MINIMAL_DOM_THRESHOLD,
     return samples.filter(F.octet_length(payload) >= threshold)
 
 
+def _start(samples: DataFrame, group: Column, key: str, payload: str, distance: str) -> DataFrame:
+    """Round state; the payload's own compressed size is computed once, not once per round."""
+    return samples.select(
+        group.cast("string").alias("g"), F.col(key).alias("key"), F.col(payload).alias("payload"),
+        payload_size(F.col(payload), distance).alias("size"), F.lit(float("inf")).alias("d_min"))
+
+
 def _nearer(state: DataFrame, centres: dict, distance: str, self_distance: float) -> DataFrame:
     """``d_min`` after adding one centre per group; ``centres`` is group -> (id, payload).
 
@@ -41,9 +48,9 @@ def _nearer(state: DataFrame, centres: dict, distance: str, self_distance: float
     ready = {g: (i, k.prepare(p)) for g, (i, p) in centres.items()}
 
     @F.pandas_udf(T.DoubleType())
-    def measure(g: pd.Series, key: pd.Series, payload: pd.Series, d_min: pd.Series) -> pd.Series:
+    def measure(g: pd.Series, key: pd.Series, payload: pd.Series, size: pd.Series, d_min: pd.Series) -> pd.Series:
         out = []
-        for group, row_id, data, so_far in zip(g, key, payload, d_min):
+        for group, row_id, data, known, so_far in zip(g, key, payload, size, d_min):
             if group not in ready:
                 out.append(so_far)
                 continue
@@ -53,12 +60,12 @@ def _nearer(state: DataFrame, centres: dict, distance: str, self_distance: float
             elif so_far == _SELECTED:
                 out.append(so_far)
             else:
-                mine = k.prepare(data)
+                mine = k.prepare(data, known)
                 d = k.pair(mine, centre) if row_id < centre_id else k.pair(centre, mine)
                 out.append(min(so_far, d))
         return pd.Series(out, dtype="float64")
 
-    return state.withColumn("d_min", measure("g", "key", "payload", "d_min"))
+    return state.withColumn("d_min", measure("g", "key", "payload", "size", "d_min"))
 
 
 def _cached(state: DataFrame, round_no: int, every: int) -> DataFrame:
@@ -85,8 +92,7 @@ def fpf_select(samples: DataFrame, k: int = DEFAULT_K, by: str | None = None, ke
     key. A class of at most ``k`` rows is returned whole, in order."""
     spark = samples.sparkSession
     group = F.col(by) if by else F.lit("all")
-    state = samples.select(group.cast("string").alias("g"), F.col(key).alias("key"),
-                           F.col(payload).alias("payload"), F.lit(float("inf")).alias("d_min"))
+    state = _start(samples, group, key, payload, distance)
     state = state.persist(StorageLevel.MEMORY_AND_DISK)
     held = [state]
     sizes = {r["g"]: r["n"] for r in state.groupBy("g").agg(F.count("*").alias("n")).collect()}
@@ -124,7 +130,8 @@ def fpf_select(samples: DataFrame, k: int = DEFAULT_K, by: str | None = None, ke
         T.StructField("cover_distance", T.DoubleType())]))
     # picks holds k rows per class by construction
     joined = samples.withColumn("_g", group.cast("string")).join(F.broadcast(picks), ["_g", key])
-    return joined.drop("_g")
+    # written, so that users of the few chosen rows do not scan the samples again
+    return materialize(joined.drop("_g").repartition(max(1, len(picked) // 1000)), "prototypes")
 
 
 def _first_centres(state: DataFrame, first, seed: int) -> dict:
@@ -183,8 +190,7 @@ def fpf_cluster(samples: DataFrame, max_clusters: int = MAX_CLUSTERS,
     start = means.agg(F.min_by(key, F.struct(-F.col("mean_distance"), F.col(key)))).first()[0]
     if start is None:
         raise ValueError("clustering needs at least 2 samples")
-    state = samples.select(F.lit("all").alias("g"), F.col(key).alias("key"),
-                           F.col(payload).alias("payload"), F.lit(float("inf")).alias("d_min"))
+    state = _start(samples, F.lit("all"), key, payload, distance)
     centres, held = [(1, start, None, None, None)], []
 
     def add(frame, centre, round_no):
@@ -222,8 +228,7 @@ def cover_variance(samples: DataFrame, centre_ids: list, key: str = "idx", paylo
                    distance: str = "ncd") -> DataFrame:
     """Variance of the distance to the nearest centre as centres are added one by one."""
     spark = samples.sparkSession
-    state = samples.select(F.lit("all").alias("g"), F.col(key).alias("key"),
-                           F.col(payload).alias("payload"), F.lit(float("inf")).alias("d_min"))
+    state = _start(samples, F.lit("all"), key, payload, distance)
     out = []
     for i, centre in enumerate(centre_ids):
         state = _nearer(state, _payloads(state, {"all": centre}), distance, 0.0)
@@ -280,7 +285,9 @@ def cluster_report(assigned: DataFrame, centres: DataFrame, key: str = "idx", pa
 
 def cluster_samples(samples: DataFrame, max_clusters: int = MAX_CLUSTERS,
                     min_variance_gain: float = MIN_VARIANCE_GAIN, **options) -> tuple:
-    """M5: (assigned samples, centres, report)."""
+    """M5: (assigned samples, centres, report). The samples are read many times, so they are
+    written once first."""
+    samples = materialize(samples, "samples")
     centres = fpf_cluster(samples, max_clusters, min_variance_gain, **options)
     assigned = assign_clusters(samples, centres, **options)
     return assigned, centres, cluster_report(assigned, centres, **options)

@@ -13,7 +13,7 @@ from pagesim.functions.urls import url_host, url_registrable_domain
 from pagesim.operators.corpus import as_samples
 from pagesim.operators.prototypes import build_prototypes, fpf_select
 from pagesim.operators.signatures import filter_feed, replace_signatures
-from pagesim.session import at_least_partitions
+from pagesim.session import at_least_partitions, materialize
 from pagesim.sources.readers import read_html_pages
 
 # the driver's pages are small, so both sides of every threshold need lower ones
@@ -30,19 +30,23 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return read_html_pages(spark, f"{sf}/pages.parquet")
 
 
-def page_label(url=F.col("url")):
+def page_label():
+    url = F.col("url")
     return F.when(url.startswith("http://"), "phish").otherwise("legit")
 
 
-def page_set(url=F.col("url")):
+def page_set():
+    url = F.col("url")
     return (F.when(~url.startswith("http://"), "legit")
             .when(url_host(url).endswith(".com"), "phish_cluster_1").otherwise("phish_cluster_2"))
 
 
 def labelled_doms(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page sanitized, with its class, set and (as the sample order) its id."""
+    """Every page sanitized, with its class, set and (as the sample order) its id; a stored
+    table, as samples are."""
     doms = sanitize_tags(pages(spark, sf)).drop("tags", "parse_error")
-    return doms.withColumns({"label": page_label(), "proto_set": page_set(), "idx": F.col("page_id")})
+    doms = doms.withColumns({"label": page_label(), "proto_set": page_set(), "idx": F.col("page_id")})
+    return materialize(doms, "doms")
 
 
 def prototypes(spark: SparkSession, sf: str, distance: str = "ncd") -> DataFrame:
