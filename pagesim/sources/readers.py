@@ -39,8 +39,17 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
 
 def _dom_files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dom").load(folder)
-    return files.select("path", F.regexp_extract("path", DOM_NAME, 1).alias("stem"),
-                        F.col("content").alias("dom"))
+    files = files.select("path", F.col("content").alias("dom")).unionByName(_empty_files(spark, folder))
+    return files.select("path", F.regexp_extract("path", DOM_NAME, 1).alias("stem"), "dom")
+
+
+def _empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Scans leave out files of zero bytes, so those come from the listing."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.dom")
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = system.globStatus(location)
+    empty = [(f.getPath().toString(), b"") for f in listed if f.isFile() and f.getLen() == 0]
+    return spark.createDataFrame(empty, "path string, dom binary")
 
 
 def read_sample_meta(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.feedback import ANSWERS
 from ..sources.writers import current_signatures
@@ -31,12 +33,38 @@ def with_current_feed(root: str, detect_with: Callable[[DataFrame, DataFrame], D
     return lambda batch: detect_with(batch, current_signatures(batch.sparkSession, root))
 
 
-def dedupe_checks(checks: DataFrame, ttl: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """R2: drop repeats of a url (and flag) within ``ttl`` of event time; state is bounded by
-    the watermark."""
+def dedupe_checks(checks: DataFrame, ttl_seconds: int = 3600, ts: str = "ts",
+                  late: str = "1 hour") -> DataFrame:
+    """R2: keep a check unless its url (and flag) was kept less than ``ttl_seconds`` before.
+
+    The built-in watermark deduplication drops repeats for up to twice its delay; here a kept
+    check answers for exactly its lifetime of event time, then the next one is kept. State is
+    one time per live url and is cleared by event-time timeout. Within a micro-batch the checks
+    of a url are taken in time order."""
     if "skip_signature" not in checks.columns:
         checks = checks.withColumn("skip_signature", F.lit(False))
-    return checks.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["url", "skip_signature"])
+    columns = checks.columns
+    life = pd.Timedelta(seconds=ttl_seconds)
+
+    def keep(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
+        until = pd.Timestamp(state.get[0], unit="us") if state.exists else pd.Timestamp.min
+        kept = []
+        for position, moment in enumerate(rows[ts]):
+            if moment >= until:
+                kept.append(position)
+                until = moment + life
+        state.update((until.value // 1000,))
+        # an expiry the watermark has already passed is cleared at its next step
+        state.setTimeoutTimestamp(max(until.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[kept][columns]
+
+    grouped = checks.withWatermark(ts, late).groupBy("url", "skip_signature")
+    return grouped.applyInPandasWithState(
+        keep, checks.schema, "until_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def feedback_stream(feedback: DataFrame, detections: DataFrame, within: str = "1 hour",

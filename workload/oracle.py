@@ -497,7 +497,10 @@ ORACLE["detection_metrics"] = sql(CHECKS, FEED_RAW, FEED, FEEDBACK, ACCEPTED, SA
 SELECT count(*) AS lookup_count, count(phish_id) AS hits, 0::BIGINT AS errors, count(phish_id) AS db_hits,
   (SELECT count(*) FROM samples) AS samples_loaded, (SELECT count(*) FROM accepted) AS total_submissions
 FROM checks LEFT JOIN feed USING (url)""")
-ORACLE["dedupe_checks_stream"] = sql(CHECKS, select="SELECT url, 1::BIGINT AS kept FROM checks GROUP BY url")
+ORACLE["dedupe_checks_stream"] = sql(CHECKS, """
+kept AS (SELECT url, min(ts) AS ts FROM checks GROUP BY url UNION ALL
+  SELECT k.url, min(c.ts) FROM kept k JOIN checks c ON c.url = k.url AND c.ts >= k.ts + INTERVAL 1 HOUR GROUP BY k.url)""", select="""
+SELECT url, count(*) AS kept FROM kept GROUP BY url""")
 ORACLE["metrics_stream"] = sql(CHECKS, FEED_RAW, FEED, select="""
 SELECT CASE WHEN phish_id IS NOT NULL THEN 'signature-local' ELSE 'ncd' END AS source, count(*) AS detections
 FROM checks LEFT JOIN feed USING (url) GROUP BY 1""")

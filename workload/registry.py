@@ -679,7 +679,7 @@ def detect_stream(spark, sf):
 
 @query
 def dedupe_checks_stream(spark, sf):
-    kept = jobs.dedupe_checks(_check_stream(spark, sf), "60 days").select("url")
+    kept = jobs.dedupe_checks(_check_stream(spark, sf)).select("url")
     return _to_table(spark, kept, "deduped").groupBy("url").agg(F.count("*").alias("kept"))
 
 
