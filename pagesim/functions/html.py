@@ -23,6 +23,8 @@ PRELOAD_HINTS = ["preload", "prefetch", "dns-prefetch", "preconnect"]
 SRC_ELEMENTS = ["script", "img", "iframe", "video", "audio", "source"]
 DOMAIN_ELEMENTS = ["script", "link", "img", "iframe"]
 
+PARSE_ROWS = 512
+
 _VOID = frozenset(VOID_ELEMENTS)
 _REMOVED = frozenset(REMOVED_ELEMENTS)
 
@@ -159,7 +161,8 @@ def html_tokens(df: DataFrame, fields=("tags",), html: str = "html",
     }
 
     def parse(batches):
-        for batch in batches:
+        # slices bound the Python copies when pages are large
+        for batch in (b.slice(at, PARSE_ROWS) for b in batches for at in range(0, b.num_rows, PARSE_ROWS)):
             columns = {f: [] for f in fields}
             errors = []
             for text in batch.column(html).to_pylist():

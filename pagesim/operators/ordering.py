@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import bounded_rows, materialize
 
+MAX_SHIFTS = 200_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above, the row below
 
 
@@ -17,13 +18,18 @@ def ordered_index(df: DataFrame, order: list, by: list[str] = [], name: str = "i
     and sorted once, written, and each row's position in its partition is shifted by the rows
     of its group in the partitions before; those counts are one row per partition and group."""
     keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
+    # rows equal in the order may still be told apart, so that they need not share a partition
+    keys.append(F.xxhash64(*df.columns))
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = ranged.withColumn("_at", F.monotonically_increasing_id())
     placed = materialize(placed, "ordered").withColumn("_part", F.shiftright("_at", _ROW_BITS))
     counts = placed.groupBy("_part", *by).agg(F.count("*").alias("_rows"), F.min("_at").alias("_from"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    # shifts: at most (partitions x groups) rows; the optimizer sizes this join from the counts
+    # one row per partition and group; sent along when that is few, joined otherwise
+    few = bounded_rows(shifts, MAX_SHIFTS)
+    if few is not None:
+        shifts = F.broadcast(df.sparkSession.createDataFrame(few, shifts.schema))
     return (
         placed.join(shifts, ["_part", *by])
         .withColumn(name, F.col("_at") - F.col("_from") + F.col("_shift"))

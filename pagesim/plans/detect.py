@@ -21,48 +21,63 @@ from ..operators.signatures import signature_lookup
 SCORES = ["phish_min", "phish_avg", "legit_min", "legit_avg"]
 
 
-def classify_pages(pages: DataFrame, protos: DataFrame | PrototypeSet, key: str = "url",
-                   distance: str = "ncd", small_dom_threshold: int = SMALL_DOM_THRESHOLD,
-                   minimal_threshold: int = MINIMAL_DOM_THRESHOLD,
-                   penalty: float = MINIMAL_DOM_PENALTY, order_col: str = "prototype_index",
-                   keep_html: bool = False) -> DataFrame:
-    """Pages to distance verdicts. ``key`` identifies a page.
-
-    One parse gives both the tags and the resources; one Arrow pass gives all distances."""
+def read_pages(pages: DataFrame, small_dom_threshold: int = SMALL_DOM_THRESHOLD,
+               keep_html: bool = False) -> DataFrame:
+    """Pages to the bytes to classify. No shuffle; one parse gives both the tags
+    and the resources, and only the shorter results go on."""
     read = html_tokens(pages, ["tags", "refs"], keep_html=keep_html)
-    mode = detection_mode(F.col("dom_length"), small_dom_threshold)
-    read = read.withColumn("dom", as_dom(F.col("tags"))).withColumn("dom_length", F.octet_length("dom").cast("bigint"))
-    read = read.withColumn("detection_mode", mode)
-    read = read.withColumn("_sig", resource_signature(F.col("refs"), F.col("url")))
-    usable = F.col("dom_length") > 0
+    read = read.withColumn("dom", as_dom(F.col("tags"))).withColumn(
+        "dom_length", F.octet_length("dom").cast("bigint"))
     read = read.withColumns({
+        "detection_mode": detection_mode(F.col("dom_length"), small_dom_threshold),
+        "_sig": resource_signature(F.col("refs"), F.col("url"))})
+    usable = F.col("dom_length") > 0
+    return read.withColumns({
         "classified": F.when(usable, signature_input(F.col("detection_mode"), F.col("_sig"), F.col("dom"))),
         "resource_sig_length": F.when(usable & (F.col("dom_length") < small_dom_threshold),
                                       F.octet_length("_sig").cast("bigint")),
     }).drop("tags", "refs", "_sig", "dom")
+
+
+def judge_pages(read: DataFrame, protos: DataFrame | PrototypeSet, key: str = "url",
+                distance: str = "ncd", minimal_threshold: int = MINIMAL_DOM_THRESHOLD,
+                penalty: float = MINIMAL_DOM_PENALTY, order_col: str = "prototype_index") -> DataFrame:
+    """Read pages to distance verdicts; one Arrow pass gives all distances."""
     bounded = protos if isinstance(protos, PrototypeSet) else PrototypeSet.load(protos, order_col=order_col)
     scored = class_scores(read, bounded if bounded is not None else protos, key=key,
                           payload="classified", distance=distance, order_col=order_col)
     has_prototypes = bounded is None or bool(bounded.rows)
     out = classify_scores(scored, "classified", has_prototypes, minimal_threshold, penalty)
     # pages that failed to parse or hold no tag are errors, whatever their defaults score
-    error = F.when(~F.coalesce(usable, F.lit(False)),
+    error = F.when(~F.coalesce(F.col("dom_length") > 0, F.lit(False)),
                    F.coalesce(F.concat(F.lit("Error extracting DOM: "), F.col("parse_error")), F.lit(ERROR_NO_DOM)))
     return out.withColumn("error", F.coalesce(error, F.col("score_error"))).drop(
         "classified", "score_error", "parse_error")
 
 
+def classify_pages(pages: DataFrame, protos: DataFrame | PrototypeSet,
+                   small_dom_threshold: int = SMALL_DOM_THRESHOLD, keep_html: bool = False,
+                   **options) -> DataFrame:
+    """``judge_pages`` of ``read_pages``."""
+    return judge_pages(read_pages(pages, small_dom_threshold, keep_html), protos, **options)
+
+
 def detect(checks: DataFrame, pages: DataFrame, feed: DataFrame, protos: DataFrame | PrototypeSet,
            cluster_protos: DataFrame | PrototypeSet | None = None, model: PageModel | None = None,
            skip_ncd: bool = False, skip_signature: bool = False, enrich=None,
            detection_id: Column | None = None, detected_at: Column | None = None,
            legacy_unverified: bool = False, gate: float = ML_GATE, gate_on: str = "phish",
+           small_dom_threshold: int = SMALL_DOM_THRESHOLD, parse_first: bool = False,
            **options) -> DataFrame:
     """A verdict for every row of ``checks(url, ...)``; other columns pass through.
 
     ``pages`` and ``feed`` are unique on ``url``. The feed decides first and only its misses
     reach the tokenizer. Misses are reduced to distinct urls before any costly work, so a hot
-    url is parsed and measured once. ``enrich`` is a function applied to similarity answers
+    url is parsed and measured once. Finding the pages of the misses moves page texts unless one
+    side is small or ``pages`` is bucketed by url; ``parse_first`` parses every page where it
+    lies and moves the much shorter results, which pays when most pages are asked for.
+
+    ``enrich`` is a function applied to similarity answers
     (see ``enrich_domain``). ``legacy_unverified`` (C14) takes a feed with a ``verified`` flag:
     unverified hits go on to similarity and answer ``suspicious``."""
     at = F.current_timestamp() if detected_at is None else detected_at
@@ -79,9 +94,13 @@ def detect(checks: DataFrame, pages: DataFrame, feed: DataFrame, protos: DataFra
             F.when(~hit, SKIPPED_MESSAGE).alias("message"))
 
     misses = looked.filter(~hit).select("url").distinct()
-    landed = pages.select("url", "html").join(misses, "url", "left_semi")
     wants_features = cluster_protos is not None or model is not None
-    answers = classify_pages(landed, protos, keep_html=wants_features, **options)
+    landed = pages.select("url", "html")
+    if parse_first:
+        read = read_pages(landed, small_dom_threshold, wants_features).join(misses, "url", "left_semi")
+    else:
+        read = read_pages(landed.join(misses, "url", "left_semi"), small_dom_threshold, wants_features)
+    answers = judge_pages(read, protos, **options)
     if wants_features:
         answers = page_features(answers, cluster_protos, key="url",
                                 distance=options.get("distance", "ncd"))

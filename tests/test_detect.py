@@ -68,6 +68,14 @@ def test_detect(spark, data):
     assert skipped[2].message and skipped[0].message is None
 
 
+def test_parse_first_gives_the_same(spark, data):
+    _, p, pages, feed = data
+    checks = pages.select("url").unionByName(pages.select("url"))
+    one, two = (detect(checks, pages, feed, p, detection_id=F.lit(1), parse_first=first).drop("detected_at").orderBy("url").collect()
+                for first in (False, True))
+    assert one == two
+
+
 def test_hot_url_is_measured_once(spark, data):
     _, p, pages, feed = data
     checks = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "https://a.org/").otherwise("https://b.org/").alias("url"))

@@ -140,6 +140,8 @@ SELECT page_id, unnest(['/js/app' || i || '.js?v=1', '//cdn.' || host || '/s.css
   'https://www.' || host || '/i/' || i || '.png#x', 'data:image/png;base64,AA', '/bg/' || host || '.gif',
   'https://ads.example.org', 'https://frame.example.net/x?y=1', '/v.mp4', '/v.mp4']) AS ref FROM r""")
 
+ORACLE["read_url_list"] = "SELECT url FROM pages"
+
 # --- signatures ----------------------------------------------------------------------------
 
 CHECKS = "checks AS (SELECT e.*, p.url FROM events e JOIN pages p ON e.user_id = p.page_id)"
@@ -164,6 +166,7 @@ def _last(source: str, *keys: str) -> str:
 
 ORACLE["feed_filter"] = sql(*LOG, select="""
 SELECT phish_id, url, submission_time, target FROM feed_log WHERE verified = 'yes' AND online = 'yes'""")
+ORACLE["read_feed_csv"] = ORACLE["feed_filter"]
 ORACLE["feed_json"] = sql(*LOG, select="""
 SELECT phish_id, url, CASE WHEN verified = 'yes' THEN 1 ELSE 0 END::BIGINT AS verified, submission_time,
   phish_detail_url AS detail_url FROM feed_log""")
@@ -296,6 +299,8 @@ SELECT key AS idx, idx::BIGINT AS prototype_index, round(cover, 6) AS cover_dist
 ORACLE["build_prototypes_tag_jaccard"] = sql(MDOMS, PROTOS, select="""
 SELECT page_id, label, label || '_prototype_' || lpad(idx::VARCHAR, 2, '0') AS name, strlen(dom) AS size, url,
   round(cover, 6) AS cover_distance FROM protos""")
+ORACLE["write_prototypes"] = sql(MDOMS, PROTOS, select="""
+SELECT label || '_prototype_' || lpad(idx::VARCHAR, 2, '0') AS name, label, strlen(dom) AS size, dom FROM protos""")
 ORACLE["prototype_build_summary"] = sql(MDOMS, PROTOS, select="""
 SELECT p.label, count(*) AS k, any_value(n.n) AS samples,
   string_agg(p.label || '_prototype_' || lpad(idx::VARCHAR, 2, '0'), ',' ORDER BY idx) AS prototypes,
@@ -379,6 +384,7 @@ DETECTED = f"""detected AS (
                ["detection_mode", "dom_size", "phish_min", "phish_avg", "legit_min", "legit_avg"])}
   FROM checks c LEFT JOIN feed f USING (url) JOIN verdicts v USING (url))"""
 ORACLE["detect_tag_jaccard"] = sql(*JUDGED, CHECKS, FEED_RAW, FEED, DETECTED, select="SELECT * FROM detected")
+ORACLE["detect_parse_first_tag_jaccard"] = ORACLE["detect_tag_jaccard"]
 ORACLE["detect_stream"] = ORACLE["detect_tag_jaccard"]
 ORACLE["detect_signature_only"] = sql(CHECKS, FEED_RAW, FEED, select=f"""
 SELECT event_id, url, CASE WHEN phish_id IS NOT NULL THEN 'phish' ELSE 'legit' END AS classification, 'signature-local' AS source,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesim import schemas
 from pagesim.fixed_values import FEATURES, STRUCTURE_FEATURES, TAG_FEATURES
 from pagesim.functions import html as H
 from pagesim.functions import kernel as N
@@ -131,6 +132,15 @@ def resource_refs(spark, sf):
     return refs.select("page_id", F.explode("refs").alias("ref"))
 
 
+@query
+def read_url_list(spark, sf):
+    """The urls as a list file, every one behind blanks and beside a comment and an empty line."""
+    path = scratch_path(spark, "urls")
+    lines = F.array(F.concat(F.lit("  "), "url", F.lit("\t")), F.concat(F.lit("# "), "url"), F.lit("  "))
+    I.table(spark, sf, "pages").select(F.explode(lines).alias("value")).write.text(path)
+    return readers.read_url_list(spark, path)
+
+
 # --- signatures ----------------------------------------------------------------------------
 
 @query
@@ -138,6 +148,14 @@ def feed_filter(spark, sf):
     return G.filter_feed(I.feed_log(spark, sf)).select("phish_id", "url", "submission_time", "target")
 
 
+@query
+def read_feed_csv(spark, sf):
+    path = scratch_path(spark, "feed")
+    columns = [f.name for f in schemas.FEED_CSV.fields]
+    I.feed_log(spark, sf).select(*columns).write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_feed_csv(spark, path).select("phish_id", "url", "submission_time", "target")
+
+
 @query
 def feed_json(spark, sf):
     return readers.as_json_feed(I.feed_log(spark, sf)).select(
@@ -308,6 +326,13 @@ def build_prototypes_ncd(spark, sf):
     return I.prototypes(spark, sf).select("page_id", "label", "name", "size", "url", "cover_distance")
 
 
+@query
+def write_prototypes(spark, sf):
+    path = scratch_path(spark, "prototypes")
+    writers.write_prototypes(I.prototypes(spark, sf, "tag_jaccard"), path)
+    return readers.read_prototypes(spark, path).select("name", "label", "size", text("dom").alias("dom"))
+
+
 @query
 def prototype_build_summary(spark, sf):
     doms = P.filter_minimal(I.labelled_doms(spark, sf), I.MINIMAL_DOM)
@@ -401,6 +426,12 @@ def detect_ncd(spark, sf):
     return out.select(*ANSWER, *[F.col(f"prototype_scores.{s}").alias(s) for s in SCORES])
 
 
+@query
+def detect_parse_first_tag_jaccard(spark, sf):
+    out = _detect(spark, sf, "tag_jaccard", parse_first=True)
+    return out.select(*ANSWER, *[F.col(f"prototype_scores.{s}").alias(s) for s in SCORES])
+
+
 @query
 def detect_signature_only(spark, sf):
     out = _detect(spark, sf, "tag_jaccard", skip_ncd=True)
