@@ -93,8 +93,7 @@ def fpf_select(samples: DataFrame, k: int = DEFAULT_K, by: str | None = None, ke
     spark = samples.sparkSession
     group = F.col(by) if by else F.lit("all")
     state = _start(samples, group, key, payload, distance)
-    state = state.persist(StorageLevel.MEMORY_AND_DISK)
-    held = [state]
+    base = state = state.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {r["g"]: r["n"] for r in state.groupBy("g").agg(F.count("*").alias("n")).collect()}
     whole = [g for g, n in sizes.items() if n <= k]
     active = [g for g in sizes if g not in whole]
@@ -111,17 +110,18 @@ def fpf_select(samples: DataFrame, k: int = DEFAULT_K, by: str | None = None, ke
         chosen = _first_centres(state, first, seed)
         picked += [(g, value, 1, None) for g, value in chosen.items()]
         for i in range(2, k + 1):
-            state = _nearer(state, _payloads(state, chosen), distance, _SELECTED)
+            last = state
+            state = _nearer(last, _payloads(last, chosen), distance, _SELECTED)
             state = _cached(state, i, checkpoint_every)
-            held.append(state)
             farthest = state.groupBy("g").agg(
                 F.min_by(F.struct("key", "d_min"), F.struct(-F.col("d_min"), F.col("key"))).alias("far"))
             chosen = {}
             for g, far in farthest.collect():
                 chosen[g] = far["key"]
                 picked.append((g, far["key"], i, far["d_min"]))
-    for frame in held:
-        frame.unpersist()
+            last.unpersist()  # only the start and the newest round stay cached
+        state.unpersist()
+    base.unpersist()
 
     key_type = samples.schema[key].dataType
     picks = spark.createDataFrame(picked, T.StructType([
@@ -191,7 +191,8 @@ def fpf_cluster(samples: DataFrame, max_clusters: int = MAX_CLUSTERS,
     if start is None:
         raise ValueError("clustering needs at least 2 samples")
     state = _start(samples, F.lit("all"), key, payload, distance)
-    centres, held = [(1, start, None, None, None)], []
+    base = state.persist(StorageLevel.MEMORY_AND_DISK)
+    centres, held = [(1, start, None, None, None)], [base]
 
     def add(frame, centre, round_no):
         out = _cached(_nearer(frame, _payloads(frame, {"all": centre}), distance, 0.0),
@@ -205,11 +206,12 @@ def fpf_cluster(samples: DataFrame, max_clusters: int = MAX_CLUSTERS,
             F.var_pop("d_min").alias("variance")).first()
         return row["far"]["key"], row["far"]["d_min"], row["variance"]
 
-    state = add(state, start, 1)
+    state = add(base, start, 1)
     candidate, cover, before = far_and_variance(state)
     for cluster in range(2, max_clusters + 1):
         state = add(state, candidate, cluster)
         following, next_cover, after = far_and_variance(state)
+        held.pop(-2).unpersist()  # the newest round is filled
         if before - after < min_variance_gain:
             break
         centres.append((cluster, candidate, cover, before, after))

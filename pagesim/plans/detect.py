@@ -16,7 +16,7 @@ from ..operators.distances import PrototypeSet
 from ..operators.features import page_features
 from ..operators.model import PageModel
 from ..operators.scores import class_scores
-from ..operators.signatures import signature_lookup
+from ..operators.signatures import signature_lookup, signature_misses
 
 SCORES = ["phish_min", "phish_avg", "legit_min", "legit_avg"]
 
@@ -93,7 +93,10 @@ def detect(checks: DataFrame, pages: DataFrame, feed: DataFrame, protos: DataFra
             "phish_id", "detail_page", "submitted_at",
             F.when(~hit, SKIPPED_MESSAGE).alias("message"))
 
-    misses = looked.filter(~hit).select("url").distinct()
+    # distinct first: copies of a hot url are merged before anything is shuffled
+    misses = checks.select("url").distinct()
+    if not skip_signature:
+        misses = signature_misses(misses, trusted)
     wants_features = cluster_protos is not None or model is not None
     landed = pages.select("url", "html")
     if parse_first:
