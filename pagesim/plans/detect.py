@@ -62,7 +62,42 @@ def classify_pages(pages: DataFrame, protos: DataFrame | PrototypeSet,
     return judge_pages(read_pages(pages, small_dom_threshold, keep_html), protos, **options)
 
 
-def detect(checks: DataFrame, pages: DataFrame, feed: DataFrame, protos: DataFrame | PrototypeSet,
+ML_STRUCT = "struct<label:string,probability:double,legit_probability:double,confidence:string>"
+ANSWER = ["verdict", *SCORES, "dom_size", "dom_length", "resource_sig_length", "detection_mode",
+          "minimal_dom_adjustment_applied", "final_decision", "reason", "final_verdict",
+          "decision_source", "features", "ml_prediction"]
+
+
+def _answer(read: DataFrame, protos, cluster_protos, model: PageModel | None, gate: float,
+            gate_on: str, **options) -> DataFrame:
+    """C1, F1-F25, C9, C2 on read pages: their own columns, ``ANSWER``, ``ncd_confidence`` and
+    ``ncd_error``."""
+    passed = [c for c in read.columns if c not in (
+        "html", "classified", "parse_error", "dom_length", "detection_mode", "resource_sig_length")]
+    out = judge_pages(read, protos, **options)
+    out = out.withColumnsRenamed({"confidence": "ncd_confidence", "error": "ncd_error"})
+    if cluster_protos is None and model is None:
+        out = out.withColumn("features", F.lit(None).cast("struct<" + ",".join(f"{f}:double" for f in FEATURES) + ">"))
+    else:
+        out = page_features(out, cluster_protos, key=options.get("key", "url"),
+                            distance=options.get("distance", "ncd"))
+        out = out.withColumn("features", F.struct(*FEATURES))
+    if model is None:
+        out = out.withColumns({"final_verdict": F.lit(None).cast("string"), "decision_source": F.lit("ncd"),
+                               "ml_prediction": F.lit(None).cast(ML_STRUCT)})
+    else:
+        out = model.predict(out)
+        final, decided = hybrid_decision(F.col("verdict"), F.col("ml_label"), F.col("ml_probability"), gate, gate_on)
+        out = out.withColumns({
+            "final_verdict": final, "decision_source": decided,
+            "ml_prediction": F.struct(
+                F.col("ml_label").alias("label"), F.col("ml_probability").alias("probability"),
+                F.col("ml_legit_probability").alias("legit_probability"),
+                F.col("ml_confidence").alias("confidence"))})
+    return out.select(*passed, *ANSWER, "ncd_confidence", "ncd_error")
+
+
+def detect(checks: DataFrame, pages: DataFrame | None, feed: DataFrame, protos: DataFrame | PrototypeSet,
            cluster_protos: DataFrame | PrototypeSet | None = None, model: PageModel | None = None,
            skip_ncd: bool = False, skip_signature: bool = False, enrich=None,
            detection_id: Column | None = None, detected_at: Column | None = None,
@@ -71,73 +106,59 @@ def detect(checks: DataFrame, pages: DataFrame, feed: DataFrame, protos: DataFra
            **options) -> DataFrame:
     """A verdict for every row of ``checks(url, ...)``; other columns pass through.
 
-    ``pages`` and ``feed`` are unique on ``url``. The feed decides first and only its misses
-    reach the tokenizer. Misses are reduced to distinct urls before any costly work, so a hot
-    url is parsed and measured once. Finding the pages of the misses moves page texts unless one
-    side is small or ``pages`` is bucketed by url; ``parse_first`` parses every page where it
-    lies and moves the much shorter results, which pays when most pages are asked for.
+    The feed (unique on ``url``) decides first and only its misses reach the tokenizer.
 
-    ``enrich`` is a function applied to similarity answers
-    (see ``enrich_domain``). ``legacy_unverified`` (C14) takes a feed with a ``verified`` flag:
-    unverified hits go on to similarity and answer ``suspicious``."""
+    With ``pages(url, html)``, one page per url, misses are reduced to distinct urls before any
+    costly work, so a hot url is parsed and measured once. Finding their pages moves page texts
+    unless one side is small or ``pages`` is bucketed by url; ``parse_first`` parses every page
+    where it lies and moves the much shorter results, which pays when most pages are asked for.
+
+    With ``pages=None`` every check carries the ``html`` it was rendered to, as a stream of
+    checks does; it is judged where it lies and nothing is shuffled beyond the lookup.
+
+    ``enrich`` is a function applied to similarity answers (see ``enrich_domain``).
+    ``legacy_unverified`` (C14) takes a feed with a ``verified`` flag: unverified hits go on to
+    similarity and answer ``suspicious``."""
     at = F.current_timestamp() if detected_at is None else detected_at
     trusted = feed.filter(F.col("verified") == 1) if legacy_unverified else feed
+    passed = [c for c in checks.columns if pages is not None or c != "html"]
     looked = signature_lookup(checks, trusted, skip_signature)
     hit = F.col("in_database")
 
     if skip_ncd:
         return looked.select(
-            *checks.columns, F.when(hit, "phish").otherwise("legit").alias("classification"),
+            *passed, F.when(hit, "phish").otherwise("legit").alias("classification"),
             F.lit(SIGNATURE_SOURCE).alias("source"),
             F.when(hit, "high").otherwise("medium").alias("confidence"),
             "phish_id", "detail_page", "submitted_at",
             F.when(~hit, SKIPPED_MESSAGE).alias("message"))
 
-    # distinct first: copies of a hot url are merged before anything is shuffled
-    misses = checks.select("url").distinct()
-    if not skip_signature:
-        misses = signature_misses(misses, trusted)
     wants_features = cluster_protos is not None or model is not None
-    landed = pages.select("url", "html")
-    if parse_first:
-        read = read_pages(landed, small_dom_threshold, wants_features).join(misses, "url", "left_semi")
-    else:
-        read = read_pages(landed.join(misses, "url", "left_semi"), small_dom_threshold, wants_features)
-    answers = judge_pages(read, protos, **options)
-    if wants_features:
-        answers = page_features(answers, cluster_protos, key="url",
-                                distance=options.get("distance", "ncd"))
-        answers = answers.withColumn("features", F.struct(*FEATURES))
-    if model is not None:
-        answers = model.predict(answers)
-        final, decided = hybrid_decision(F.col("verdict"), F.col("ml_label"), F.col("ml_probability"), gate, gate_on)
-        answers = answers.withColumns({
-            "final_verdict": final, "decision_source": decided,
-            "ml_prediction": F.struct(
-                F.col("ml_label").alias("label"), F.col("ml_probability").alias("probability"),
-                F.col("ml_legit_probability").alias("legit_probability"),
-                F.col("ml_confidence").alias("confidence"))})
-    else:
-        answers = answers.withColumns({
-            "final_verdict": F.lit(None).cast("string"), "decision_source": F.lit("ncd"),
-            "ml_prediction": F.lit(None).cast(
-                "struct<label:string,probability:double,legit_probability:double,confidence:string>")})
-    if not wants_features:
-        answers = answers.withColumn("features", F.lit(None).cast(
-            "struct<" + ",".join(f"{f}:double" for f in FEATURES) + ">"))
-    kept = ["url", "verdict", "confidence", *SCORES, "dom_size", "dom_length", "resource_sig_length",
-            "detection_mode", "minimal_dom_adjustment_applied", "final_decision", "reason", "error",
-            "final_verdict", "decision_source", "features", "ml_prediction"]
-    answers = answers.select(*kept).withColumnsRenamed({"confidence": "ncd_confidence", "error": "ncd_error"})
-    answers = answers.withColumn("_read", F.lit(True))
-    if enrich is not None:
-        known = set(answers.columns)
-        answers = enrich(answers)
-        extra = [c for c in answers.columns if c not in known]
+    judge = dict(protos=protos, cluster_protos=cluster_protos, model=model, gate=gate, gate_on=gate_on, **options)
+    if pages is None:
+        # a hit's text becomes NULL, which every later step passes over
+        carried = looked.withColumn("html", F.when(~hit, F.col("html")))
+        joined = _answer(read_pages(carried, small_dom_threshold, wants_features), **judge)
+        joined = joined.withColumn("_read", F.lit(True))
+        if enrich is not None:
+            joined = enrich(joined)
     else:
-        extra = []
+        # distinct first: copies of a hot url are merged before anything is shuffled
+        misses = checks.select("url").distinct()
+        if not skip_signature:
+            misses = signature_misses(misses, trusted)
+        landed = pages.select("url", "html")
+        if parse_first:
+            read = read_pages(landed, small_dom_threshold, wants_features).join(misses, "url", "left_semi")
+        else:
+            read = read_pages(landed.join(misses, "url", "left_semi"), small_dom_threshold, wants_features)
+        answers = _answer(read, **judge).withColumn("_read", F.lit(True))
+        if enrich is not None:
+            answers = enrich(answers)
+        joined = looked.join(answers, "url", "left")
+    known = {*looked.columns, "url", "html", *ANSWER, "ncd_confidence", "ncd_error", "_read"}
+    extra = [c for c in joined.columns if c not in known]
 
-    joined = looked.join(answers, "url", "left")
     error = F.when(~hit, F.coalesce(F.col("ncd_error"), F.when(F.col("_read").isNull(), ERROR_NO_DOM)))
     joined = joined.withColumn("error", error)
     bad = F.col("error").isNotNull()
@@ -148,7 +169,7 @@ def detect(checks: DataFrame, pages: DataFrame, feed: DataFrame, protos: DataFra
 
     identity = F.uuid() if detection_id is None else detection_id
     out = joined.select(
-        *checks.columns,
+        *passed,
         F.when(hit, "phish").when(bad, UNKNOWN).otherwise(F.coalesce("final_verdict", "verdict")).alias("classification"),
         F.when(hit, SIGNATURE_SOURCE).when(bad, "error").otherwise(F.col("decision_source")).alias("source"),
         F.when(hit, "high").when(bad, "low").otherwise(F.col("ncd_confidence")).alias("confidence"),

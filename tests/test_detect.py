@@ -76,6 +76,18 @@ def test_parse_first_gives_the_same(spark, data):
     assert one == two
 
 
+def test_checks_that_carry_their_page(spark, data):
+    _, p, pages, feed = data
+    known = pages.unionByName(spark.createDataFrame([("https://f.org/", "<p>a hit</p>")], "url string, html string"))
+    carried = known.withColumn("id", F.monotonically_increasing_id())
+    plain = detect(carried.drop("html"), known, feed, p, detection_id=F.lit(1)).drop("detected_at")
+    own = detect(carried, None, feed, p, detection_id=F.lit(1)).drop("detected_at")
+    assert own.select(*plain.columns).orderBy("url").collect() == plain.orderBy("url").collect()
+    changed = spark.createDataFrame([("https://a.org/", "<p>x</p>"), ("https://a.org/", LONG)], "url string, html string")
+    rows = detect(changed, None, feed, p, small_dom_threshold=1).collect()
+    assert len({r.dom_size for r in rows}) == 2  # each check is judged by the page it carries
+
+
 def test_hot_url_is_measured_once(spark, data):
     _, p, pages, feed = data
     checks = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "https://a.org/").otherwise("https://b.org/").alias("url"))

@@ -385,6 +385,7 @@ DETECTED = f"""detected AS (
   FROM checks c LEFT JOIN feed f USING (url) JOIN verdicts v USING (url))"""
 ORACLE["detect_tag_jaccard"] = sql(*JUDGED, CHECKS, FEED_RAW, FEED, DETECTED, select="SELECT * FROM detected")
 ORACLE["detect_parse_first_tag_jaccard"] = ORACLE["detect_tag_jaccard"]
+ORACLE["detect_carried_pages_tag_jaccard"] = ORACLE["detect_tag_jaccard"]
 ORACLE["detect_stream"] = ORACLE["detect_tag_jaccard"]
 ORACLE["detect_signature_only"] = sql(CHECKS, FEED_RAW, FEED, select=f"""
 SELECT event_id, url, CASE WHEN phish_id IS NOT NULL THEN 'phish' ELSE 'legit' END AS classification, 'signature-local' AS source,

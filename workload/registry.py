@@ -432,6 +432,15 @@ def detect_parse_first_tag_jaccard(spark, sf):
     return out.select(*ANSWER, *[F.col(f"prototype_scores.{s}").alias(s) for s in SCORES])
 
 
+@query
+def detect_carried_pages_tag_jaccard(spark, sf):
+    """Every check brings its own page."""
+    checks = I.url_checks(spark, sf).drop("ts").join(I.pages(spark, sf).drop("page_id"), "url")
+    out = detect(checks, None, I.feed(spark, sf), I.prototypes(spark, sf, "tag_jaccard"),
+                 detection_id=F.col("event_id"), **JACCARD, **DETECT)
+    return out.select(*ANSWER, *[F.col(f"prototype_scores.{s}").alias(s) for s in SCORES])
+
+
 @query
 def detect_signature_only(spark, sf):
     out = _detect(spark, sf, "tag_jaccard", skip_ncd=True)
