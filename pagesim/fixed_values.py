@@ -53,6 +53,18 @@ SIGNATURE_SOURCE = "signature-local"
 SKIPPED_MESSAGE = "URL not found in PhishTank database, NCD analysis skipped"
 ERROR_NO_DOM = "Unable to extract DOM from URL."
 ERROR_NO_PROTOTYPES = "No prototypes available."
+ERROR_NOT_FETCHED = "Unable to fetch DOM"
+
+# Explanations; scores are filled in with four decimals.
+DECISION_PHISH_MINIMAL = "Phishing prototype match ({phish}) better than adjusted legitimate ({adjusted}, original: {legit})"
+DECISION_PHISH = "Phishing prototype match ({phish}) better than legitimate ({legit})"
+DECISION_LEGIT_MINIMAL = "Legitimate prototype match ({adjusted}, original: {legit}) better than phishing ({phish})"
+DECISION_LEGIT = "Legitimate prototype match ({legit}) better than phishing ({phish})"
+REASON = (
+    "Classified as {verdict}. Phishing prototype distances: min={phish}, avg={phish_avg}. "
+    "Legitimate prototype distances: min={legit}, avg={legit_avg}. {penalty}{decision}"
+)
+REASON_PENALTY = "Minimal DOM penalty applied (+{amount}). "
 
 # Certificate probe answers, first matching keyword wins.
 SSL_MESSAGES = [

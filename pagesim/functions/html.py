@@ -207,7 +207,7 @@ def sanitize(df: DataFrame, mode: str = TAGS_ONLY, **options) -> DataFrame:
         return sanitize_tags(df, **options)
     if mode == TAGS_ATTRS:
         return sanitize_tags_attrs(df, **options)
-    raise ValueError(f"Invalid mode {mode!r}. Use {TAGS_ONLY!r} or {TAGS_ATTRS!r}.")
+    raise ValueError(f"no sanitizing mode {mode!r}; there are {TAGS_ONLY!r} and {TAGS_ATTRS!r}")
 
 
 def dom_length(dom: Column) -> Column:

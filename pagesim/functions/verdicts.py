@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
+    DECISION_LEGIT, DECISION_LEGIT_MINIMAL, DECISION_PHISH, DECISION_PHISH_MINIMAL,
     ERROR_NO_PROTOTYPES, MINIMAL_DOM_PENALTY, MINIMAL_DOM_THRESHOLD, ML_GATE, MODE_DOM,
-    MODE_RESOURCES, SMALL_DOM_THRESHOLD, UNKNOWN,
+    MODE_RESOURCES, REASON, REASON_PENALTY, SMALL_DOM_THRESHOLD, UNKNOWN,
 )
 
 
@@ -61,8 +64,10 @@ def ml_confidence_band(phish_p: Column, legit_p: Column) -> Column:
     return F.when(best > 0.8, "high").when(best > 0.6, "medium").otherwise("low")
 
 
-def _f4(score: Column) -> Column:
-    return F.format_string("%.4f", score)
+def _fill(template: str, **values: Column) -> Column:
+    """``template`` with its {names} replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[part] if i % 2 else F.lit(part) for i, part in enumerate(parts) if part])
 
 
 def classify_scores(df: DataFrame, classified: str = "dom", has_prototypes: bool = True,
@@ -85,30 +90,17 @@ def classify_scores(df: DataFrame, classified: str = "dom", has_prototypes: bool
     adjusted = F.when(minimal, legit + penalty).otherwise(legit)
     is_phish = phish < adjusted
     verdict = F.when(is_phish, "phish").otherwise("legit")
-    decision = F.when(
-        is_phish & minimal,
-        F.concat(F.lit("Phishing prototype match ("), _f4(phish), F.lit(") better than adjusted legitimate ("),
-                 _f4(adjusted), F.lit(", original: "), _f4(legit), F.lit(")")),
-    ).when(
-        is_phish,
-        F.concat(F.lit("Phishing prototype match ("), _f4(phish), F.lit(") better than legitimate ("),
-                 _f4(legit), F.lit(")")),
-    ).when(
-        minimal,
-        F.concat(F.lit("Legitimate prototype match ("), _f4(adjusted), F.lit(", original: "), _f4(legit),
-                 F.lit(") better than phishing ("), _f4(phish), F.lit(")")),
-    ).otherwise(
-        F.concat(F.lit("Legitimate prototype match ("), _f4(legit), F.lit(") better than phishing ("),
-                 _f4(phish), F.lit(")")),
-    )
-    reason = F.concat(
-        F.lit("Classified as "), F.col("verdict"),
-        F.lit(". Phishing prototype distances: min="), _f4(phish), F.lit(", avg="), _f4(F.col("phish_avg")),
-        F.lit(". Legitimate prototype distances: min="), _f4(legit), F.lit(", avg="), _f4(F.col("legit_avg")),
-        F.lit(". "),
-        F.when(minimal, F.lit(f"Minimal DOM penalty applied (+{penalty}). ")).otherwise(F.lit("")),
-        F.col("final_decision"),
-    )
+    shown = {name: F.format_string("%.4f", score) for name, score in {
+        "phish": phish, "legit": legit, "adjusted": adjusted,
+        "phish_avg": F.col("phish_avg"), "legit_avg": F.col("legit_avg")}.items()}
+    decision = (
+        F.when(is_phish & minimal, _fill(DECISION_PHISH_MINIMAL, **shown))
+        .when(is_phish, _fill(DECISION_PHISH, **shown))
+        .when(minimal, _fill(DECISION_LEGIT_MINIMAL, **shown))
+        .otherwise(_fill(DECISION_LEGIT, **shown)))
+    reason = _fill(
+        REASON, verdict=F.col("verdict"), decision=F.col("final_decision"),
+        penalty=F.when(minimal, REASON_PENALTY.format(amount=penalty)).otherwise(""), **shown)
     return (
         df.withColumn("dom_size", F.octet_length(classified).cast("bigint"))
         .withColumn("minimal_dom_adjustment_applied", is_minimal(F.col(classified), minimal_threshold))

@@ -62,7 +62,7 @@ class PageModel:
 
     def __init__(self, model_type: str = LOGISTIC, features=FEATURES):
         if model_type not in (LOGISTIC, FOREST):
-            raise ValueError(f"Unknown model type: {model_type}. Use {LOGISTIC!r} or {FOREST!r}")
+            raise ValueError(f"no model type {model_type!r}; there are {LOGISTIC!r} and {FOREST!r}")
         self.model_type = model_type
         self.features = list(features)
         self.pipeline: PipelineModel | None = None
@@ -105,7 +105,7 @@ class PageModel:
     def predict(self, df: DataFrame, prefix: str = "ml_") -> DataFrame:
         """Add label, probability (of phish), legit_probability and confidence."""
         if self.pipeline is None:
-            raise ValueError("Model not trained. Call train() first or load a saved model.")
+            raise ValueError("predicting needs a trained or loaded model")
         out = self.pipeline.transform(df)
         p = vector_to_array("_p")
         out = out.withColumns({
@@ -118,7 +118,7 @@ class PageModel:
     def save(self, path: str) -> None:
         """K8."""
         if self.pipeline is None:
-            raise ValueError("Model not trained. Cannot save untrained model.")
+            raise ValueError("there is nothing to save before training")
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         spark = SparkSession.getActiveSession()
         details = [(self.model_type, self.features, self.n_samples)]

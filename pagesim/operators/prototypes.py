@@ -98,7 +98,7 @@ def fpf_select(samples: DataFrame, k: int = DEFAULT_K, by: str | None = None, ke
     whole = [g for g, n in sizes.items() if n <= k]
     active = [g for g in sizes if g not in whole]
     if active and k <= 0:
-        raise ValueError(f"k must be positive, got {k}")
+        raise ValueError(f"cannot select {k} rows")
 
     picked = []  # (group, key, index, cover distance): k per class
     for g in whole:

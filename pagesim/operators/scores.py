@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import LEGIT_SET, NEAREST_THRESHOLD, PHISH_SETS
+from ..fixed_values import ERROR_NOT_FETCHED, LEGIT_SET, NEAREST_THRESHOLD, PHISH_SETS
+from ..session import materialize
 from .distances import PrototypeSet, distances_to, grid_scores, set_scores
 
 
@@ -28,6 +29,7 @@ def scores_by_set(cands: DataFrame, protos: DataFrame | PrototypeSet, names: dic
                 F.col("_d"), bounded, name)
         return measured.withColumns(columns).drop("_d")
 
+    cands = materialize(cands, "candidates")  # sized, measured and joined: three reads
     found = grid_scores(cands, protos, key, payload, distance, set_col, order_col)
     wide = found.groupBy(key).agg(*[
         agg for name, prefix in names.items() for agg in (
@@ -82,6 +84,6 @@ def nearest_sample(cands: DataFrame, samples: DataFrame, threshold: float = NEAR
                     .when(d > threshold, "phish").otherwise(F.coalesce("_label", F.lit("unknown"))))
         .withColumn("closest_sample", F.when(has_dom & F.col("_d").isNotNull(),
                                              F.coalesce("_url", F.lit("unknown"))))
-        .withColumn("error", F.when(~F.coalesce(has_dom, F.lit(False)), "Unable to fetch DOM"))
+        .withColumn("error", F.when(~F.coalesce(has_dom, F.lit(False)), ERROR_NOT_FETCHED))
         .drop("_d", "_label", "_url")
     )

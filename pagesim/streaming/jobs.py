@@ -40,30 +40,41 @@ def dedupe_checks(checks: DataFrame, ttl_seconds: int = 3600, ts: str = "ts",
     The built-in watermark deduplication drops repeats for up to twice its delay; here a kept
     check answers for exactly its lifetime of event time, then the next one is kept. State is
     one time per live url and is cleared by event-time timeout. Within a micro-batch the checks
-    of a url are taken in time order."""
+    of a url are taken in time order; frames are thinned as they arrive, so a hot url whose answer
+    is live holds no rows, and the trigger's rate limit bounds the rest."""
     if "skip_signature" not in checks.columns:
         checks = checks.withColumn("skip_signature", F.lit(False))
     columns = checks.columns
-    life = pd.Timedelta(seconds=ttl_seconds)
+    life = ttl_seconds * 1_000_000
 
     def keep(key, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        until = pd.Timestamp(state.get[0], unit="us") if state.exists else pd.Timestamp.min
+        until = state.get[0] if state.exists else None
+        held = None
+        for frame in frames:
+            if until is not None:
+                frame = frame[frame["_us"] >= until]
+            held = frame if held is None else pd.concat([held, frame])
+            held = held.drop_duplicates("_us")
+            if until is not None and len(held):
+                # whichever of these is kept first, it answers for the ones before until + life
+                first = held["_us"].min()
+                held = held[(held["_us"] <= first) | (held["_us"] >= until + life)]
+        rows = held.sort_values("_us", kind="stable")
         kept = []
-        for position, moment in enumerate(rows[ts]):
-            if moment >= until:
+        for position, moment in enumerate(rows["_us"].tolist()):
+            if until is None or moment >= until:
                 kept.append(position)
                 until = moment + life
-        state.update((until.value // 1000,))
+        state.update((until,))
         # an expiry the watermark has already passed is cleared at its next step
-        state.setTimeoutTimestamp(max(until.value // 1_000_000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs() + 1))
         yield rows.iloc[kept][columns]
 
-    grouped = checks.withWatermark(ts, late).groupBy("url", "skip_signature")
-    return grouped.applyInPandasWithState(
+    timed = checks.withColumn("_us", F.unix_micros(ts)).withWatermark(ts, late)
+    return timed.groupBy("url", "skip_signature").applyInPandasWithState(
         keep, checks.schema, "until_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
