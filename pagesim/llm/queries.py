@@ -6,6 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagesim.llm.packing import pack_documents
+from pagesim.llm.quality_rules import apply_rules, train_rules
+from pagesim.llm.secret_scan import scan_secrets
+from pagesim.llm.sharding import shard_documents
 from pagesim.llm.text import table
 from pagesim.llm.token_files import token_files
 
@@ -20,5 +23,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_packing)}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, train_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op10_secret_scan)}
 ORACLE: dict[str, str] = {}
