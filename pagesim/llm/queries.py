@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pagesim.llm.line_dedup import dedup_lines
 from pagesim.llm.packing import pack_documents
 from pagesim.llm.quality_rules import apply_rules, train_rules
 from pagesim.llm.secret_scan import scan_secrets
@@ -15,6 +16,11 @@ from pagesim.llm.token_files import token_files
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return dedup_lines(docs.select("doc_id", "text"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -36,5 +42,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op10_secret_scan)}
 ORACLE: dict[str, str] = {}
