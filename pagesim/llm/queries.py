@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pagesim.llm.decontamination import find_leaks
 from pagesim.llm.line_dedup import dedup_lines
 from pagesim.llm.packing import pack_documents
 from pagesim.llm.quality_rules import apply_rules, train_rules
@@ -38,9 +39,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op9_decontamination,
+                                  op10_secret_scan)}
 ORACLE: dict[str, str] = {}
