@@ -13,6 +13,7 @@ from pagesim.llm.secret_scan import scan_secrets
 from pagesim.llm.sharding import shard_documents
 from pagesim.llm.text import table
 from pagesim.llm.token_files import token_files
+from pagesim.llm.toxicity import score_toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -39,6 +40,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +52,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op9_decontamination,
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op8_toxicity, op9_decontamination,
                                   op10_secret_scan)}
 ORACLE: dict[str, str] = {}
