@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagesim.llm.decontamination import find_leaks
 from pagesim.llm.line_dedup import dedup_lines
 from pagesim.llm.packing import pack_documents
+from pagesim.llm.quality_classifier import score_quality
 from pagesim.llm.quality_rules import apply_rules, train_rules
 from pagesim.llm.secret_scan import scan_secrets
 from pagesim.llm.sharding import shard_documents
@@ -18,6 +19,10 @@ from pagesim.llm.toxicity import score_toxicity
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return dedup_lines(docs.select("doc_id", "text"))
@@ -52,6 +57,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op8_toxicity, op9_decontamination,
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op8_toxicity, op9_decontamination,
                                   op10_secret_scan)}
 ORACLE: dict[str, str] = {}
