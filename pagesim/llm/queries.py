@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagesim.llm.decontamination import find_leaks
 from pagesim.llm.line_dedup import dedup_lines
+from pagesim.llm.ngram_join import join_similar
 from pagesim.llm.packing import pack_documents
 from pagesim.llm.quality_classifier import score_quality
 from pagesim.llm.quality_rules import apply_rules, train_rules
@@ -45,6 +46,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +62,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op8_toxicity, op9_decontamination,
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op7_ngram_join, op8_toxicity, op9_decontamination,
                                   op10_secret_scan)}
 ORACLE: dict[str, str] = {}
