@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesim.llm.hashing import ByteSums, mix
-from pagesim.llm.text import narrow, slices
+from pagesim.llm.text import SPACES, narrow, slices
 from pagesim.session import materialize
 
 WORDS, PERCENT = 5, 75
@@ -228,9 +228,9 @@ def _candidates(key, size, first, groups, pairs: set) -> None:
 def _near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``docs`` at the places (doc_id, th) of ``wanted``: sent out if few, else joined."""
     few = wanted.count() <= SMALL_ROWS
-    there = (F.broadcast(wanted) if few else wanted).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.join(there, plain["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_semi")
+    there = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    at = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_th"))
+    return docs.join(F.broadcast(there) if few else there, at, "left_semi")
 
 
 def candidates(docs: DataFrame, sets: DataFrame, moved: np.ndarray) -> DataFrame:
@@ -379,3 +379,20 @@ def join_similar(docs: DataFrame) -> DataFrame:
     return named.join(least, "part", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "th", "part")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the least doc_id (then text hash); rows without
+    a word all stay. Rows that agree in doc_id and text are one document and leave one row."""
+    wordless = F.btrim(F.coalesce(docs["text"], F.lit("")), F.lit(SPACES)) == ""
+    spoken = docs.where(~wordless)
+    named = materialize(join_similar(docs).where("part is not null"), "component-names")
+    first = named.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("at"))
+    rows = named.groupBy("part", "doc_id", "th").count()
+    kept = materialize(rows.join(first, "part").where(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th") == F.col("at"))
+                       .select("doc_id", "th", "count"), "component-first")
+    once = _near(spoken, kept.where("count = 1"))
+    again = kept.where("count > 1")
+    if again.take(1):
+        once = once.unionAll(_near(spoken, again).dropDuplicates(["doc_id", "text"]))
+    return once.unionAll(docs.where(wordless))

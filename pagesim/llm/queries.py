@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pagesim.llm.decontamination import find_leaks
 from pagesim.llm.line_dedup import dedup_lines
 from pagesim.llm.ngram_join import join_similar
@@ -62,6 +63,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding, op7_ngram_join, op8_toxicity, op9_decontamination,
-                                  op10_secret_scan)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding,
+    op7_ngram_join, op8_toxicity, op9_decontamination, op10_secret_scan)} | {"pipeline": corpus_pipeline.run}
+ORACLE: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
