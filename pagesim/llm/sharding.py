@@ -46,7 +46,8 @@ class Intervals:
             inside = here if inside is None else inside | here
             # the distance from the range's start may exceed a long: decimals hold it
             at = F.floor((F.col("key").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(w).cast("decimal(20,0)"))
-            piece = F.when(here, at.cast("long") + k * pieces) if piece is None else piece.when(here, at.cast("long") + k * pieces)
+            at = F.least(at.cast("long"), F.lit(pieces - 1)) + k * pieces  # the quotient may round up
+            piece = F.when(here, at) if piece is None else piece.when(here, at)
         rows = (self.groups.where(inside).groupBy(piece.alias("piece"))
                 .agg(F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).collect())
         return sorted((r.low, r.high, r.size, r.low == r.high) for r in rows)
