@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -9,7 +10,7 @@ import zlib
 import numpy as np
 import regex
 
-MAX_CHUNKS, MAX_WORDS = 400_000, 300_000
+MAX_CHUNKS, MAX_WORDS = 600_000, 450_000
 #: Text before this character has the same classes in every Unicode version the libraries know.
 _SETTLED = "ɐ"
 #: Marks a chunk that is taken as it is, without the space before it. No text holds half a surrogate pair.
@@ -33,9 +34,12 @@ class _Cache:
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
+    def turn(self) -> None:
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys without a value; what only the old generation knows moves to the new one."""
         out = []
         for key in keys.difference(self.new):
             if key in self.old:
@@ -70,51 +74,89 @@ class Encoder:
     def _bytes(self, ids) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _letters(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.letters[32])
+        return word.encode().decode("latin-1").translate(self.letters)
+
     def _learn_words(self, words: set[str]) -> None:
-        new = self.words.missing(words)
+        new, known = self.words.missing(words), self.words.new
         for at in range(0, len(new), 4096):
             some = new[at:at + 4096]
-            code = self.model.encode([w.encode().decode("latin-1").translate(self.letters) for w in some],
-                                     is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(code.ids, self.dtype)
-            ends = np.cumsum(np.bincount(np.array(code.word_ids, np.int64), minlength=len(some)))
+            code = self.model.encode([self._letters(w) for w in some], is_pretokenized=True, add_special_tokens=False)
+            ids, size = np.array(code.ids, self.dtype).tobytes(), self.dtype.itemsize
+            ends = size * np.cumsum(np.bincount(np.array(code.word_ids, np.int64), minlength=len(some)))
             start = 0
             for word, end in zip(some, ends.tolist()):
-                self.words.new[word] = ids[start:end].tobytes()
+                known[word] = ids[start:end]
                 start = end
 
-    def _learn_chunks(self, chunks: set[str]) -> None:
-        cut = {}
-        for chunk in self.chunks.missing(chunks):
-            if chunk[:1] == _AS_IS:
-                text = chunk[1:]
+    def _learn_chunks(self, chunks: set[str], settled: bool) -> None:
+        """``settled``: no chunk holds a special token or a character beyond the settled ones."""
+        one, two, more = [], [], {}
+        learned = self.chunks.missing(chunks)
+        known = self.chunks.new
+        for chunk in learned:
+            if chunk.isalpha():
+                one.append(chunk)
+            elif chunk[:-1].isalpha() and chunk[-1] in ".,":
+                two.append(chunk)
+            elif chunk[:1] == _AS_IS:
+                more[chunk] = chunk[1:]
             elif not chunk or chunk[-1].isspace():
-                self.chunks.new[chunk] = None  # the space behind it belongs to the same run
-                continue
-            else:
-                text = " " + chunk
-            if text and max(text) >= _SETTLED or any(s in text for s in self.special):
-                self.chunks.new[chunk] = self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
+                known[chunk] = None  # the space behind it belongs to the same run
             else:
-                cut[chunk] = _WORDS.findall(text)
-        self._learn_words(set().union(*cut.values()))
-        known = self.words.new
+                more[chunk] = " " + chunk
+        if not settled:
+            more |= {chunk: " " + chunk for chunk in one + two}
+            one, two = [], []
+            for chunk, text in list(more.items()):
+                if text and max(text) >= _SETTLED or any(s in text for s in self.special):
+                    known[chunk] = self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
+                    del more[chunk]
+        cut = {chunk: _WORDS.findall(text) for chunk, text in more.items()}
+        words = set().union(*cut.values())
+        words.update([" " + c for c in one], [" " + c[:-1] for c in two], (".", ","))
+        self._learn_words(words)
+        ids = self.words.new
+        for chunk in one:
+            known[chunk] = ids[" " + chunk]
+        for chunk in two:
+            known[chunk] = ids[" " + chunk[:-1]] + ids[chunk[-1]]
         for chunk, words in cut.items():
-            self.chunks.new[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            known[chunk] = b"".join([ids[w] for w in words])
+
+    def _settled(self, text: str) -> bool:
+        return (text.isascii() or max(text) < _SETTLED) and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        """The ids of each text (None: empty) with ``end_id`` behind them."""
+        """The ids of each text (None: empty) with ``end_id`` behind them.
+
+        Millions of strings arise and none of them in a cycle: the cycle collector waits meanwhile."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts, end_id)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         end = self._bytes([end_id])
         if not self.cuttable:
             codes = self.whole.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [np.frombuffer(self._bytes(c.ids) + end, self.dtype) for c in codes]
-        cut = []
+        cut, plain, other = [], set(), set()
         for text in texts:
             chunks = text.split(" ") if text else []
             if chunks:
                 chunks[0] = _AS_IS + chunks[0]
+                (plain if self._settled(text) else other).update(chunks)
             cut.append(chunks)
-        self._learn_chunks(set().union(*cut))
+        self.chunks.turn()
+        self.words.turn()
+        self._learn_chunks(plain, True)
+        self._learn_chunks(other, False)
         out, odd = [], []
         known = self.chunks.new.__getitem__
         for k, chunks in enumerate(cut):
@@ -127,7 +169,7 @@ class Encoder:
                 out.append(None)
         for k in odd:
             chunks = [_AS_IS + c for c in _INNER_SPACE.split(texts[k])]
-            self._learn_chunks(set(chunks))
+            self._learn_chunks(set(chunks), False)
             out[k] = np.frombuffer(b"".join(map(self.chunks.new.__getitem__, chunks)) + end, self.dtype)
         return out
 
