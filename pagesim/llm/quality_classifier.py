@@ -23,7 +23,7 @@ PASSAGE_WORDS, PAIR_BINS = 64, 32
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE_ROWS = 8_000
 THRESHOLD, FOLDS = 0.3, 5
-HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 128, 0.01, 1e-4
+HIDDEN, GATE, EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 24, 12, 40, 1500, 128, 0.01, 1e-4
 #: Texts of about so many bytes are encoded at a time.
 ENCODE_BYTES = 1 << 20
 
@@ -64,8 +64,10 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     size = np.bincount(of_byte, minlength=total).astype(np.float32)
     out[:, :N_KINDS] = np.bincount(of_byte * N_KINDS + kind, minlength=total * N_KINDS).reshape(total, -1) / size[:, None]
     pairs = _PAIRS[(data[:-1].astype(np.int64) << 8) | data[1:]]
-    out[:, N_KINDS:N_KINDS + PAIR_BINS] = (
-        np.bincount(of_byte[:-1] * PAIR_BINS + pairs, minlength=total * PAIR_BINS).reshape(total, -1) / size[:, None])
+    bins = of_byte[:-1] * PAIR_BINS + pairs
+    counts = np.bincount(bins, minlength=total * PAIR_BINS)
+    np.subtract.at(counts, bins[doc_end[:-1] - 1], 1)  # pairs across the end of a text
+    out[:, N_KINDS:N_KINDS + PAIR_BINS] = counts.reshape(total, -1) / size[:, None]
     n = np.maximum(1, np.bincount(passage, minlength=total)).astype(np.float32)
     share = lambda flags: np.bincount(passage, weights=flags, minlength=total) / n
     if len(starts):
@@ -143,9 +145,9 @@ def fit(bags: list[np.ndarray], y: np.ndarray) -> AttentionModel:
     model.w["mean"], model.w["scale"] = every.mean(0), every.std(0) + np.float32(1e-4)
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
-    step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    step, epochs = 0, max(EPOCHS, -(-LEAST_STEPS * BATCH // len(bags)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = draw.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             own = order[at:at + BATCH]
