@@ -256,7 +256,7 @@ def native_depth(html: Column) -> Column:
         is_end = event.startswith("</")
         opened = state["open"]
         # innermost first, so the position of a name is how many entries its end tag closes
-        nearest = F.array_position(opened, F.concat(F.lit("<"), F.substring(event, 3, 1 << 20)))
+        nearest = F.array_position(opened, F.concat(F.lit("<"), F.substr(event, F.lit(3))))
         after_end = F.when(
             nearest > 0, F.slice(opened, (nearest + 1).cast("int"), F.greatest(F.size(opened), F.lit(1)))
         ).otherwise(opened)

@@ -23,15 +23,23 @@ def as_samples(doms: DataFrame, label: Column, ts: Column) -> DataFrame:
         F.octet_length("dom").cast("bigint").alias("size"), label.alias("label"), "dom")
 
 
+def newest_pages(read: DataFrame, columns: list[str], newest: str | None = None) -> DataFrame:
+    """One row (url, columns) for each url: that of the greatest ``newest``, or of equal ones, and
+    without such a column, the greatest by content. Copies combine before they are shuffled."""
+    order = F.struct(*([newest] if newest else []), F.xxhash64(*columns).alias("_content"))
+    return read.groupBy("url").agg(F.max_by(F.struct(*columns), order).alias("_p")).select("url", "_p.*")
+
+
 def build_samples(urls: DataFrame, pages: DataFrame, label: str | Column, ts: Column | None = None,
-                  mode: str = TAGS_ONLY, keep_failed: bool = False) -> DataFrame:
+                  mode: str = TAGS_ONLY, keep_failed: bool = False, newest: str | None = None) -> DataFrame:
     """Sanitized, labelled samples of the listed urls.
 
-    A url listed twice is sampled twice, but its page is read once. ``keep_failed`` also keeps
-    urls that have no page or an empty result (for A6)."""
+    A url listed twice is sampled twice, but its page is read once; of several landed pages of a
+    url one counts (see ``newest_pages``). ``keep_failed`` also keeps urls that have no page or an
+    empty result (for A6)."""
     label = F.lit(label) if isinstance(label, str) else label
     listed = pages.join(urls.select("url").distinct(), "url", "left_semi")
-    doms = sanitize(listed.select("url", "html"), mode).select("url", "dom")
+    doms = newest_pages(sanitize(listed.select("url", "html", *([newest] if newest else [])), mode), ["dom"], newest)
     out = as_samples(urls.join(doms, "url", "left"), label, F.current_timestamp() if ts is None else ts)
     return out if keep_failed else out.filter(F.octet_length("dom") > 0)
 

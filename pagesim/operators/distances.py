@@ -25,6 +25,15 @@ MAX_BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS = 256
 SMALLEST_BLOCK = 32
 BLOCK_BYTES = 16 << 20
+CELLS_PER_TASK = 4
+
+
+def payload_bytes(df: DataFrame, payload: str) -> Column:
+    """Bytes of one payload, whatever its type."""
+    kind = df.schema[payload].dataType
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(payload), F.lit(0)) * 8
+    return F.octet_length(payload) if isinstance(kind, (T.BinaryType, T.StringType)) else F.lit(8)
 
 
 @dataclass(frozen=True)
@@ -40,8 +49,9 @@ class PrototypeSet:
              payload: str = "dom", max_rows: int = MAX_BROADCAST_ROWS,
              max_bytes: int = MAX_BROADCAST_BYTES) -> PrototypeSet | None:
         """None when the table is beyond the bound; the caller then takes the grid."""
-        binary = payload if isinstance(protos.schema[payload].dataType, T.BinaryType) else None
-        rows = bounded_rows(protos.filter(F.col(payload).isNotNull()), max_rows, binary, max_bytes)
+        needed = list(dict.fromkeys([set_col, order_col, payload]))
+        rows = bounded_rows(protos.filter(F.col(payload).isNotNull()).select(*needed), max_rows,
+                            payload_bytes(protos, payload), max_bytes)
         if rows is None:
             return None
         ordered = sorted((r.asDict() for r in rows), key=lambda r: (r[set_col], r[order_col]))
@@ -89,18 +99,19 @@ def set_scores(distances: Column, protos: PrototypeSet, name: str) -> tuple[Colu
 
 def prototype_distances(cands: DataFrame, protos: DataFrame, key: str = "page_id",
                         payload: str = "dom", distance: str = "ncd", set_col: str = "label",
-                        order_col: str = "prototype_index") -> DataFrame:
-    """J4/J6 in long form, one row per candidate and prototype of a bounded set."""
-    bounded = PrototypeSet.load(protos, set_col, order_col)
+                        order_col: str = "prototype_index", proto_payload: str = "dom") -> DataFrame:
+    """J4/J6 in long form, one row per candidate and prototype: a set beyond the bound goes
+    through the grid, whose cells then give their pairs."""
+    bounded = PrototypeSet.load(protos, set_col, order_col, proto_payload)
     if bounded is None:
-        raise ValueError("long-form distances are for a bounded prototype set; use class_scores")
+        return grid_pairs(cands, protos, key, payload, distance, set_col, order_col, proto_payload)
     schema = protos.select(set_col, order_col).schema
     names = F.array(*[
         F.struct(F.lit(r[set_col]).cast(schema[set_col].dataType).alias(set_col),
                  F.lit(r[order_col]).cast(schema[order_col].dataType).alias(order_col))
         for r in bounded.rows
     ])
-    scored = cands.select(key, distances_to(F.col(payload), bounded, distance).alias("d"))
+    scored = cands.select(key, distances_to(F.col(payload), bounded, distance, proto_payload).alias("d"))
     pairs = scored.select(key, F.explode(F.arrays_zip(names.alias("p"), F.col("d").alias("d"))).alias("x"))
     return pairs.select(key, f"x.p.{set_col}", f"x.p.{order_col}", F.col("x.d").alias("distance"))
 
@@ -108,9 +119,7 @@ def prototype_distances(cands: DataFrame, protos: DataFrame, key: str = "page_id
 # --- the grid -----------------------------------------------------------------------------
 
 def _size_columns(df: DataFrame, payload: str) -> list[Column]:
-    is_binary = isinstance(df.schema[payload].dataType, T.BinaryType)
-    size = F.sum(F.octet_length(payload)) if is_binary else F.lit(0)
-    return [F.count("*").alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")]
+    return [F.count("*").alias("rows"), F.coalesce(F.sum(payload_bytes(df, payload)), F.lit(0)).alias("bytes")]
 
 
 def _blocks(rows: int, size: int, cells_wanted: int, block_rows: int | None) -> int:
@@ -123,39 +132,25 @@ def _blocks(rows: int, size: int, cells_wanted: int, block_rows: int | None) ->
 
 
 def _cell_partitions(spark, cells: int) -> int:
-    """Tasks for the cells. Given explicitly: by bytes, adaptive execution would merge cells
-    that are small to ship but long to compute."""
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
-    return max(1, min(2 * cells, most))
+    """Tasks for the cells: so many that a task has ``CELLS_PER_TASK`` of them at most, however many
+    there are. Given explicitly: by bytes, adaptive execution would merge cells that are small to
+    ship but long to compute."""
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    return max(1, min(2 * cells, max(least, math.ceil(cells / CELLS_PER_TASK))))
 
 
 def grid_scores(cands: DataFrame, others: DataFrame, key: str, payload: str = "dom",
                 distance: str = "ncd", set_col: str = "label", order_col: str = "idx",
-                carry: tuple[str, ...] = (), block_rows: int | None = None) -> DataFrame:
+                carry: tuple[str, ...] = (), block_rows: int | None = None,
+                other_payload: str | None = None) -> DataFrame:
     """Per candidate and set: count, sum, minimum and the nearest row (ties to lowest order).
 
-    ``key`` must be unique. Rows are spread over blocks by hash, so no cell depends on how the
+    ``key`` must be unique. ``other_payload`` names the others' payload if it differs. Rows are spread over blocks by hash, so no cell depends on how the
     data is distributed; each cell combines before anything is shuffled again."""
     k = kernel(distance)
-    spark = cands.sparkSession
-    wanted = 8 * spark.sparkContext.defaultParallelism
-    left_blocks = _blocks(*cands.agg(*_size_columns(cands, payload)).first(), wanted, block_rows)
-    right_blocks = _blocks(*others.agg(*_size_columns(others, payload)).first(), wanted, block_rows)
-    tasks = _cell_partitions(spark, left_blocks * right_blocks)
-
-    def block(column, count):
-        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
-
-    def every(count):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = (cands.filter(F.col(payload).isNotNull()).select(key, F.col(payload).alias("payload"))
-            .withColumn("lb", block(F.col(key), left_blocks)).withColumn("rb", every(right_blocks)))
     extra = [c for c in carry if c not in (set_col, order_col)]
-    right = (others.filter(F.col(payload).isNotNull())
-             .select(set_col, order_col, *extra, F.col(payload).alias("payload"))
-             .withColumn("rb", block(F.struct(set_col, order_col), right_blocks))
-             .withColumn("lb", every(left_blocks)))
+    left, right, tasks = _place(cands, others, key, payload, set_col, order_col, extra, block_rows,
+                                other_payload or payload)
     near_fields = [others.schema[c] for c in [order_col, *extra]]
     schema = T.StructType([
         T.StructField(key, cands.schema[key].dataType),
@@ -193,6 +188,47 @@ def grid_scores(cands: DataFrame, others: DataFrame, key: str, payload: str = "d
              *[F.col(f"near.{c}").alias(c) for c in [order_col, *extra]])
 
 
+def _place(cands, others, key, payload, set_col, order_col, extra, block_rows, other_payload):
+    """Both sides in blocks by hash, each row with the cells it takes part in."""
+    spark = cands.sparkSession
+    wanted = 8 * spark.sparkContext.defaultParallelism
+    left_blocks = _blocks(*cands.agg(*_size_columns(cands, payload)).first(), wanted, block_rows)
+    right_blocks = _blocks(*others.agg(*_size_columns(others, other_payload)).first(), wanted, block_rows)
+
+    def block(column, count):
+        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    left = (cands.filter(F.col(payload).isNotNull()).select(key, F.col(payload).alias("payload"))
+            .withColumn("lb", block(F.col(key), left_blocks)).withColumn("rb", every(right_blocks)))
+    right = (others.filter(F.col(other_payload).isNotNull())
+             .select(set_col, order_col, *extra, F.col(other_payload).alias("payload"))
+             .withColumn("rb", block(F.struct(set_col, order_col), right_blocks))
+             .withColumn("lb", every(left_blocks)))
+    return left, right, _cell_partitions(spark, left_blocks * right_blocks)
+
+
+def grid_pairs(cands: DataFrame, others: DataFrame, key: str, payload: str = "dom", distance: str = "ncd",
+               set_col: str = "label", order_col: str = "idx", other_payload: str | None = None,
+               block_rows: int | None = None) -> DataFrame:
+    """Every candidate with every other row: (key, set, order, distance), made in the grid's cells."""
+    k = kernel(distance)
+    left, right, tasks = _place(cands, others, key, payload, set_col, order_col, [], block_rows, other_payload or payload)
+    schema = T.StructType([T.StructField(key, cands.schema[key].dataType), T.StructField(set_col, others.schema[set_col].dataType),
+                           T.StructField(order_col, others.schema[order_col].dataType), T.StructField("distance", T.DoubleType())])
+    names = [f.name for f in schema.fields]
+
+    def cell(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
+        targets = [(s, o, k.prepare(p)) for s, o, p in zip(rhs[set_col], rhs[order_col], rhs["payload"])]
+        mine = [(c, k.prepare(p)) for c, p in zip(lhs[key], lhs["payload"])]
+        return pd.DataFrame([(c, s, o, k.pair(m, t)) for c, m in mine for s, o, t in targets], columns=names)
+
+    left, right = left.repartition(tasks, "lb", "rb"), right.repartition(tasks, "lb", "rb")
+    return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(cell, schema)
+
+
 def _self_grid(samples: DataFrame, key: str, payload: str, distance: str, group: str | None,
                block_rows: int | None, emit: str) -> DataFrame:
     """Every unordered pair once, in cells of two blocks of one group.

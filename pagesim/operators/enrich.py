@@ -20,10 +20,17 @@ def enrich_domain(checks: DataFrame, whois: DataFrame, dns: DataFrame, certs: Da
     ``dns(domain, ns array, mx array)`` (NULL array: the lookup failed),
     ``certs(url, error_kind, error_text, issuer, not_before, not_after)``,
     ``hosting(host, ip, ptr)``. The narrow url columns are joined per distinct url first, so a
-    url checked a billion times meets each snapshot once."""
+    url checked a billion times meets each snapshot once. Of repeated snapshot rows of a domain,
+    url or host one counts, the greatest by content hash."""
     as_of = F.current_timestamp() if as_of is None else as_of
     known = checks.select("url").distinct().withColumns({
         "_domain": url_registrable_domain(F.col("url")), "_host": url_host(F.col("url"))})
+    def one(snapshot: DataFrame, key: str) -> DataFrame:
+        rest = [c for c in snapshot.columns if c != key]
+        row = F.max_by(F.struct(*rest), F.xxhash64(*rest)).alias("_s")
+        return snapshot.groupBy(key).agg(row).select(key, "_s.*")
+
+    whois, dns, certs, hosting = one(whois, "domain"), one(dns, "domain"), one(certs, "url"), one(hosting, "host")
     joined = (
         known.join(whois.withColumnRenamed("domain", "_domain"), "_domain", "left")
         .join(dns.withColumnRenamed("domain", "_domain").withColumn("_has_dns", F.lit(True)), "_domain", "left")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows, materialize
+from ..session import materialize
 
-MAX_SHIFTS = 200_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above, the row below
 
 
@@ -26,15 +25,13 @@ def ordered_index(df: DataFrame, order: list, by: list[str] = [], name: str = "i
     counts = placed.groupBy("_part", *by).agg(F.count("*").alias("_rows"), F.min("_at").alias("_from"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    # one row per partition and group; sent along when that is few, joined otherwise
-    few = bounded_rows(shifts, MAX_SHIFTS)
-    if few is not None:
-        shifts = F.broadcast(df.sparkSession.createDataFrame(few, shifts.schema))
-    return (
-        placed.join(shifts, ["_part", *by])
-        .withColumn(name, F.col("_at") - F.col("_from") + F.col("_shift"))
-        .drop("_at", "_part", "_from", "_shift")
-    )
+    # one row per partition and group; a missing group value is a group of its own
+    shifts = shifts.withColumnsRenamed({"_part": "_shift_part", **{c: f"_by_{c}" for c in by}})
+    same = F.col("_part") == F.col("_shift_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return placed.join(shifts, same).select(
+        *(c for c in df.columns if c != name), (F.col("_at") - F.col("_from") + F.col("_shift")).alias(name))
 
 
 def stratified_split(df: DataFrame, fraction: float = 0.2, seed: int = 42, id_col: str = "doc_id",
@@ -46,5 +43,6 @@ def stratified_split(df: DataFrame, fraction: float = 0.2, seed: int = 42, id_co
     shuffled = df.withColumn("_hash", F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed)))))
     ranked = ordered_index(shuffled, ["_hash", id_col], [label], "_rank").drop("_hash")
     quota = df.groupBy(label).agg(F.round(F.count("*") * fraction).cast("bigint").alias("_quota"))
-    return ranked.join(quota, label).withColumn("is_test", F.col("_rank") < F.col("_quota")).drop(
-        "_rank", "_quota")
+    quota = quota.withColumnRenamed(label, "_of")
+    return ranked.join(quota, F.col(label).eqNullSafe(F.col("_of"))).select(
+        *(c for c in df.columns if c != "is_test"), (F.col("_rank") < F.col("_quota")).alias("is_test"))

@@ -8,6 +8,8 @@ shared folder."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import random
 
 import pandas as pd
@@ -88,7 +90,8 @@ def fpf_select(samples: DataFrame, k: int = DEFAULT_K, by: str | None = None, ke
     """``k`` rows of every ``by`` class, added columns ``prototype_index`` (1-based
     selection order) and ``cover_distance`` (distance to the nearest earlier centre).
 
-    ``first`` is ``random`` (uniform by hashed key), ``lowest`` or a key. Ties go to the lower
+    ``first`` is ``random`` (uniform by hashed key), ``lowest``, a key, or with ``by`` a mapping
+    from class to key; every class of more than ``k`` rows must hold its key. Ties go to the lower
     key. A class of at most ``k`` rows is returned whole, in order."""
     spark = samples.sparkSession
     group = F.col(by) if by else F.lit("all")
@@ -140,11 +143,15 @@ def _first_centres(state: DataFrame, first, seed: int) -> dict:
         rows = state.groupBy("g").agg(F.min_by("key", rank).alias("key"))
     elif first == "lowest":
         rows = state.groupBy("g").agg(F.min("key").alias("key"))
+    elif isinstance(first, dict):
+        wanted = [(F.col("g") == F.lit(g)) & (F.col("key") == F.lit(key)) for g, key in first.items()]
+        rows = state.filter(reduce(lambda a, b: a | b, wanted, F.lit(False))).select("g", "key").distinct()
     else:
-        rows = state.filter(F.col("key") == F.lit(first)).select("g", "key")
+        rows = state.filter(F.col("key") == F.lit(first)).select("g", "key").distinct()
     chosen = {r["g"]: r["key"] for r in rows.collect()}
-    if not chosen:
-        raise ValueError(f"first centre {first!r} is not among the samples")
+    without = sorted(str(r["g"]) for r in state.select("g").distinct().collect() if r["g"] not in chosen)
+    if without:
+        raise ValueError(f"first centre {first!r} is not among the samples of {without}")
     return chosen
 
 

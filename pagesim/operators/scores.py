@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import ERROR_NOT_FETCHED, LEGIT_SET, NEAREST_THRESHOLD, PHISH_SETS
 from ..session import materialize
@@ -12,34 +13,45 @@ from .distances import PrototypeSet, distances_to, grid_scores, set_scores
 
 def scores_by_set(cands: DataFrame, protos: DataFrame | PrototypeSet, names: dict[str, str],
                   key: str = "page_id", payload: str = "dom", distance: str = "ncd",
-                  set_col: str = "label", order_col: str = "prototype_index") -> DataFrame:
+                  set_col: str = "label", order_col: str = "prototype_index",
+                  proto_payload: str = "dom") -> DataFrame:
     """Add ``<prefix>_min`` and ``<prefix>_avg`` for every set in ``names`` (set -> prefix).
 
-    ``key`` must identify a candidate; it is only used when the prototypes exceed the bound."""
+    Beyond the bound, distinct payloads are measured in the grid and joined back by their digest,
+    so rows need no key of their own and equal payloads are measured once."""
     bounded = protos if isinstance(protos, PrototypeSet) else PrototypeSet.load(
-        protos, set_col, order_col)
+        protos, set_col, order_col, proto_payload)
     if bounded is not None:
         if not bounded.rows:
             empty = {f"{p}_{s}": F.lit(1.0) for p in names.values() for s in ("min", "avg")}
             return cands.withColumns(empty)
-        measured = cands.withColumn("_d", distances_to(F.col(payload), bounded, distance))
+        measured = cands.withColumn("_d", distances_to(F.col(payload), bounded, distance, proto_payload))
         columns = {}
         for name, prefix in names.items():
             columns[f"{prefix}_min"], columns[f"{prefix}_avg"] = set_scores(
                 F.col("_d"), bounded, name)
         return measured.withColumns(columns).drop("_d")
 
-    cands = materialize(cands, "candidates")  # sized, measured and joined: three reads
-    found = grid_scores(cands, protos, key, payload, distance, set_col, order_col)
-    wide = found.groupBy(key).agg(*[
+    # written: sized, measured and joined are three reads
+    cands = materialize(cands.withColumn("_digest", payload_digest(cands, payload)), "candidates")
+    distinct = cands.where(F.col(payload).isNotNull()).select("_digest", payload).dropDuplicates(["_digest"])
+    found = grid_scores(distinct, protos, "_digest", payload, distance, set_col, order_col,
+                        other_payload=proto_payload)
+    wide = found.groupBy("_digest").agg(*[
         agg for name, prefix in names.items() for agg in (
             F.min(F.when(F.col(set_col) == name, F.col("min_distance"))).alias(f"{prefix}_min"),
             F.min(F.when(F.col(set_col) == name, F.col("total") / F.col("n"))).alias(f"{prefix}_avg"),
         )])
-    joined = cands.join(wide, key, "left")
-    absent = F.col(payload).isNotNull()
+    joined = cands.join(wide, "_digest", "left").drop("_digest")
+    there = F.col(payload).isNotNull()
     return joined.withColumns({
-        c: F.when(absent, F.coalesce(c, F.lit(1.0))) for c in wide.columns if c != key})
+        c: F.when(there, F.coalesce(c, F.lit(1.0))) for c in wide.columns if c != "_digest"})
+
+
+def payload_digest(df: DataFrame, payload: str) -> Column:
+    """A digest that equal payloads share."""
+    plain = F.col(payload) if isinstance(df.schema[payload].dataType, (T.BinaryType, T.StringType)) else F.to_json(F.struct(payload))
+    return F.sha2(plain.cast("binary"), 256)
 
 
 def class_scores(cands, protos, **options) -> DataFrame:
@@ -69,6 +81,7 @@ def nearest_sample(cands: DataFrame, samples: DataFrame, threshold: float = NEAR
     Ties go to the first sample. Beyond ``threshold``, and when nothing is below 1.0, the
     answer is ``phish``. A candidate without a dom answers ``error``."""
     one_set = samples.withColumn("_set", F.lit(1))
+    cands = materialize(cands, "candidates")  # sized, measured and joined: three reads
     found = grid_scores(cands, one_set, key, payload, distance, "_set", order_col,
                         carry=("label", "url"), **grid)
     near = found.filter(F.col("min_distance") < 1.0).select(

@@ -46,9 +46,9 @@ def detail_page(phish_id: Column) -> Column:
 
 
 def signature_lookup(urls: DataFrame, feed: DataFrame, skip_signature: bool = False) -> DataFrame:
-    """Exact, case-sensitive URL equality against a feed unique on ``url``.
+    """Exact, case-sensitive URL equality; of several entries of a url the lowest id answers.
 
-    Keeps every row of ``urls``. The optimizer broadcasts the feed only when its size is known
+    Keeps every row of ``urls`` once. The optimizer broadcasts the feed only when its size is known
     to be below the session's threshold; otherwise it sorts and merges, and splits hot urls."""
     none = {"phish_id": "bigint", "detail_page": "string", "submitted_at": "string", "target": "string"}
     if skip_signature:
@@ -57,10 +57,9 @@ def signature_lookup(urls: DataFrame, feed: DataFrame, skip_signature: bool = Fa
             **{name: F.lit(None).cast(kind) for name, kind in none.items()},
             "lookup_source": F.lit(LOOKUP_SKIPPED), "lookup_error": F.lit(None).cast("string"),
         })
-    entry = feed.select(
-        "url", F.col("phish_id").cast("bigint").alias("phish_id"),
-        F.col("submission_time").cast("string").alias("submitted_at"), "target",
-    )
+    rest = F.struct(F.col("phish_id").cast("bigint").alias("phish_id"),
+                    F.col("submission_time").cast("string").alias("submitted_at"), "target")
+    entry = feed.where(F.col("url").isNotNull()).groupBy("url").agg(F.min(rest).alias("_e")).select("url", "_e.*")
     found = urls.join(entry, "url", "left")
     hit = F.col("phish_id").isNotNull()
     return found.withColumns({

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .distances import PrototypeSet, distances_to
+from .distances import PrototypeSet, distances_to, grid_pairs
 
 
 def cross_set_distances(a: DataFrame, b: DataFrame, key: str = "idx", payload: str = "dom",
                         distance: str = "ncd") -> DataFrame:
     """Every ordered pair of two prototype sets, ``a`` before ``b``.
 
-    ``b`` must be within the broadcast bound; ``a`` stays where it is."""
-    right = PrototypeSet.load(b.withColumn("_set", F.lit("b")), "_set", key, payload)
+    ``a`` stays where it is while ``b`` is within the broadcast bound, else both go through the grid."""
+    marked = b.withColumn("_set", F.lit("b"))
+    right = PrototypeSet.load(marked, "_set", key, payload)
     if right is None:
-        raise ValueError("the second set exceeds the bound for pair output")
+        other = marked.withColumnRenamed(key, "j")
+        return grid_pairs(a.withColumnRenamed(key, "i"), other, "i", payload, distance, "_set", "j").drop("_set")
     scored = a.select(F.col(key).alias("i"), distances_to(F.col(payload), right, distance, payload).alias("d"))
     ids = F.array(*[F.lit(r[key]).cast(b.schema[key].dataType) for r in right.rows])
     pairs = scored.select("i", F.explode(F.arrays_zip(ids.alias("j"), F.col("d").alias("distance"))).alias("x"))

@@ -12,11 +12,12 @@ from ..fixed_values import (
 from ..functions.html import as_dom, html_tokens
 from ..functions.urls import resource_signature
 from ..functions.verdicts import classify_scores, detection_mode, hybrid_decision, signature_input
+from ..operators.corpus import newest_pages
 from ..operators.distances import PrototypeSet
 from ..operators.features import page_features
 from ..operators.model import PageModel
 from ..operators.scores import class_scores
-from ..operators.signatures import signature_lookup, signature_misses
+from ..operators.signatures import signature_lookup
 
 SCORES = ["phish_min", "phish_avg", "legit_min", "legit_avg"]
 
@@ -102,16 +103,18 @@ def detect(checks: DataFrame, pages: DataFrame | None, feed: DataFrame, protos:
            skip_ncd: bool = False, skip_signature: bool = False, enrich=None,
            detection_id: Column | None = None, detected_at: Column | None = None,
            legacy_unverified: bool = False, gate: float = ML_GATE, gate_on: str = "phish",
-           small_dom_threshold: int = SMALL_DOM_THRESHOLD, parse_first: bool = False,
-           **options) -> DataFrame:
+           small_dom_threshold: int = SMALL_DOM_THRESHOLD, parse_first: bool = True,
+           newest: str | None = None, **options) -> DataFrame:
     """A verdict for every row of ``checks(url, ...)``; other columns pass through.
 
-    The feed (unique on ``url``) decides first and only its misses reach the tokenizer.
+    The feed decides first and only its misses reach the tokenizer. Of several entries of a url
+    the one of lowest id answers.
 
-    With ``pages(url, html)``, one page per url, misses are reduced to distinct urls before any
-    costly work, so a hot url is parsed and measured once. Finding their pages moves page texts
-    unless one side is small or ``pages`` is bucketed by url; ``parse_first`` parses every page
-    where it lies and moves the much shorter results, which pays when most pages are asked for.
+    With ``pages(url, html)``, urls are looked up, parsed and measured once each, and the raw checks
+    meet the finished answers in one join, whose hot urls adaptive execution can split. Pages are
+    parsed where they lie and only the short results move; without ``parse_first`` the pages of
+    misses are found first, which pays when ``pages`` is bucketed by url. Of several pages of a url
+    that of the greatest ``newest`` column counts, without one the greatest by content hash.
 
     With ``pages=None`` every check carries the ``html`` it was rendered to, as a stream of
     checks does; it is judged where it lies and nothing is shuffled beyond the lookup.
@@ -122,8 +125,10 @@ def detect(checks: DataFrame, pages: DataFrame | None, feed: DataFrame, protos:
     at = F.current_timestamp() if detected_at is None else detected_at
     trusted = feed.filter(F.col("verified") == 1) if legacy_unverified else feed
     passed = [c for c in checks.columns if pages is not None or c != "html"]
-    looked = signature_lookup(checks, trusted, skip_signature)
-    hit = F.col("in_database")
+    # distinct first: copies of a hot url are merged before anything is shuffled
+    one_by_url = pages is not None and not skip_ncd
+    looked = signature_lookup(checks.select("url").distinct() if one_by_url else checks, trusted, skip_signature)
+    hit = F.coalesce("in_database", F.lit(False))
 
     if skip_ncd:
         return looked.select(
@@ -143,20 +148,18 @@ def detect(checks: DataFrame, pages: DataFrame | None, feed: DataFrame, protos:
         if enrich is not None:
             joined = enrich(joined)
     else:
-        # distinct first: copies of a hot url are merged before anything is shuffled
-        misses = checks.select("url").distinct()
-        if not skip_signature:
-            misses = signature_misses(misses, trusted)
-        landed = pages.select("url", "html")
+        misses = looked.where(~hit).select("url")
+        landed = pages.select("url", "html", *([newest] if newest else []))
         if parse_first:
             read = read_pages(landed, small_dom_threshold, wants_features).join(misses, "url", "left_semi")
         else:
             read = read_pages(landed.join(misses, "url", "left_semi"), small_dom_threshold, wants_features)
+        read = newest_pages(read, [c for c in read.columns if c not in ("url", newest)], newest)
         answers = _answer(read, **judge).withColumn("_read", F.lit(True))
         if enrich is not None:
             answers = enrich(answers)
-        joined = looked.join(answers, "url", "left")
-    known = {*looked.columns, "url", "html", *ANSWER, "ncd_confidence", "ncd_error", "_read"}
+        joined = checks.join(looked.join(answers, "url", "left"), "url", "left")
+    known = {*checks.columns, *looked.columns, "html", *ANSWER, "ncd_confidence", "ncd_error", "_read"}
     extra = [c for c in joined.columns if c not in known]
 
     error = F.when(~hit, F.coalesce(F.col("ncd_error"), F.when(F.col("_read").isNull(), ERROR_NO_DOM)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,12 +64,12 @@ def at_least_partitions(scan: DataFrame, partitions: int | None = None) -> DataF
     return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan
 
 
-def bounded_rows(df: DataFrame, max_rows: int, payload: str | None = None,
+def bounded_rows(df: DataFrame, max_rows: int, payload: Column | None = None,
                  max_bytes: int = 64 << 20) -> list | None:
     """Rows of ``df`` if it is proven small, else None.
 
     The check is one aggregate over the whole table, so nothing unbounded reaches the driver."""
-    size = F.sum(F.octet_length(payload)) if payload else F.lit(0)
+    size = F.lit(0) if payload is None else F.sum(payload)
     n, total = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
     if n > max_rows or total > max_bytes:
         return None
