@@ -99,10 +99,11 @@ def set_scores(distances: Column, protos: PrototypeSet, name: str) -> tuple[Colu
 
 def prototype_distances(cands: DataFrame, protos: DataFrame, key: str = "page_id",
                         payload: str = "dom", distance: str = "ncd", set_col: str = "label",
-                        order_col: str = "prototype_index", proto_payload: str = "dom") -> DataFrame:
+                        order_col: str = "prototype_index", proto_payload: str = "dom",
+                        max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """J4/J6 in long form, one row per candidate and prototype: a set beyond the bound goes
     through the grid, whose cells then give their pairs."""
-    bounded = PrototypeSet.load(protos, set_col, order_col, proto_payload)
+    bounded = PrototypeSet.load(protos, set_col, order_col, proto_payload, max_rows)
     if bounded is None:
         return grid_pairs(cands, protos, key, payload, distance, set_col, order_col, proto_payload)
     schema = protos.select(set_col, order_col).schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import FEATURES, SIMILARITY_FEATURES, STRUCTURE_FEATURES, TAG_FEATURES
+from ..fixed_values import SIMILARITY_FEATURES
 from ..functions.html import html_tokens
 from .scores import cluster_scores
 
@@ -65,7 +65,7 @@ def char_frequency(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def page_features(pages: DataFrame, cluster_protos: DataFrame | None = None, html: str = "html",
                   distance: str = "ncd", key: str = "page_id", payload: str | None = None,
-                  keep_html: bool = False) -> DataFrame:
+                  keep_html: bool = False, **options) -> DataFrame:
     """F1-F25 of every page. Without ``cluster_protos`` the similarity features are 1.0, as
     they are for an empty page.
 
@@ -84,16 +84,9 @@ def page_features(pages: DataFrame, cluster_protos: DataFrame | None = None, htm
     else:
         out = out.withColumn("_payload", F.when(
             ~F.col("_empty"), F.col(payload) if payload else F.encode(html, "UTF-8")))
-        out = cluster_scores(out, cluster_protos, key=key, payload="_payload", distance=distance)
+        out = cluster_scores(out, cluster_protos, key=key, payload="_payload", distance=distance, **options)
         out = out.withColumns({f: F.coalesce(f, F.lit(1.0)) for f in SIMILARITY_FEATURES})
         out = out.drop("_payload")
     out = out.drop("_empty")
     return out if keep_html else out.drop(html)
 
-
-def feature_struct() -> Column:
-    """The features as one struct column."""
-    return F.struct(*FEATURES)
-
-
-FEATURE_GROUPS = {"tag": TAG_FEATURES, "structure": STRUCTURE_FEATURES, "similarity": SIMILARITY_FEATURES}

@@ -8,19 +8,19 @@ from pyspark.sql import types as T
 
 from ..fixed_values import ERROR_NOT_FETCHED, LEGIT_SET, NEAREST_THRESHOLD, PHISH_SETS
 from ..session import materialize
-from .distances import PrototypeSet, distances_to, grid_scores, set_scores
+from .distances import MAX_BROADCAST_ROWS, PrototypeSet, distances_to, grid_scores, set_scores
 
 
 def scores_by_set(cands: DataFrame, protos: DataFrame | PrototypeSet, names: dict[str, str],
                   key: str = "page_id", payload: str = "dom", distance: str = "ncd",
                   set_col: str = "label", order_col: str = "prototype_index",
-                  proto_payload: str = "dom") -> DataFrame:
+                  proto_payload: str = "dom", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Add ``<prefix>_min`` and ``<prefix>_avg`` for every set in ``names`` (set -> prefix).
 
     Beyond the bound, distinct payloads are measured in the grid and joined back by their digest,
     so rows need no key of their own and equal payloads are measured once."""
     bounded = protos if isinstance(protos, PrototypeSet) else PrototypeSet.load(
-        protos, set_col, order_col, proto_payload)
+        protos, set_col, order_col, proto_payload, max_rows)
     if bounded is not None:
         if not bounded.rows:
             empty = {f"{p}_{s}": F.lit(1.0) for p in names.values() for s in ("min", "avg")}

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .distances import PrototypeSet, distances_to, grid_pairs
+from .distances import MAX_BROADCAST_ROWS, PrototypeSet, distances_to, grid_pairs
 
 
 def cross_set_distances(a: DataFrame, b: DataFrame, key: str = "idx", payload: str = "dom",
-                        distance: str = "ncd") -> DataFrame:
+                        distance: str = "ncd", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Every ordered pair of two prototype sets, ``a`` before ``b``.
 
     ``a`` stays where it is while ``b`` is within the broadcast bound, else both go through the grid."""
     marked = b.withColumn("_set", F.lit("b"))
-    right = PrototypeSet.load(marked, "_set", key, payload)
+    right = PrototypeSet.load(marked, "_set", key, payload, max_rows)
     if right is None:
         other = marked.withColumnRenamed(key, "j")
         return grid_pairs(a.withColumnRenamed(key, "i"), other, "i", payload, distance, "_set", "j").drop("_set")

@@ -13,7 +13,7 @@ from ..functions.html import as_dom, html_tokens
 from ..functions.urls import resource_signature
 from ..functions.verdicts import classify_scores, detection_mode, hybrid_decision, signature_input
 from ..operators.corpus import newest_pages
-from ..operators.distances import PrototypeSet
+from ..operators.distances import MAX_BROADCAST_ROWS, PrototypeSet
 from ..operators.features import page_features
 from ..operators.model import PageModel
 from ..operators.scores import class_scores
@@ -42,11 +42,13 @@ def read_pages(pages: DataFrame, small_dom_threshold: int = SMALL_DOM_THRESHOLD,
 
 def judge_pages(read: DataFrame, protos: DataFrame | PrototypeSet, key: str = "url",
                 distance: str = "ncd", minimal_threshold: int = MINIMAL_DOM_THRESHOLD,
-                penalty: float = MINIMAL_DOM_PENALTY, order_col: str = "prototype_index") -> DataFrame:
+                penalty: float = MINIMAL_DOM_PENALTY, order_col: str = "prototype_index",
+                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Read pages to distance verdicts; one Arrow pass gives all distances."""
-    bounded = protos if isinstance(protos, PrototypeSet) else PrototypeSet.load(protos, order_col=order_col)
+    bounded = protos if isinstance(protos, PrototypeSet) else PrototypeSet.load(
+        protos, order_col=order_col, max_rows=max_rows)
     scored = class_scores(read, bounded if bounded is not None else protos, key=key,
-                          payload="classified", distance=distance, order_col=order_col)
+                          payload="classified", distance=distance, order_col=order_col, max_rows=max_rows)
     has_prototypes = bounded is None or bool(bounded.rows)
     out = classify_scores(scored, "classified", has_prototypes, minimal_threshold, penalty)
     # pages that failed to parse or hold no tag are errors, whatever their defaults score
@@ -81,7 +83,7 @@ def _answer(read: DataFrame, protos, cluster_protos, model: PageModel | None, ga
         out = out.withColumn("features", F.lit(None).cast("struct<" + ",".join(f"{f}:double" for f in FEATURES) + ">"))
     else:
         out = page_features(out, cluster_protos, key=options.get("key", "url"),
-                            distance=options.get("distance", "ncd"))
+                            distance=options.get("distance", "ncd"), max_rows=options.get("max_rows", MAX_BROADCAST_ROWS))
         out = out.withColumn("features", F.struct(*FEATURES))
     if model is None:
         out = out.withColumns({"final_verdict": F.lit(None).cast("string"), "decision_source": F.lit("ncd"),
@@ -158,7 +160,10 @@ def detect(checks: DataFrame, pages: DataFrame | None, feed: DataFrame, protos:
         answers = _answer(read, **judge).withColumn("_read", F.lit(True))
         if enrich is not None:
             answers = enrich(answers)
-        joined = checks.join(looked.join(answers, "url", "left"), "url", "left")
+        # the hash in the key gives the finished answers an exchange of their own, as adaptive
+        # execution only splits a join between two exchanges
+        finished = looked.join(answers, "url", "left").withColumn("_hash", F.xxhash64("url"))
+        joined = checks.withColumn("_hash", F.xxhash64("url")).join(finished, ["_hash", "url"], "left").drop("_hash")
     known = {*checks.columns, *looked.columns, "html", *ANSWER, "ncd_confidence", "ncd_error", "_read"}
     extra = [c for c in joined.columns if c not in known]
 

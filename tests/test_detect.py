@@ -143,3 +143,48 @@ def test_feedback(spark):
         "detected_at", F.current_timestamp())
     assert [(r.id, r.verdict, r.user_feedback) for r in B.join_feedback(f, d).collect()] == [("1", "legit", "yes")]
     assert sorted((r.id, r.status) for r in B.reject_feedback(f, d).collect()) == [("1", 400), ("2", 400), ("7", 404)]
+
+
+def test_carried_pages_beyond_the_bound(spark, data):
+    """Two checks of one url with different pages keep their own answers."""
+    _, p, pages, feed = data
+    html = {r.url: r.html for r in pages.collect()}
+    checks = spark.createDataFrame([(1, "https://a.org/", html["https://c.org/"]), (2, "https://a.org/", html["https://b.org/"]),
+                                    (3, "https://a.org/", html["https://b.org/"])], "id int, url string, html string")
+    one, two = ({r.id: (r.classification, r.prototype_scores) for r in detect(
+        checks, None, feed, p, small_dom_threshold=100, **bound).collect()} for bound in ({}, {"max_rows": 1}))
+    assert two[2] == two[3] != two[1] and set(one) == {1, 2, 3}
+    for k in one:
+        assert one[k][0] == two[k][0] and list(two[k][1]) == pytest.approx(list(one[k][1]), abs=1e-3)
+
+
+def test_repeated_feed_and_page_rows_add_no_answers(spark, data):
+    _, p, pages, feed = data
+    checks = spark.createDataFrame([(1, "https://f.org/"), (2, "https://a.org/"), (3, None)], "id int, url string")
+    more = feed.withColumn("phish_id", F.lit(4).cast("long"))
+    rows = {r.id: r for r in detect(checks, pages.unionAll(pages), feed.unionAll(more), p).collect()}
+    assert len(rows) == 3 and rows[1].phish_id == 4 and rows[2].source == "ncd" and rows[3].source == "error"
+
+
+def test_a_hot_url_is_split_in_the_one_join_of_the_raw_checks(spark, data, tmp_path):
+    _, p, pages, feed = data
+    hot = spark.range(60_000).select("id", F.when(F.col("id") % 10 < 9, "https://a.org/").otherwise(
+        F.concat(F.lit("https://x.org/"), F.col("id"))).alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("pad"))
+    hot.write.parquet(str(tmp_path / "checks"))
+    checks = spark.read.parquet(str(tmp_path / "checks"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = detect(checks, pages, feed, p, detection_id=F.col("id"))
+        assert len(out.collect()) == 60_000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    final = plan.split("== Initial Plan ==")[0]
+    assert "skew=true" in final and final.count("MapInArrow") == 1
+    assert not any("html" in line for line in final.split("\n") if "Exchange" in line)

@@ -106,3 +106,13 @@ def test_pipeline(spark, tmp_path):
     assert summary["n_samples"] == 32 and metrics.first().accuracy == 1.0
     with pytest.raises(ValueError):
         train_pipeline(df.limit(9))
+
+
+def test_missing_groups_are_groups_of_their_own(spark):
+    rows = [(1, "a"), (2, None), (3, None), (4, "a"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, label string")
+    placed = R.ordered_index(df, ["doc_id"], ["label"]).collect()
+    assert sorted((r.doc_id, r.label, r.idx) for r in placed if r.label) == [(1, "a", 0), (4, "a", 1)]
+    assert sorted((r.doc_id, r.idx) for r in placed if not r.label) == [(2, 0), (3, 1), (5, 2)]
+    split = R.stratified_split(df, 0.5).collect()
+    assert len(split) == 5 and sum(r.is_test for r in split if r.label) == 1

@@ -100,3 +100,13 @@ def test_cover_variance(spark):
     got = {r.centres: r.variance for r in P.cover_variance(samples(spark, items), [2, 7]).collect()}
     assert got[1] == pytest.approx(brute.variance([m[i][2] for i in range(10)]))
     assert got[2] == pytest.approx(brute.variance([min(m[i][2], m[i][7]) for i in range(10)]))
+
+
+def test_first_centre_of_each_class(spark):
+    rows = [(k, "a" if k < 6 else "b", [float(k), 0.0]) for k in range(12)]
+    df = spark.createDataFrame(rows, "idx long, label string, vec array<double>")
+    options = {"by": "label", "payload": "vec", "distance": "l2"}
+    out = P.fpf_select(df, 2, first={"a": 2, "b": 11}, **options).collect()
+    assert {(r.label, r.prototype_index): r.idx for r in out} == {("a", 1): 2, ("a", 2): 5, ("b", 1): 11, ("b", 2): 6}
+    with pytest.raises(ValueError, match="'b'"):
+        P.fpf_select(df, 2, first=2, **options)

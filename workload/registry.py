@@ -97,6 +97,13 @@ def page_features_tag_jaccard(spark, sf):
     return out.select("page_id", *r6(*FEATURES))
 
 
+@query
+def page_features_large_set_tag_jaccard(spark, sf):
+    doms = H.sanitize_tags(I.pages(spark, sf), keep_html=True)
+    out = X.page_features(doms, I.cluster_prototypes(spark, sf, "tag_jaccard"), payload="dom", max_rows=1, **JACCARD)
+    return out.select("page_id", *r6(*FEATURES))
+
+
 @query
 def page_features_ncd(spark, sf):
     return X.page_features(I.pages(spark, sf), I.cluster_prototypes(spark, sf)).select("page_id", *FEATURES)
@@ -254,6 +261,14 @@ def tune_threshold_tag_jaccard(spark, sf):
         "ll_min", "ll_max", "ll_avg", "lp_min", "lp_max", "lp_avg", "lower_bound", "upper_bound", "suggested_threshold"))
 
 
+@query
+def tune_threshold_large_set_tag_jaccard(spark, sf):
+    protos = I.prototypes(spark, sf, "tag_jaccard")
+    out = T.tune_threshold(protos.filter("label = 'legit'"), protos.filter("label = 'phish'"), max_rows=1, **JACCARD)
+    return out.select("ll_comparisons", "lp_comparisons", "separated", *r6(
+        "ll_min", "ll_max", "ll_avg", "lp_min", "lp_max", "lp_avg", "lower_bound", "upper_bound", "suggested_threshold"))
+
+
 @query
 def tune_threshold_ncd(spark, sf):
     protos = I.prototypes(spark, sf)
@@ -441,6 +456,33 @@ def detect_carried_pages_tag_jaccard(spark, sf):
     return out.select(*ANSWER, *[F.col(f"prototype_scores.{s}").alias(s) for s in SCORES])
 
 
+@query
+def detect_large_set_tag_jaccard(spark, sf):
+    """Prototypes beyond the bound: scored in the grid."""
+    out = _detect(spark, sf, "tag_jaccard", max_rows=1)
+    return out.select(*ANSWER, *[F.col(f"prototype_scores.{s}").alias(s) for s in SCORES])
+
+
+@query
+def detect_carried_large_set_tag_jaccard(spark, sf):
+    checks = I.url_checks(spark, sf).drop("ts").join(I.pages(spark, sf).drop("page_id"), "url")
+    out = detect(checks, None, I.feed(spark, sf), I.prototypes(spark, sf, "tag_jaccard"),
+                 detection_id=F.col("event_id"), max_rows=1, **JACCARD, **DETECT)
+    return out.select(*ANSWER, *[F.col(f"prototype_scores.{s}").alias(s) for s in SCORES])
+
+
+@query
+def detect_repeated_rows_tag_jaccard(spark, sf):
+    """A feed with several entries of a url and pages that were landed again, older ones differing."""
+    feed = I.feed(spark, sf)
+    again = feed.withColumn("phish_id", F.col("phish_id") + 1_000_000).withColumn("target", F.lit("later"))
+    pages = I.pages(spark, sf).drop("page_id").withColumn("landed", F.lit(2))
+    old = pages.withColumns({"landed": F.lit(1), "html": F.lit("<p><b>old</b></p>")})
+    out = detect(I.url_checks(spark, sf).drop("ts"), pages.unionByName(old), feed.unionByName(again),
+                 I.prototypes(spark, sf, "tag_jaccard"), detection_id=F.col("event_id"), newest="landed", **JACCARD, **DETECT)
+    return out.select(*ANSWER, *[F.col(f"prototype_scores.{s}").alias(s) for s in SCORES])
+
+
 @query
 def detect_signature_only(spark, sf):
     out = _detect(spark, sf, "tag_jaccard", skip_ncd=True)
