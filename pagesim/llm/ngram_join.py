@@ -12,10 +12,12 @@ links with nothing. Documents link when 100 * intersection >= 75 * union.
    that met it are dealt again, with new heads. Two linked sets that met only in such shingles are
    both among these, so no link is lost. A sample of documents supplies the first such shingles, which
    affects effort, not results.
-4. Each candidate group's token union is held in one place, in chunks of bounded size with the members
+4. A parity bitmap of each set, 32 times smaller than the set, bounds the overlap of two sets from above;
+   candidates of small groups that fail this bound with every member go.
+5. Each remaining group's token union is held in one place, in chunks of bounded size with the members
    of each token. A query is opened against the members only if its overlap with the union
    reaches 3/4 of its own size, which bounds every member's similarity; members are then counted exactly.
-5. Links become components by alternating star contractions.
+6. Links become components by alternating star contractions.
 
 Repeated rows, rows with equal or null doc_id and empty texts each keep their row. The component id is
 the least doc_id of the component (null if none has one; an empty set's is its own)."""
@@ -32,22 +34,31 @@ from pagesim.llm.text import SPACES, narrow, slices
 from pagesim.session import materialize
 
 WORDS, PERCENT = 5, 75
-#: A shingle met by more groups than this is moved to the end of the order.
-COMMON_GROUPS = 16
+#: A shingle met by more groups or classes than this is moved to the end of the order.
+COMMON_GROUPS, COMMON_CLASSES = 10, 10
 #: Documents drawn for the first common shingles, and how many of them must hold one.
 SAMPLE_DOCUMENTS, SAMPLE_LEAST = 4096, 3
-#: Most shingles that are moved; beyond, common shingles are joined as they are, at more effort.
+#: Most shingles that are moved, the commonest first; beyond, they are joined as they are, at more effort.
 MAX_MOVED = 2_000_000
 #: Rows of a table that is small enough to be sent to all executors, checked by a count.
 SMALL_ROWS = 1_000_000
 #: Shingles in a chunk of a group and in a chunk of its queries.
 CHUNK = 1 << 16
 SLICE_BYTES = 1 << 20
+#: Groups of so many members are bounded member by member before whole sets move.
+SMALL_GROUP = 4
+#: How far from a common shingle, in the text, others are looked for that are common with it.
+REACH = 64
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    return [np.unique(run) for run in shingle_runs(texts)]
+
+
+def shingle_runs(texts: list[str | None]) -> list[np.ndarray]:
+    """The shingle hashes of each text in their order."""
     words = [(t or "").encode().translate(_FOLD).split() for t in texts]
     data = np.frombuffer(b" ".join([w for doc in words for w in doc]) + b" ", np.uint8)
     sums = ByteSums(data)
@@ -60,7 +71,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
             out.append(np.empty(0, np.uint64))
             continue
         size = min(n, WORDS)
-        out.append(np.unique(sums.hashes(starts[at:at + n - size + 1], ends[at + size - 1:at + n])))
+        out.append(sums.hashes(starts[at:at + n - size + 1], ends[at + size - 1:at + n]))
         at += n
     return out
 
@@ -81,25 +92,45 @@ def head_of(own: np.ndarray, moved: np.ndarray) -> np.ndarray:
     return own[:size]
 
 
+def parity_bitmap(own: np.ndarray) -> np.ndarray:
+    """Bits 0 to b - 1 as bytes: bit k is the parity of the shingles whose hash is k modulo b, where b is
+    the power of two from 2n on. Halves of a bitmap combine by xor into the bitmap of half the size."""
+    bits = 1 << max(9, int(2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little")
+
+
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
+    """Whether sets of n and m shingles with these bitmaps can reach the similarity: each differing
+    bit stands for a shingle that only one of them has."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        half = len(a) // 2
+        a = a[:half] ^ a[half:]
+    differ = int(np.bitwise_count(a ^ b).sum())
+    return (100 + PERCENT) * (n + m - differ) >= 2 * PERCENT * (n + m)
+
+
 def _signed(x: np.uint64) -> int:
     return int(np.int64(np.uint64(x).view(np.int64)))
 
 
 def document_sets(docs: DataFrame, moved: np.ndarray) -> DataFrame:
-    """doc_id, th (text hash), n, key, first (least shingle) and head of every document row."""
+    """doc_id, th (text hash), n, key, first (least shingle), head and bitmap of every document row."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("key", pa.binary()),
-                        ("first", pa.int64()), ("head", pa.binary())])
+                        ("first", pa.int64()), ("head", pa.binary()), ("bitmap", pa.binary())])
 
     def shingle(batches):
         for batch in slices(batches, limit=SLICE_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist())
             cols = [batch.column("doc_id"), batch.column("th"), [len(s) for s in sets],
                     [set_key(s) if len(s) else None for s in sets], [_signed(s[0]) if len(s) else None for s in sets],
-                    [head_of(s, moved).tobytes() if len(s) else None for s in sets]]
+                    [head_of(s, moved).tobytes() if len(s) else None for s in sets],
+                    [parity_bitmap(s).tobytes() if len(s) else None for s in sets]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return (narrow(docs).withColumn("th", F.xxhash64("text"))
-            .mapInArrow(shingle, "doc_id long, th long, n int, key binary, first long, head binary"))
+            .mapInArrow(shingle, "doc_id long, th long, n int, key binary, first long, head binary, bitmap binary"))
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -175,9 +206,9 @@ def _deal(classes: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def _meet(dealt: DataFrame, moved: np.ndarray) -> DataFrame:
-    """What meets in each shingle. Rows of two kinds, packed: queries (``key`` with the groups it met) and
-    common shingles (``hot``) with the classes that met there (``key`` alone)."""
-    schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("hot", pa.int64())])
+    """What meets in each shingle. Rows of two kinds: queries (``key`` with a group it met) and common
+    shingles (``hot``) with the number of classes that met there."""
+    schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("hot", pa.int64()), ("number", pa.int64())])
 
     def meet(batches):
         keys, sizes, firsts, tokens = [], [], [], []
@@ -195,42 +226,63 @@ def _meet(dealt: DataFrame, moved: np.ndarray) -> DataFrame:
         key, size, first, token = key[order], size[order], first[order], token[order]
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         end = np.append(begin[1:], len(token))
-        pairs, hot, met = set(), [], set()
+        pairs, hot = set(), []
         late = set() if not len(moved) else set(np.intersect1d(token[begin], moved).tolist())
         for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
             groups = np.unique(first[a:b])
-            if len(groups) > COMMON_GROUPS and token[a] not in late and len(moved) < MAX_MOVED:
-                hot.append(_signed(token[a]))
-                met.update(key[a:b].tolist())
+            if (len(groups) > COMMON_GROUPS or b - a > COMMON_CLASSES) and token[a] not in late and len(moved) < MAX_MOVED:
+                hot.append((None, None, _signed(token[a]), b - a))
                 continue
             _candidates(key[a:b], size[a:b], first[a:b], groups, pairs)
         rows = sorted(pairs)
         for at in range(0, len(rows), 100_000):
             some = rows[at:at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.binary()), pa.array([r[1] for r in some], pa.int64()),
-                                              pa.nulls(len(some), pa.int64())], schema=schema)
-        rest = [(k, None, None) for k in sorted(met)] + [(None, None, h) for h in hot]
-        if rest:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rest), schema)], schema=schema)
+                                              pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], schema=schema)
+        if hot:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hot), schema)], schema=schema)
 
-    return dealt.mapInArrow(meet, "key binary, first long, hot long")
+    return dealt.mapInArrow(meet, "key binary, first long, hot long, number long")
 
 
-def _candidates(key, size, first, groups, pairs: set) -> None:
-    """Add (class, group) for each class and each group of which another class of fitting size is here."""
-    low, high = -(-size * PERCENT // 100), size * 100 // PERCENT
-    for g in groups.tolist():
-        own = np.sort(size[first == g])
-        number = np.searchsorted(own, high, "right") - np.searchsorted(own, low, "left") - (first == g)
-        pairs.update((k, g) for k in key[number > 0].tolist())
+def _holding(classes: DataFrame, fresh: np.ndarray) -> DataFrame:
+    """The keys of the classes whose heads hold one of these shingles."""
+    def hold(batches):
+        for batch in batches:
+            heads = [np.frombuffer(h, np.uint64) for h in batch.column("head").to_pylist()]
+            if heads:
+                owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+                flags = np.bincount(owner, weights=np.isin(np.concatenate(heads), fresh), minlength=len(heads)) > 0
+                kept = batch.filter(pa.array(flags))
+                yield pa.RecordBatch.from_arrays([kept.column("key")], names=["key"])
 
+    return classes.select("key", "head").mapInArrow(hold, "key binary").distinct()
 
-def _near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` at the places (doc_id, th) of ``wanted``: sent out if few, else joined."""
+
+def _candidates(key, size, first, groups, pairs: set) -> None:
+    """Add (class, group) for each class and each group that has a class of fitting size and lesser key
+    here: of two classes the one with the greater key asks."""
+    order = np.array(sorted(range(len(key)), key=key.tolist().__getitem__))
+    key, size, first = key[order], size[order].astype(np.int64), first[order]
+    names = key.tolist()
+    number = np.searchsorted(groups, first)
+    for at in range(1, len(key), 512):
+        to = min(len(key), at + 512)
+        asks, told = size[at:to, None], size[None, :to]
+        fits = (100 * told >= PERCENT * asks) & (100 * asks >= PERCENT * told) & (np.arange(to)[None, :] < np.arange(at, to)[:, None])
+        rows, columns = np.nonzero(fits)
+        found = np.unique((rows + at) * len(groups) + number[columns])
+        pairs.update((names[k], g) for k, g in zip((found // len(groups)).tolist(), groups[found % len(groups)].tolist()))
+
+
+def _near(docs: DataFrame, wanted: DataFrame, keep: str | None = None) -> DataFrame:
+    """The rows of ``docs`` at the places (doc_id, th) of ``wanted``, with its column ``keep`` if named.
+
+    ``wanted`` is sent to all executors if a count finds it small, else both sides are dealt."""
     few = wanted.count() <= SMALL_ROWS
-    there = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    at = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_th"))
-    return docs.join(F.broadcast(there) if few else there, at, "left_semi")
+    there = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), *([keep] if keep else [])).alias("_there")
+    at = docs["doc_id"].cast("long").eqNullSafe(F.col("_there._id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_there._th"))
+    return docs.join(F.broadcast(there) if few else there, at, "inner" if keep else "left_semi")
 
 
 def candidates(docs: DataFrame, sets: DataFrame, moved: np.ndarray) -> DataFrame:
@@ -238,57 +290,113 @@ def candidates(docs: DataFrame, sets: DataFrame, moved: np.ndarray) -> DataFrame
     spark = docs.sparkSession
     classes = sets.where("n > 0").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "first", "head")))
     places = sets.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("at"))
-    found = None
+    found, heads = None, sets.where("n > 0")
     while True:
         met = materialize(_meet(_deal(classes, spark), moved), "shingle-candidates")
         some = met.where("first is not null").select("key", "first")
         found = some if found is None else found.unionAll(some)
-        hot = met.where("hot is not null").select("hot").distinct()
-        if not hot.take(1):
+        # each shingle meets in one task, so none is listed twice
+        hot = met.where("hot is not null").orderBy(F.desc("number"), "hot").limit(MAX_MOVED - len(moved)).select("hot").collect()
+        if not hot:
             return found.distinct()
-        left = MAX_MOVED - len(moved)
-        fresh = np.array([r.hot for r in hot.orderBy(F.xxhash64("hot")).limit(left).collect()], np.int64).view(np.uint64)
+        fresh = np.sort(np.array([r.hot for r in hot], np.int64).view(np.uint64))
         moved = np.union1d(moved, fresh)
-        again = met.where("first is null and key is not null").select("key").distinct()
+        again = _holding(heads, fresh)
         wanted = materialize(again.join(places, "key").select("at.doc_id", "at.th"), "shingle-again")
-        classes = document_sets(_near(docs, wanted), moved).where("n > 0").dropDuplicates(["key"])
+        moved = np.union1d(moved, _spread(_near(docs, wanted), fresh, MAX_MOVED - len(moved)))
+        classes = heads = materialize(document_sets(_near(docs, wanted), moved).where("n > 0").drop("bitmap"), "shingle-heads").dropDuplicates(["key"])
+
+
+def _spread(docs: DataFrame, fresh: np.ndarray, limit: int) -> np.ndarray:
+    """Shingles that stand near the fresh common ones in more than ``COMMON_CLASSES`` of these documents:
+    mostly the rest of the same common passage, which would else take a round for each part."""
+    def around(batches):
+        for batch in slices(batches):
+            found = []
+            for hashes in shingle_runs(batch.column("text").to_pylist()):
+                at = np.flatnonzero(np.isin(hashes, fresh))
+                if len(at):
+                    near = np.zeros(len(hashes) + 1, np.int64)
+                    np.add.at(near, np.maximum(at - REACH, 0), 1)
+                    np.add.at(near, np.minimum(at + REACH + 1, len(hashes)), -1)
+                    found.append(np.unique(hashes[np.cumsum(near)[:-1] > 0]))
+            if found:  # what is common stands here more than once
+                own, number = np.unique(np.concatenate(found), return_counts=True)
+                own, number = own[number > 1], number[number > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(number)], names=["h", "n"])
+
+    rows = (docs.select("text").mapInArrow(around, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            .where(F.col("n") > COMMON_CLASSES).orderBy(F.col("n").desc(), "h").limit(max(0, limit)).select("h").collect())
+    return np.array([r.h for r in rows], np.int64).view(np.uint64)
+
+
+def _bounded(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` without those whose bitmaps rule out every member of a small group."""
+    slim = sets.where("n > 0").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "first", "bitmap")))
+    members = materialize(slim.join(pairs.select("first").distinct(), "first", "left_semi"), "bitmap-members")
+    number = members.groupBy("first").count()
+    sized = materialize(pairs.join(number, "first"), "bitmap-pairs")
+    asks = (sized.where(F.col("count") <= SMALL_GROUP).select("key", "first")
+            .join(slim.select("key", F.col("n").alias("m"), F.col("bitmap").alias("mine")), "key"))
+    told = members.join(number.where(F.col("count") <= SMALL_GROUP), "first").select("first", "n", "bitmap", F.col("key").alias("other"))
+    both = asks.join(told, "first").where((F.col("other") < F.col("key")) & (100 * F.col("n") >= PERCENT * F.col("m"))
+                                          & (100 * F.col("m") >= PERCENT * F.col("n")))
+
+    def bound(batches):
+        for batch in batches:
+            fits = [may_link(np.frombuffer(a, np.uint8), n, np.frombuffer(b, np.uint8), m) for a, n, b, m in zip(
+                *(batch.column(c).to_pylist() for c in ("mine", "m", "bitmap", "n")))]
+            kept = batch.filter(pa.array(fits, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("key"), kept.column("first")], names=["key", "first"])
+
+    left = both.select("key", "first", "mine", "m", "bitmap", "n").mapInArrow(bound, "key binary, first long").distinct()
+    return left.unionAll(sized.where(F.col("count") > SMALL_GROUP).select("key", "first"))
 
 
 def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): keys of linked classes, enough of them to connect all that are linked."""
+    """(a, b): keys of linked classes, enough of them to connect all that are linked.
+
+    A class is told which chunks it belongs to or asks; its set is made from its text again and goes to
+    these, which is the one time that whole sets move."""
     spark = docs.sparkSession
     slim = sets.where("n > 0").groupBy("key").agg(
         F.first("n").alias("n"), F.first("first").alias("first"),
         F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("at"))
-    groups = pairs.groupBy("first").agg(F.count("*").alias("queries"))
-    members = materialize(slim.join(groups, "first", "left_semi"), "group-members")
+    members = materialize(slim.join(pairs.select("first").distinct(), "first", "left_semi"), "group-members")
     asked = materialize(pairs.join(slim.select("key", "n", "at"), "key"), "group-queries")
-    wanted = asked.select("at.doc_id", "at.th").union(members.select("at.doc_id", "at.th")).distinct()
-    schema = pa.schema([("key", pa.binary()), ("own", pa.binary())])
+    size = lambda t: F.ceil(F.sum("n") / CHUNK).cast("int")
+    chunks = members.groupBy("first").agg(size("n").alias("parts")).join(asked.groupBy("first").agg(size("n").alias("rounds")), "first")
+    chunk = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(chunks, "first").select(
+        "first", chunk("key", "parts").alias("part"), every("rounds").alias("round"), F.lit(0).alias("side"), "key", "at")
+    right = asked.join(chunks, "first").select(
+        "first", every("parts").alias("part"), chunk("key", "rounds").alias("round"), F.lit(1).alias("side"), "key", "at")
+    told = materialize(left.unionAll(right).groupBy("key").agg(
+        F.first("at").alias("at"), F.collect_list(F.struct("first", "part", "round", "side")).alias("to")), "group-places")
+    there = told.select("at.doc_id", "at.th", "to")
+    schema = pa.schema([("first", pa.int64()), ("part", pa.int32()), ("round", pa.int32()), ("side", pa.int32()),
+                        ("key", pa.binary()), ("own", pa.binary())])
 
     def shingle(batches):
         for batch in slices(batches, limit=SLICE_BYTES):
-            own = [s for s in shingle_sets(batch.column("text").to_pylist()) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], schema=schema)
+            sets_ = shingle_sets(batch.column("text").to_pylist())
+            rows = [(t["first"], t["part"], t["round"], t["side"], key, blob)
+                    for own, to in zip(sets_, batch.column("to").to_pylist())
+                    for key, blob in ((set_key(own), own.tobytes()),) for t in to]
+            for at in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at:at + 512]), schema)], schema=schema)
 
-    full = materialize(_near(docs, wanted).select("text").mapInArrow(shingle, "key binary, own binary"), "group-sets").dropDuplicates(["key"])
-    size = lambda t: F.ceil(F.sum("n") / CHUNK).cast("int")
-    chunks = members.groupBy("first").agg(size("n").alias("parts")).join(asked.groupBy("first").agg(size("n").alias("rounds")), "first")
-    at = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.select("first", "key").join(chunks, "first").select(
-        "first", at("key", "parts").alias("part"), every("rounds").alias("round"), F.lit(0).alias("side"), "key")
-    right = asked.select("first", "key").join(chunks, "first").select(
-        "first", every("parts").alias("part"), at("key", "rounds").alias("round"), F.lit(1).alias("side"), "key")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (left.unionAll(right).join(full, "key").repartition(parts, "first", "part", "round")
-            .sortWithinPartitions("first", "part", "round", "side"))
+    rows = (_near(docs, there, keep="to").select("text", "to")
+            .mapInArrow(shingle, "first long, part int, round int, side int, key binary, own binary")
+            .repartition(parts, "first", "part", "round").sortWithinPartitions("first", "part", "round", "side"))
     edges = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def compare(batches):
         state = _Group()
         for batch in batches:
-            for first, part, round_, side, key, own in zip(*(batch.column(c).to_pylist() for c in ("first", "part", "round", "side", "key", "own"))):
+            for first, part, round_, side, key, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if state.name != (first, part, round_):
                     if out := state.edges():
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], schema=edges)
@@ -297,7 +405,7 @@ def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         if out := state.edges():
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], schema=edges)
 
-    return rows.select("first", "part", "round", "side", "key", "own").mapInArrow(compare, "a binary, b binary")
+    return rows.mapInArrow(compare, "a binary, b binary")
 
 
 class _Group:
@@ -372,7 +480,9 @@ def join_similar(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     moved = common_shingles(docs)
     sets = materialize(document_sets(docs, moved), "document-sets")
-    found = components(links(docs, sets, materialize(candidates(docs, sets, moved), "group-candidates")))
+    pairs = materialize(candidates(docs, sets, moved), "group-candidates")
+    pairs = materialize(_bounded(sets, pairs), "group-bounded")
+    found = components(links(docs, sets, pairs))
     named = sets.select("doc_id", "th", "n", "key").join(found.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
     named = named.withColumn("part", F.coalesce("root", "key"))
     least = named.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
