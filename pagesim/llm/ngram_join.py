@@ -245,6 +245,11 @@ def _meet(dealt: DataFrame, moved: np.ndarray) -> DataFrame:
     return dealt.mapInArrow(meet, "key binary, first long, hot long, number long")
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted, non-empty array."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _holding(classes: DataFrame, fresh: np.ndarray) -> DataFrame:
     """The keys of the classes whose heads hold one of these shingles."""
     def hold(batches):
@@ -252,7 +257,7 @@ def _holding(classes: DataFrame, fresh: np.ndarray) -> DataFrame:
             heads = [np.frombuffer(h, np.uint64) for h in batch.column("head").to_pylist()]
             if heads:
                 owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-                flags = np.bincount(owner, weights=np.isin(np.concatenate(heads), fresh), minlength=len(heads)) > 0
+                flags = np.bincount(owner, weights=_among(np.concatenate(heads), fresh), minlength=len(heads)) > 0
                 kept = batch.filter(pa.array(flags))
                 yield pa.RecordBatch.from_arrays([kept.column("key")], names=["key"])
 
@@ -262,17 +267,17 @@ def _holding(classes: DataFrame, fresh: np.ndarray) -> DataFrame:
 def _candidates(key, size, first, groups, pairs: set) -> None:
     """Add (class, group) for each class and each group that has a class of fitting size and lesser key
     here: of two classes the one with the greater key asks."""
-    order = np.array(sorted(range(len(key)), key=key.tolist().__getitem__))
-    key, size, first = key[order], size[order].astype(np.int64), first[order]
     names = key.tolist()
-    number = np.searchsorted(groups, first)
-    for at in range(1, len(key), 512):
-        to = min(len(key), at + 512)
-        asks, told = size[at:to, None], size[None, :to]
-        fits = (100 * told >= PERCENT * asks) & (100 * asks >= PERCENT * told) & (np.arange(to)[None, :] < np.arange(at, to)[:, None])
-        rows, columns = np.nonzero(fits)
-        found = np.unique((rows + at) * len(groups) + number[columns])
-        pairs.update((names[k], g) for k, g in zip((found // len(groups)).tolist(), groups[found % len(groups)].tolist()))
+    place = np.empty(len(names), np.int64)
+    place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    by = np.argsort(first, kind="stable")
+    told, before = size[by].astype(np.int64)[None, :], place[by][None, :]
+    starts = np.searchsorted(first[by], groups)
+    for at in range(0, len(names), 256):
+        asks, own = size[at:at + 256, None].astype(np.int64), place[at:at + 256, None]
+        fits = (100 * told >= PERCENT * asks) & (100 * asks >= PERCENT * told) & (before < own)
+        rows, columns = np.nonzero(np.logical_or.reduceat(fits, starts, axis=1))
+        pairs.update(zip([names[at + r] for r in rows.tolist()], groups[columns].tolist()))
 
 
 def _near(docs: DataFrame, wanted: DataFrame, keep: str | None = None) -> DataFrame:
@@ -314,7 +319,7 @@ def _spread(docs: DataFrame, fresh: np.ndarray, limit: int) -> np.ndarray:
         for batch in slices(batches):
             found = []
             for hashes in shingle_runs(batch.column("text").to_pylist()):
-                at = np.flatnonzero(np.isin(hashes, fresh))
+                at = np.flatnonzero(_among(hashes, fresh))
                 if len(at):
                     near = np.zeros(len(hashes) + 1, np.int64)
                     np.add.at(near, np.maximum(at - REACH, 0), 1)
