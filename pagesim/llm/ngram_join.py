@@ -205,9 +205,10 @@ def _deal(classes: DataFrame, spark: SparkSession) -> DataFrame:
             .repartition(parts, "place"))
 
 
-def _meet(dealt: DataFrame, moved: np.ndarray) -> DataFrame:
+def _meet(dealt: DataFrame, moved: np.ndarray, fresh: np.ndarray | None = None) -> DataFrame:
     """What meets in each shingle. Rows of two kinds: queries (``key`` with a group it met) and common
-    shingles (``hot``) with the number of classes that met there."""
+    shingles (``hot``) with the number of classes that met there. With ``fresh``, only the queries of the
+    common shingles that are not among these."""
     schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("hot", pa.int64()), ("number", pa.int64())])
 
     def meet(batches):
@@ -228,9 +229,13 @@ def _meet(dealt: DataFrame, moved: np.ndarray) -> DataFrame:
         end = np.append(begin[1:], len(token))
         pairs, hot = set(), []
         late = set() if not len(moved) else set(np.intersect1d(token[begin], moved).tolist())
+        taken = set() if fresh is None else set(np.intersect1d(token[begin], fresh).tolist())
         for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
             groups = np.unique(first[a:b])
-            if (len(groups) > COMMON_GROUPS or b - a > COMMON_CLASSES) and token[a] not in late and len(moved) < MAX_MOVED:
+            common = (len(groups) > COMMON_GROUPS or b - a > COMMON_CLASSES) and token[a] not in late and len(moved) < MAX_MOVED
+            if fresh is not None and (not common or token[a] in taken):
+                continue
+            if fresh is None and common:
                 hot.append((None, None, _signed(token[a]), b - a))
                 continue
             _candidates(key[a:b], size[a:b], first[a:b], groups, pairs)
@@ -301,10 +306,14 @@ def candidates(docs: DataFrame, sets: DataFrame, moved: np.ndarray) -> DataFrame
         some = met.where("first is not null").select("key", "first")
         found = some if found is None else found.unionAll(some)
         # each shingle meets in one task, so none is listed twice
-        hot = met.where("hot is not null").orderBy(F.desc("number"), "hot").limit(MAX_MOVED - len(moved)).select("hot").collect()
+        common = met.where("hot is not null")
+        hot = common.orderBy(F.desc("number"), "hot").limit(MAX_MOVED - len(moved)).select("hot").collect()
         if not hot:
             return found.distinct()
         fresh = np.sort(np.array([r.hot for r in hot], np.int64).view(np.uint64))
+        if common.count() > len(fresh):  # no room for the others: they are joined as they are, in the same round
+            rest = materialize(_meet(_deal(classes, spark), moved, fresh), "shingle-rest")
+            found = found.unionAll(rest.select("key", "first"))
         moved = np.union1d(moved, fresh)
         again = _holding(heads, fresh)
         wanted = materialize(again.join(places, "key").select("at.doc_id", "at.th"), "shingle-again")

@@ -158,6 +158,16 @@ def test_join_without_moving_and_with_small_chunks(spark, documents, monkeypatch
     same_join(documents(rows), rows)
 
 
+@pytest.mark.parametrize("room", [1, 7])
+def test_join_with_room_for_some_common_shingles(spark, documents, monkeypatch, room):
+    monkeypatch.setattr(ngram_join, "COMMON_GROUPS", 3)
+    monkeypatch.setattr(ngram_join, "COMMON_CLASSES", 3)
+    monkeypatch.setattr(ngram_join, "SAMPLE_DOCUMENTS", 1)  # so that all are found in a round
+    monkeypatch.setattr(ngram_join, "MAX_MOVED", room)
+    rows = list(enumerate(" ".join(f"f{f}x{k}" for k in range(80)) + f" own{c}" for f in range(12) for c in range(6)))
+    same_join(documents(rows), rows)
+
+
 def test_join_of_awkward_rows(awkward, documents):
     rows = [(d, t) for d, t, *_ in AWKWARD]
     same_join(awkward, rows)
