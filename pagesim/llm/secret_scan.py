@@ -1,9 +1,11 @@
 """Secrets in texts: fixed patterns, and character Markov models for random strings (operator 10).
 
-Two first-order Markov models over the characters of keys and names are trained from labelled samples
-of the corpus itself: values that the fixed patterns mark are random strings, all other long runs of
-these characters are ordinary identifiers. A run outside the marked spans is a secret when the mean
-log-likelihood ratio per transition exceeds a threshold calibrated on the ordinary runs.
+Two first-order Markov models over the characters of keys and names are trained from the whole corpus,
+each distinct run counting once: values that the fixed patterns mark are random strings, other long runs
+of these characters are ordinary identifiers, unless the models themselves call them random. As secrets
+are among the unmarked runs, each of these is judged by the others, without its own counts, and
+what is more likely random leaves the ordinary model, until none changes. A run outside the marked
+spans is a secret when it is more likely under the model of random strings.
 
 A null or empty text has no span. Overlapping spans of different kinds are all kept, as the kinds are
 searched apart; ``markov`` spans never overlap others. Positions are code points, ends exclusive."""
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesim.llm.text import narrow, slices
+from pagesim.session import at_least_partitions, materialize
 
 #: The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -28,11 +31,10 @@ KINDS = ("assign", "access", "hex", "markov")
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Bound of the sample of documents the models are trained and calibrated on.
-SAMPLE_DOCUMENTS = 20_000
-#: Least mean log-likelihood ratio, and the share of ordinary runs of the sample that may exceed the threshold.
-LEAST_RATIO, FALSE_SHARE = 0.5, 0.0005
-BINS, BIN = 400, 0.05
+#: Weight of the uniform prior in each cell of both models, and the mean log-likelihood ratio of a secret.
+RANDOM_PRIOR, ORDINARY_PRIOR, THRESHOLD = 2.0, 0.5, 0.0
+#: Most times that the runs are judged; mostly three are enough.
+ROUNDS = 12
 _INDEX = np.zeros(128, np.int64)
 _INDEX[[ord(c) for c in LETTERS]] = np.arange(len(LETTERS))
 
@@ -59,77 +61,66 @@ def transitions(run: str) -> np.ndarray:
     return at[:-1] * len(LETTERS) + at[1:]
 
 
-def ratio_table(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratios of all transitions from the counts of both classes.
+def log_table(counts: np.ndarray, prior: float) -> np.ndarray:
+    """Log-likelihoods of all transitions; unseen ones follow a uniform prior with this weight in each cell."""
+    m = counts.reshape(len(LETTERS), -1) + prior
+    return np.log(m / m.sum(1, keepdims=True)).ravel()
 
-    Unseen transitions of random strings follow a uniform prior with the weight of 2 for each cell;
-    those of ordinary identifiers have 0.1."""
-    def log_p(counts, prior):
-        m = counts.reshape(len(LETTERS), -1) + prior
-        return np.log(m / m.sum(1, keepdims=True)).ravel()
 
-    return log_p(random, 2.0) - log_p(ordinary, 0.1)
+def is_ordinary(run: np.ndarray, random: np.ndarray, rounds: list[np.ndarray]) -> bool:
+    """Whether an unmarked run counts as ordinary after these rounds, each given by the transition counts of
+    the ordinary runs at its start. A run that is among them is judged without its own counts."""
+    (_, cell, cells), (_, row, rows) = (np.unique(x, return_inverse=True, return_counts=True) for x in (run, run // len(LETTERS)))
+    ordinary = True
+    for counts in rounds:
+        seen = counts[run] - ordinary * cells[cell] + ORDINARY_PRIOR
+        every = counts.reshape(len(LETTERS), -1).sum(1)[run // len(LETTERS)] - ordinary * rows[row] + ORDINARY_PRIOR * len(LETTERS)
+        ordinary = bool((random[run] - np.log(seen / every)).mean() <= THRESHOLD)
+    return ordinary
 
 
-def train(docs: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> tuple[np.ndarray, float]:
-    """The table of log-likelihood ratios and the threshold, from at most ``limit`` documents drawn by
-    hashed id. Only counts of bounded number reach the driver."""
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    sample = narrow(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
+def train(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """The table of log-likelihood ratios and the threshold. Only counts of bounded number reach the driver."""
     cells = len(LETTERS) ** 2
 
-    def runs(batches, use):
+    def find(batches):
         for batch in slices(batches):
+            found = set()
             for text in batch.column("text").to_pylist():
                 if text:
                     base = base_spans(text)
-                    use(text, base, free_runs(text, base))
-
-    def counted(kind, counts):
-        at = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(counts[at])],
-                                          names=["kind", "cell", "n"])
-
-    def count(batches):
-        found = np.zeros((2, cells), np.int64)
-
-        def use(text, base, free):
-            for a, b, _ in base:
-                for run in RUN.findall(text[a:b]):
-                    found[0] += np.bincount(transitions(run), minlength=cells)
-            for a, b in free:
-                np.add.at(found[1], transitions(text[a:b]), 1)
-
-        runs(batches, use)
-        yield from (counted(k, found[k]) for k in (0, 1))
-
-    def total(rows, size):
-        out = np.zeros((2, size), np.int64)
-        for r in rows.groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect():
-            out[r.kind, r.cell] = r.n
+                    found.update((0, run) for a, b, _ in base for run in RUN.findall(text[a:b]))
+                    found.update((1, text[a:b]) for a, b in free_runs(text, base))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())],
+                                             names=["kind", "run"])
+
+    runs = at_least_partitions(materialize(narrow(docs).mapInArrow(find, "kind int, run string").distinct(), "secret-runs"))
+
+    def total(kind: int, keep) -> np.ndarray:
+        def count(batches):
+            found = np.zeros(cells, np.int64)
+            for batch in batches:
+                for run in map(transitions, batch.column("run").to_pylist()):
+                    if keep(run):
+                        np.add.at(found, run, 1)
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["cell", "n"])
+
+        out = np.zeros(cells, np.int64)
+        counted = runs.where(F.col("kind") == kind).select("run").mapInArrow(count, "cell long, n long")
+        for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            out[r.cell] = r.n
         return out
 
-    table = ratio_table(*total(sample.mapInArrow(count, "kind long, cell long, n long"), cells))
-
-    def score(batches):
-        found = np.zeros(BINS, np.int64)
-
-        def use(text, _, free):
-            for a, b in free:
-                found[score_bin(table[transitions(text[a:b])].mean())] += 1
-
-        runs(batches, use)
-        yield counted(1, found)
-
-    scores = total(sample.mapInArrow(score, "kind long, cell long, n long"), BINS)[1]
-    above = np.cumsum(scores[::-1])[::-1]
-    allowed = np.flatnonzero(above <= FALSE_SHARE * max(1, scores.sum()))
-    cut = (allowed[0] if len(allowed) else BINS) * BIN - BINS * BIN / 2
-    return table, max(LEAST_RATIO, cut)
-
-
-def score_bin(ratio: float) -> int:
-    return int(np.clip((ratio + BINS * BIN / 2) / BIN, 0, BINS - 1))
+    random = log_table(total(0, lambda run: True), RANDOM_PRIOR)
+    rounds = [total(1, lambda run: True)]
+    while len(rounds) < ROUNDS:
+        known = list(rounds)
+        rounds.append(total(1, lambda run: is_ordinary(run, random, known)))
+        if (rounds[-1] == rounds[-2]).all():
+            break
+    return random - log_table(rounds[-1], ORDINARY_PRIOR), THRESHOLD
 
 
 def all_spans(text: str, table: np.ndarray, threshold: float) -> tuple[list, list]:

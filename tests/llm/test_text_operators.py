@@ -316,6 +316,20 @@ def test_random_strings_are_told_from_names(spark, documents):
     assert base == [] and [text[a:b] for a, b, _ in spans] == [alone]
 
 
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.3])
+def test_unmarked_keys_among_the_names_are_found(spark, documents, share):
+    draw = random.Random(8)
+    hexes = ["".join(draw.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "user account balance total invoice number shipping order customer address payment status request".split()
+    names = sorted({"_".join(draw.choice(words) for _ in range(4)) for _ in range(600)})
+    keys = ["".join(draw.choice(letters) for _ in range(32)) for _ in range(int(len(names) * share / (1 - share)))]
+    texts = [f'token = "{h}"' for h in hexes] + [f"see {x} here" for x in names + keys]
+    found = {texts[r.doc_id][4:-5]: r.n_markov for r in secrets.scan_secrets(documents(list(enumerate(texts)))).collect() if r.doc_id >= 200}
+    assert sum(found[k] for k in keys) >= 0.95 * len(keys)
+    assert sum(found[n] for n in names) <= 0.01 * len(names)
+
+
 def test_secrets_of_awkward_rows(awkward, documents):
     rows = secrets.scan_secrets(awkward).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in AWKWARD)
