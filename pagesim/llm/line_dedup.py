@@ -6,7 +6,9 @@ line a window runs to the first line with which it has ``MIN_WORDS`` words, and
 of at least ``MIN_WORDS`` words, wherever they lie, have a fingerprint at the same place: that is
 the guarantee. Neighbouring windows mostly share their fingerprint, which is kept once, with the hash
 of the windows it stands for. Positions with equal fingerprint and window are joined to the first of
-them, the match is extended line by line both ways, and the later run is deleted.
+them, and the lines of all later ones are deleted. Lines after the last window of such a run, too few for
+a window, go as far as the window and these lines stood at any earlier place: the window is hashed
+with its next line, its next two and so on, and each of these has a first place too.
 
 Order: by doc_id (nulls last), then text hash, then line. The first place of a run stays, every line
 that is deleted has an equal line before it in this order. Rows with the same doc_id and text are one
@@ -42,8 +44,8 @@ def document_lines(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
     """One row for each window: its fingerprint (``gram``), its hash, its place, and what lies around it.
 
-    ``at`` is the first line, ``n`` the number of lines; ``left`` and ``right`` hold the hashes of the
-    lines next to the window, nearest first. Every line has a word, so ``upto`` grows from line to
+    ``at`` is the first line, ``n`` the number of lines; ``right`` holds the hashes of the
+    lines after the window, nearest first. Every line has a word, so ``upto`` grows from line to
     line and the lines of a window are a range of it."""
     def reach(low: int, high: int):
         return Window.partitionBy(*DOC).orderBy("upto").rangeBetween(low, high)
@@ -52,7 +54,7 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
     window, gram = reach(0, min_words - 1), reach(0, gram_words - 1)
     lines = document_lines(docs).withColumns({
         "gram_lines": F.collect_list("h").over(gram), "run": F.collect_list("h").over(window),
-        "left": F.reverse(F.collect_list("h").over(reach(-min_words, -1))), "end": F.last("at").over(window)})
+        "end": F.last("at").over(window)})
     lines = lines.withColumns({
         "gram_end": F.col("at") + F.size("gram_lines") - 1, "after": F.lead("run").over(next_line),
         "gram": F.when(F.col("words") - F.col("upto") >= gram_words, F.xxhash64("gram_lines"))})
@@ -61,14 +63,7 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int =
     inside = F.filter("grams", lambda g: g["gram"].isNotNull() & (g["gram_end"] <= F.col("end")))
     return lines.where(F.col("words") - F.col("upto") >= min_words).select(
         *DOC, F.array_min(inside)["gram"].alias("gram"), F.xxhash64("run").alias("window"), "at", F.size("run").alias("n"),
-        "left", F.coalesce("right", F.array().cast("array<bigint>")).alias("right"))
-
-
-def _same(mine: Column, other: Column) -> Column:
-    """How many leading elements of both arrays are equal."""
-    same = F.zip_with(mine, other, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    stop = F.array_position(same, False)
-    return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
+        F.coalesce("right", F.array().cast("array<bigint>")).alias("right"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
@@ -78,12 +73,22 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int
     first = (prints.groupBy("gram", "window").agg(F.min(place).alias("first"), F.count("*").alias("places"))
              .where("places > 1").drop("places"))
     found = materialize(prints.join(first, ["gram", "window"]).withColumn("origin", place == F.col("first")), "line-matches")
-    origin = found.where("origin").select("gram", "window", F.col("left").alias("left0"), F.col("right").alias("right0"))
-    later = found.where("not origin").join(origin, ["gram", "window"])
-    start = F.col("at") - _same(F.col("left"), F.col("left0"))
-    end = F.col("at") + F.col("n") - 1 + _same(F.col("right"), F.col("right0"))
-    return (later.select(*DOC, F.explode(F.sequence(start, end)).alias("line")).distinct()
-            .groupBy(*DOC).agg(F.collect_list("line").alias("gone")))
+    later = found.where("not origin")
+    here = Window.partitionBy(*DOC).orderBy("at")
+    last = materialize(later.withColumn("next", F.lead("at").over(here)).where("(next is null or next > at + 1) and size(right) > 0")
+                       .drop("next"), "line-ends")  # what follows other windows lies in the next one and its tail
+    tails = lambda rows: rows.select("gram", "window", *DOC, "at", "n", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("right")), lambda k: F.struct(k.alias("k"), F.xxhash64(F.slice("right", 1, k)).alias("tail")))).alias("x")
+        ).select("gram", "window", *DOC, "at", "n", "x.k", "x.tail")
+    asked = last.select("gram", "window").distinct()
+    tail = ["gram", "window", "k", "tail"]
+    before = (tails(found.join(asked, ["gram", "window"], "left_semi").where("size(right) > 0")).groupBy(*tail)
+              .agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").drop("places"))
+    more = tails(last).join(before, tail).where(place != F.col("first"))
+    end = F.col("at") + F.col("n") - 1
+    lines = later.select(*DOC, F.explode(F.sequence(F.col("at"), end)).alias("line")).unionAll(
+        more.select(*DOC, (end + F.col("k")).alias("line")))
+    return lines.distinct().groupBy(*DOC).agg(F.collect_list("line").alias("gone"))
 
 
 def _without(text: Column, gone: Column) -> Column:

@@ -69,6 +69,50 @@ def test_lines_of_random_documents(spark, documents):
     assert {r.doc_id: (r.text, r.lines_removed) for r in rows} == dict(enumerate(plain_dedup(texts, 6)))
 
 
+def brute_dedup(texts, least):
+    """Like plain_dedup, but every window is compared with all earlier places of it, as far as both go."""
+    lines = [[x for x in (t or "").split("\n") if WORD.search(x)] for t in texts]
+    places, out = defaultdict(list), []
+    for d, own in enumerate(lines):
+        gone = set()
+        for i in range(len(own)):
+            ends = (j for j in range(i + 1, len(own) + 1) if sum(len(WORD.findall(x)) for x in own[i:j]) >= least)
+            if not (j := next(ends, 0)):
+                break
+            for d0, i0 in places[tuple(own[i:j])]:
+                b, b0 = j, i0 + j - i
+                while b < len(own) and b0 < len(lines[d0]) and own[b] == lines[d0][b0]:
+                    b, b0 = b + 1, b0 + 1
+                gone |= set(range(i, b))
+            places[tuple(own[i:j])].append((d, i))
+        at, kept = -1, []
+        for x in (texts[d] or "").split("\n"):
+            at += bool(WORD.search(x))
+            if not (WORD.search(x) and at in gone):
+                kept.append(x)
+        out.append((None if texts[d] is None else "\n".join(kept), len(gone)))
+    return out
+
+
+def test_tails_behind_a_shared_header(documents):
+    draw = random.Random(9)
+    header, pool = " ".join(f"p{k}" for k in range(51)), ["a b", "c", "d e f"]
+    texts = [f"{header}\nx", f"{header}\na b\nc d e", f"{header}\na b\nc d e"]
+    texts += [header + "\n" + "\n".join(draw.choice(pool) for _ in range(draw.randint(0, 5))) for _ in range(40)]
+    want = brute_dedup(texts, line_dedup.MIN_WORDS)
+    assert want[2] == ("", 3) and want != plain_dedup(texts, line_dedup.MIN_WORDS)
+    rows = line_dedup.dedup_lines(documents(list(enumerate(texts)))).collect()
+    assert {r.doc_id: (r.text, r.lines_removed) for r in rows} == dict(enumerate(want))
+
+
+def test_random_lines_against_all_earlier_places(documents):
+    draw = random.Random(10)
+    pool = ["a b", "c", "d e f", "g h i j k l m", "", " "]
+    texts = ["\n".join(draw.choice(pool) for _ in range(draw.randint(0, 9))) for _ in range(80)]
+    rows = line_dedup.dedup_lines(documents(list(enumerate(texts))), 6, 3).collect()
+    assert {r.doc_id: (r.text, r.lines_removed) for r in rows} == dict(enumerate(brute_dedup(texts, 6)))
+
+
 def test_a_passage_of_fifty_words_stays_once(documents):
     passage = " ".join(f"w{k}" for k in range(51))
     docs = documents([(k, f"own {k}\n{passage}\nend {k}") for k in range(40)])
