@@ -4,11 +4,11 @@ A text is its lines, split at ``\\n``; lines without a word are passed over and
 line a window runs to the first line with which it has ``MIN_WORDS`` words, and a gram likewise with
 ``GRAM_WORDS``. The least gram hash among the grams within a window is its fingerprint, so equal runs
 of at least ``MIN_WORDS`` words, wherever they lie, have a fingerprint at the same place: that is
-the guarantee. Neighbouring windows mostly share their fingerprint, which is kept once, with the hash
-of the windows it stands for. Positions with equal fingerprint and window are joined to the first of
-them, and the lines of all later ones are deleted. Lines after the last window of such a run, too few for
-a window, go as far as the window and these lines stood at any earlier place: the window is hashed
-with its next line, its next two and so on, and each of these has a first place too.
+the guarantee. No window is left out by it: every window is a row, with its fingerprint and the hash of
+its lines. Positions with equal fingerprint and window are joined to the first of them, and the lines of
+all later ones are deleted. Lines after the last window of such a run, too few for a window, go as far
+as the window and these lines stood at any earlier place: the window is hashed with its next line, its
+next two and so on, and each of these has a first place too.
 
 Order: by doc_id (nulls last), then text hash, then line. The first place of a run stays, every line
 that is deleted has an equal line before it in this order. Rows with the same doc_id and text are one
