@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from pagesim.llm.decontamination import find_leaks
 from pagesim.llm.line_dedup import dedup_lines
+from pagesim.llm.merkle import manifest_sql, merkle_manifest
 from pagesim.llm.ngram_join import join_similar
 from pagesim.llm.packing import pack_documents
 from pagesim.llm.quality_classifier import score_quality
@@ -63,7 +64,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding,
-    op7_ngram_join, op8_toxicity, op9_decontamination, op10_secret_scan)} | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    op7_ngram_join, op8_toxicity, op9_decontamination, op10_secret_scan,
+    op11_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
+ORACLE: dict[str, str] = {"op11_merkle_manifest": manifest_sql()} | (
+    {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})
