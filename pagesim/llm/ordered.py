@@ -27,15 +27,19 @@ def dealt_in_order(df: DataFrame, group: str, order: list[Column], name: str) ->
                        .withColumn("_task", F.shiftright("_at", 33)), name)
 
 
-def positions(dealt: DataFrame, group: str, place: str = "_place") -> DataFrame:
+def positions(dealt: DataFrame, group: str, place: str = "_place", known: DataFrame | None = None) -> DataFrame:
     """The place of each row within its group, from 0, and ``_size``, the rows of the group.
 
-    No row is sorted again: within a task a group's rows follow one another."""
+    No row is sorted again: within a task a group's rows follow one another. ``known`` has more columns for
+    each group (one row each); they reach the rows over (task, group), so that no group's rows meet in one task."""
     spans = dealt.groupBy("_task", group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)),
                                "_size": F.sum("_n").over(Window.partitionBy(group))})
-    spans = spans.select(F.col("_task").alias("_span_task"), F.col(group).alias("_span_group"), "_first", "_before", "_size")
+    more = [] if known is None else [c for c in known.columns if c != group]
+    if known is not None:
+        spans = spans.join(known.withColumnRenamed(group, "_known"), F.col(group).eqNullSafe(F.col("_known")), "left")
+    spans = spans.select(F.col("_task").alias("_span_task"), F.col(group).alias("_span_group"), "_first", "_before", "_size", *more)
     return (dealt.join(spans, (F.col("_task") == F.col("_span_task")) & F.col(group).eqNullSafe(F.col("_span_group")))
             .withColumn(place, F.col("_before") + F.col("_at") - F.col("_first"))
             .drop("_span_task", "_span_group", "_first", "_before"))

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from pagesim.llm.decontamination import find_leaks
+from pagesim.llm.katz import score_documents
 from pagesim.llm.line_dedup import dedup_lines
 from pagesim.llm.merkle import manifest_sql, merkle_manifest
 from pagesim.llm.ngram_join import join_similar
 from pagesim.llm.packing import pack_documents
+from pagesim.llm.prefix_trie import prefix_trie, trie_sql
 from pagesim.llm.quality_classifier import score_quality
 from pagesim.llm.quality_rules import apply_rules, train_rules
 from pagesim.llm.secret_scan import scan_secrets
@@ -68,9 +70,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_line_dedup, op3_token_files, op4_packing, op5_quality_rules, op6_sharding,
     op7_ngram_join, op8_toxicity, op9_decontamination, op10_secret_scan,
-    op11_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {"op11_merkle_manifest": manifest_sql()} | (
+    op11_merkle_manifest, op12_lm_scoring, op13_prefix_trie)} | {"pipeline": corpus_pipeline.run}
+ORACLE: dict[str, str] = {"op11_merkle_manifest": manifest_sql(), "op13_prefix_trie": trie_sql()} | (
     {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})
