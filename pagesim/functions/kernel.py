@@ -55,11 +55,55 @@ def _l2_pair(first, second):
     return float(np.sqrt(np.dot(gap, gap)))
 
 
+def _jaccard_matrix(lhs, rhs):
+    """Shared tags are products of 0/1 matrices, a few thousand tags at a time; sums of ones are exact."""
+    tags = {t: i for i, t in enumerate(set().union(*rhs))} if rhs else {}
+    shared = np.zeros((len(lhs), len(rhs)))
+    if not len(lhs) or not len(rhs):
+        return shared
+    places = [[np.array([tags[t] for t in s if t in tags], dtype=np.int64) for s in side] for side in (lhs, rhs)]
+    for start in range(0, len(tags), _TAGS_AT_ONCE):
+        bits = [np.zeros((len(side), min(_TAGS_AT_ONCE, len(tags) - start)), np.float32) for side in places]
+        for matrix, side in zip(bits, places):
+            for row, at in enumerate(side):
+                matrix[row, at[(at >= start) & (at < start + matrix.shape[1])] - start] = 1
+        shared += bits[0] @ bits[1].T
+    sizes = [np.array([len(s) for s in side], dtype=np.float64) for side in (lhs, rhs)]
+    return 1.0 - shared / (sizes[0][:, None] + sizes[1][None, :] - shared)
+
+
+def _l2_matrix(lhs, rhs):
+    """By products of centred points; pairs so close that the difference of squares loses digits are taken one
+    by one, so that equal points are exactly 0 apart."""
+    if not len(lhs) or not len(rhs):
+        return np.zeros((len(lhs), len(rhs)))
+    a, b = np.stack(lhs), np.stack(rhs)
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    norms = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    squares = norms - 2.0 * (a @ b.T)
+    for i, j in zip(*np.nonzero(squares < 1e-4 * norms)):
+        squares[i, j] = _l2_pair(lhs[i], rhs[j]) ** 2
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
+_TAGS_AT_ONCE = 4096
+_MATRICES = {"tag_jaccard": _jaccard_matrix, "l2": _l2_matrix}
+
+
 class Kernel:
     """One distance: ``pair(first, second)`` over prepared payloads, in that order."""
 
     def __init__(self, name, measure, prepare, pair):
         self.name, self.measure, self._prepare, self.pair = name, measure, prepare, pair
+        #: Whether the order of a pair does not matter, and a block of pairs costs one matrix product.
+        self.symmetric = name in _MATRICES
+
+    def matrix(self, lhs: list, rhs: list) -> np.ndarray:
+        """Distances of prepared payloads, every one of ``lhs`` before every one of ``rhs``."""
+        if self.symmetric:
+            return _MATRICES[self.name](lhs, rhs)
+        return np.array([[self.pair(a, b) for b in rhs] for a in lhs], dtype=np.float64).reshape(len(lhs), len(rhs))
 
     def prepare(self, payload, size=None):
         """What ``pair`` takes; ``size`` is the payload's ``measure`` if it is already known."""
@@ -76,16 +120,16 @@ class Kernel:
         n = len(payloads)
         out = np.full((n, n), np.nan)
         apart = None if apart is None else np.asarray(apart)
-        if self.name == "l2":
-            points = np.stack([self._prepare(p) for p in payloads])
-            for i in range(n - 1):
-                out[i, i + 1:] = np.sqrt(((points[i + 1:] - points[i]) ** 2).sum(axis=1))
+        ids = {}
+        which = [ids.setdefault(memo_key(p), len(ids)) for p in payloads]
+        first = {key: payload for key, payload in zip(map(memo_key, payloads), payloads)}
+        distinct = [self.prepare(first[key]) for key in ids]
+        if self.symmetric:
+            out = self.matrix(distinct, distinct)[np.ix_(which, which)]
+            out[np.tril_indices(n)] = np.nan
             if apart is not None:
                 out[apart[:, None] == apart[None, :]] = np.nan
             return out
-        ids = {}
-        which = [ids.setdefault(memo_key(p), len(ids)) for p in payloads]
-        distinct = [self.prepare(key) for key in ids]
         seen = {}
         for i in range(n):
             for j in range(i + 1, n):

@@ -71,18 +71,10 @@ def distances_to(payload: Column, protos: PrototypeSet, distance: str = "ncd",
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def measure(values: pd.Series) -> pd.Series:
-        seen = {}
-        out = []
-        for value in values:
-            if value is None:
-                out.append(None)
-                continue
-            key = memo_key(value)
-            if key not in seen:
-                mine = k.prepare(value)
-                seen[key] = [k.pair(mine, target) for target in targets]
-            out.append(seen[key])
-        return pd.Series(out, dtype=object)
+        ids = {}
+        which = [None if v is None else ids.setdefault(memo_key(v), (len(ids), v))[0] for v in values]
+        found = k.matrix([k.prepare(v) for _, v in ids.values()], targets).tolist()
+        return pd.Series([None if i is None else found[i] for i in which], dtype=object)
 
     return measure(payload)
 
@@ -143,10 +135,11 @@ def _cell_partitions(spark, cells: int) -> int:
 def grid_scores(cands: DataFrame, others: DataFrame, key: str, payload: str = "dom",
                 distance: str = "ncd", set_col: str = "label", order_col: str = "idx",
                 carry: tuple[str, ...] = (), block_rows: int | None = None,
-                other_payload: str | None = None) -> DataFrame:
+                other_payload: str | None = None, exclude: str | None = None) -> DataFrame:
     """Per candidate and set: count, sum, minimum and the nearest row (ties to lowest order).
 
-    ``key`` must be unique. ``other_payload`` names the others' payload if it differs. Rows are spread over blocks by hash, so no cell depends on how the
+    ``key`` must be unique. Rows whose ``exclude`` column (the order or a carried one) equals the candidate's key are
+    never its nearest; a candidate without any other row then has no minimum. ``other_payload`` names the others' payload if it differs. Rows are spread over blocks by hash, so no cell depends on how the
     data is distributed; each cell combines before anything is shuffled again."""
     k = kernel(distance)
     extra = [c for c in carry if c not in (set_col, order_col)]
@@ -168,21 +161,25 @@ def grid_scores(cands: DataFrame, others: DataFrame, key: str, payload: str = "d
         targets = [k.prepare(p) for p in rhs["payload"]]
         parts = [(name, list(at)) for name, at in rhs.groupby(set_col, sort=False).indices.items()]
         near = rhs[[order_col, *extra]].to_numpy(dtype=object)
-        seen, out = {}, []
-        for cand, value in zip(lhs[key], lhs["payload"]):
-            memo = memo_key(value)
-            if memo not in seen:
-                mine = k.prepare(value)
-                seen[memo] = [k.pair(mine, t) for t in targets]
-            d = seen[memo]
-            for name, at in parts:
-                best = min(at, key=lambda i: d[i])
-                out.append((cand, name, len(at), sum(d[i] for i in at), d[best], *near[best]))
-        return pd.DataFrame(out, columns=names)
+        ids = {}
+        which = [ids.setdefault(memo_key(v), (len(ids), v))[0] for v in lhs["payload"]]
+        d = k.matrix([k.prepare(v) for _, v in ids.values()], targets)[which]
+        allowed = d if exclude is None else np.where(
+            lhs[key].to_numpy(dtype=object)[:, None] == rhs[exclude].to_numpy(dtype=object)[None, :], np.inf, d)
+        frames = []
+        for name, at in parts:
+            part = allowed[:, at]
+            best = np.array(at)[part.argmin(axis=1)]  # the first of equals
+            frame = pd.DataFrame({key: lhs[key].to_numpy(), set_col: name, "n": len(at), "total": d[:, at].sum(axis=1),
+                                  "d": part.min(axis=1)})
+            for column, values in zip([order_col, *extra], near[best].T):
+                frame[column] = values
+            frames.append(frame[names])
+        return pd.concat(frames) if len(frames) > 1 else frames[0]
 
     left, right = left.repartition(tasks, "lb", "rb"), right.repartition(tasks, "lb", "rb")
     partial = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(cell, schema)
-    nearest = F.min(F.struct("d", order_col, *extra))
+    nearest = F.min(F.when(F.col("d") < float("inf"), F.struct("d", order_col, *extra)))
     return partial.groupBy(key, set_col).agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"), nearest.alias("near"),
     ).select(key, set_col, "n", "total", F.col("near.d").alias("min_distance"),
@@ -222,25 +219,27 @@ def grid_pairs(cands: DataFrame, others: DataFrame, key: str, payload: str = "do
     names = [f.name for f in schema.fields]
 
     def cell(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        targets = [(s, o, k.prepare(p)) for s, o, p in zip(rhs[set_col], rhs[order_col], rhs["payload"])]
-        mine = [(c, k.prepare(p)) for c, p in zip(lhs[key], lhs["payload"])]
-        return pd.DataFrame([(c, s, o, k.pair(m, t)) for c, m in mine for s, o, t in targets], columns=names)
+        d = k.matrix([k.prepare(p) for p in lhs["payload"]], [k.prepare(p) for p in rhs["payload"]])
+        i, j = (x.ravel() for x in np.indices(d.shape))
+        return pd.DataFrame({key: lhs[key].to_numpy()[i], set_col: rhs[set_col].to_numpy()[j],
+                             order_col: rhs[order_col].to_numpy()[j], "distance": d.ravel()})[names]
 
     left, right = left.repartition(tasks, "lb", "rb"), right.repartition(tasks, "lb", "rb")
     return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(cell, schema)
 
 
 def _self_grid(samples: DataFrame, key: str, payload: str, distance: str, group: str | None,
-               block_rows: int | None, emit: str) -> DataFrame:
+               block_rows: int | None, emit: str, weight: str | None = None) -> DataFrame:
     """Every unordered pair once, in cells of two blocks of one group.
 
     A group gets as many blocks as its own size needs, so a group holding most of the data is
-    spread over as many cells as it takes. Matrix rule: lower key first, a row with itself 0."""
+    spread over as many cells as it takes. Matrix rule: lower key first, a row with itself 0.
+    ``weight`` names how many equal rows a row stands for, in the totals of ``emit="rows"``."""
     k = kernel(distance)
     group_type = samples.schema[group].dataType if group else T.IntegerType()
     rows = samples.select(
         (F.col(group) if group else F.lit(0)).alias("g"), F.col(key).alias("key"),
-        F.col(payload).alias("payload"),
+        F.col(payload).alias("payload"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"),
     )
     spark = samples.sparkSession
     wanted = 16 * spark.sparkContext.defaultParallelism
@@ -282,9 +281,10 @@ def _self_grid(samples: DataFrame, key: str, payload: str, distance: str, group:
         if emit == "stats":
             return pd.DataFrame([(g, None, int(there.sum()), d[there].sum(), d[there].min(), d[there].max())],
                                 columns=names)
-        both = there | there.T
-        total = np.nansum(d, axis=0) + np.nansum(d, axis=1)
-        return pd.DataFrame({"g": [g] * len(keys), "key": keys, "n": both.sum(axis=1), "total": total,
+        w = pdf["w"].to_numpy()
+        full = np.where(there, d, 0.0)
+        total, n = full @ w + w @ full, there @ w + w @ there
+        return pd.DataFrame({"g": [g] * len(keys), "key": keys, "n": n, "total": total,
                              "lo": np.nan, "hi": np.nan})
 
     out = placed.groupBy("g", "lo_b", "hi_b").applyInPandas(cell, schema)

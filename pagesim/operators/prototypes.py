@@ -1,17 +1,18 @@
 """Prototype selection and clustering by farthest-point-first.
 
-Each round measures every row against one new centre and keeps the distance to the nearest
-centre so far: n*k distances, never the n*n matrix. Rows stay in their partitions; a round
-moves one candidate per class. Round state is cached with its (narrow) lineage, so a lost
-executor recomputes its own partitions, and every few rounds it is checkpointed to the
-shared folder."""
+Each row keeps the distance to the nearest centre it was measured against. That distance only
+falls as centres are added, so an old one is an upper bound: selection measures a row again only
+while its bound reaches the best fresh value, and finds the same rows as n*k distances would.
+Clustering needs the variance over all rows after every centre, so it measures all of them; never
+the n*n matrix. Rows stay in their partitions; a round moves one candidate per class. Round state
+is cached with its (narrow) lineage, so a lost executor recomputes its own partitions, and every
+few rounds it is checkpointed to the shared folder."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-import random
-
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,8 @@ from ..fixed_values import (
 )
 from ..functions.kernel import kernel, payload_size
 from ..session import materialize, shared_folder
-from .distances import group_distance_stats, mean_distance
+from .distances import group_distance_stats
+from .nearest import farthest_on_average
 
 CHECKPOINT_EVERY = 8
 _SELECTED = float("-inf")
@@ -84,15 +86,75 @@ def _payloads(state: DataFrame, chosen: dict) -> dict:
     return {r["g"]: (r["key"], r["payload"]) for r in rows if chosen.get(r["g"]) == r["key"]}
 
 
+#: Rows measured at once where a block of pairs costs one matrix product.
+_LAZY_BLOCK = 256
+#: Bounds above this quantile are tried first; the best of them decides what else is measured.
+_TRIED_FIRST = 0.99
+
+
+def _lazily(state: DataFrame, centres: dict, floors: dict, distance: str) -> DataFrame:
+    """``d_min``, ``seen`` and ``pairs`` after measuring rows whose bound reaches their group's floor.
+
+    ``centres`` is group -> [(id, payload)] in the order of selection, ``floors`` group -> bound. Within a
+    batch rows are taken by falling bound and the floor rises to the best row that has seen all centres, so a
+    row is left stale only below a fresh one. Payloads of rows below the floor do not leave the JVM."""
+    k = kernel(distance)
+    ready = {g: [(i, k.prepare(p)) for i, p in rows] for g, rows in centres.items()}
+    step = _LAZY_BLOCK if k.symmetric else 1
+    marks = reduce(lambda otherwise, g: F.when(F.col("g") == g, floors[g]).otherwise(otherwise), floors, F.lit(float("inf")))
+    tried = (F.col("d_min") >= marks) & (F.col("d_min") > _SELECTED)
+
+    @F.pandas_udf("d_min double, seen int, pairs long")
+    def measure(g: pd.Series, key: pd.Series, payload: pd.Series, size: pd.Series, d_min: pd.Series, seen: pd.Series) -> pd.DataFrame:
+        bound, done, pairs = d_min.to_numpy(float).copy(), seen.to_numpy(int).copy(), np.zeros(len(g), np.int64)
+        there, keys, sizes, payloads = payload.notna().to_numpy(), key.tolist(), size.tolist(), payload.tolist()
+        for group, rows in pd.Series(np.arange(len(g))[there]).groupby(g.to_numpy()[there]):
+            rows, floor, all_centres = rows.to_numpy(), floors[group], ready[group]
+            rows = rows[np.argsort(-bound[rows], kind="stable")]
+            for start in range(0, len(rows), step):
+                block = rows[start:start + step]
+                block = block[bound[block] >= floor]
+                if not len(block):
+                    break
+                mine = {r: k.prepare(payloads[r], None if sizes[r] is None or np.isnan(sizes[r]) else sizes[r]) for r in block}
+                for c in range(done[block].min(), len(all_centres)):
+                    centre_id, centre = all_centres[c]
+                    now = [r for r in block if done[r] == c and bound[r] >= floor and bound[r] > _SELECTED]
+                    if not now:
+                        continue
+                    if k.symmetric:
+                        found = k.matrix([mine[r] for r in now], [centre])[:, 0]
+                    else:
+                        found = [np.nan if keys[r] == centre_id else k.pair(mine[r], centre) if keys[r] < centre_id
+                                 else k.pair(centre, mine[r]) for r in now]
+                    for r, d in zip(now, found):
+                        done[r] = c + 1
+                        if keys[r] == centre_id:
+                            bound[r] = _SELECTED
+                        else:
+                            bound[r], pairs[r] = min(bound[r], d), pairs[r] + 1
+                fresh = block[done[block] == len(all_centres)]
+                if len(fresh):
+                    floor = max(floor, bound[fresh].max())
+        return pd.DataFrame({"d_min": bound, "seen": done, "pairs": pairs})
+
+    found = state.withColumn("_m", measure("g", "key", F.when(tried, F.col("payload")), "size", "d_min", "seen"))
+    return found.withColumns({c: F.col(f"_m.{c}") for c in ("d_min", "seen", "pairs")}).drop("_m")
+
+
 def fpf_select(samples: DataFrame, k: int = DEFAULT_K, by: str | None = None, key: str = "idx",
                payload: str = "dom", distance: str = "ncd", first="random", seed: int = 42,
-               checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
+               checkpoint_every: int = CHECKPOINT_EVERY, report: list | None = None) -> DataFrame:
     """``k`` rows of every ``by`` class, added columns ``prototype_index`` (1-based
     selection order) and ``cover_distance`` (distance to the nearest earlier centre).
 
     ``first`` is ``random`` (uniform by hashed key), ``lowest``, a key, or with ``by`` a mapping
     from class to key; every class of more than ``k`` rows must hold its key. Ties go to the lower
-    key. A class of at most ``k`` rows is returned whole, in order."""
+    key. A class of at most ``k`` rows is returned whole, in order.
+
+    Rows are measured lazily. A round first tries the rows with the highest bounds, then all whose bound
+    still reaches the best fresh distance; most rows stay as they are. ``report`` gets one dict for each
+    round: rows, pairs measured, and the pairs that measuring every row would take."""
     spark = samples.sparkSession
     group = F.col(by) if by else F.lit("all")
     state = _start(samples, group, key, payload, distance)
@@ -104,25 +166,47 @@ def fpf_select(samples: DataFrame, k: int = DEFAULT_K, by: str | None = None, ke
         raise ValueError(f"cannot select {k} rows")
 
     picked = []  # (group, key, index, cover distance): k per class
-    for g in whole:
-        keys = [r["key"] for r in state.filter(F.col("g") == g).select("key").orderBy("key").collect()]
-        picked += [(g, value, i + 1, None) for i, value in enumerate(keys)]
+    if whole:
+        in_whole = reduce(lambda a, b: a | b, [F.col("g").eqNullSafe(F.lit(g)) for g in whole])
+        kept = state.filter(in_whole).groupBy("g").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # k keys at most
+        picked += [(r["g"], value, i + 1, None) for r in kept.collect() for i, value in enumerate(r["keys"])]
 
     if active:
-        state = state.filter(F.col("g").isin(active))
+        state = state.filter(F.col("g").isin(active)).withColumns({"seen": F.lit(0), "pairs": F.lit(0).cast("long")})
         chosen = _first_centres(state, first, seed)
         picked += [(g, value, 1, None) for g, value in chosen.items()]
+        centres, floors = {g: [] for g in active}, dict.fromkeys(active, float("-inf"))
+        held, rows = [], sum(sizes[g] for g in active)
         for i in range(2, k + 1):
-            last = state
-            state = _nearer(last, _payloads(last, chosen), distance, _SELECTED)
-            state = _cached(state, i, checkpoint_every)
-            farthest = state.groupBy("g").agg(
-                F.min_by(F.struct("key", "d_min"), F.struct(-F.col("d_min"), F.col("key"))).alias("far"))
+            for g, centre in _payloads(state, chosen).items():
+                centres[g].append(centre)
+            pairs, open_groups = 0, active
+            while open_groups:
+                state = _cached(_lazily(state, {g: centres[g] for g in open_groups}, {g: floors[g] for g in open_groups}, distance),
+                                i, checkpoint_every)
+                held.append(state)
+                fresh = F.col("seen") == i - 1
+                found = state.groupBy("g").agg(
+                    F.min_by(F.struct("key", "d_min"), F.when(fresh, F.struct(-F.col("d_min"), F.col("key")))).alias("far"),
+                    F.max(F.when(~fresh, F.col("d_min"))).alias("stale"), F.sum("pairs").alias("pairs"),
+                    F.percentile_approx("d_min", _TRIED_FIRST).alias("high")).collect()
+                pairs += sum(r["pairs"] for r in found if r["g"] in open_groups)
+                done = {r["g"]: r for r in found if r["far"] is not None and r["far"]["d_min"] > _SELECTED
+                        and (r["stale"] is None or r["stale"] < r["far"]["d_min"])}
+                open_groups = [r["g"] for r in found if r["g"] in open_groups and r["g"] not in done]
+                for r in found:
+                    if r["g"] in open_groups:
+                        floors[r["g"]] = r["far"]["d_min"] if r["far"] is not None else float("-inf")
             chosen = {}
-            for g, far in farthest.collect():
-                chosen[g] = far["key"]
-                picked.append((g, far["key"], i, far["d_min"]))
-            last.unpersist()  # only the start and the newest round stay cached
+            for g, r in done.items():
+                chosen[g] = r["far"]["key"]
+                floors[g] = r["high"]
+                picked.append((g, r["far"]["key"], i, r["far"]["d_min"]))
+            for frame in held[:-1]:
+                frame.unpersist()  # only the start and the newest round stay cached
+            held = held[-1:]
+            if report is not None:
+                report.append({"round": i, "rows": rows, "pairs": pairs, "full_pairs": rows})
         state.unpersist()
     base.unpersist()
 
@@ -193,8 +277,7 @@ def fpf_cluster(samples: DataFrame, max_clusters: int = MAX_CLUSTERS,
     Starts at the row with the largest mean distance and adds the farthest row while that
     lowers the variance of the distance to the nearest centre (A12) by ``min_variance_gain``."""
     spark = samples.sparkSession
-    means = mean_distance(samples, key, payload, distance)
-    start = means.agg(F.min_by(key, F.struct(-F.col("mean_distance"), F.col(key)))).first()[0]
+    start = farthest_on_average(samples, key, payload, distance)
     if start is None:
         raise ValueError("clustering needs at least 2 samples")
     state = _start(samples, F.lit("all"), key, payload, distance)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..fixed_values import ERROR_NOT_FETCHED, LEGIT_SET, NEAREST_THRESHOLD, PHISH_SETS
 from ..session import materialize
 from .distances import MAX_BROADCAST_ROWS, PrototypeSet, distances_to, grid_scores, set_scores
+from .nearest import nearest
 
 
 def scores_by_set(cands: DataFrame, protos: DataFrame | PrototypeSet, names: dict[str, str],
@@ -75,19 +76,17 @@ def cluster_scores(cands, protos, set_col: str = "proto_set", **options) -> Data
 
 def nearest_sample(cands: DataFrame, samples: DataFrame, threshold: float = NEAREST_THRESHOLD,
                    key: str = "page_id", payload: str = "dom", distance: str = "ncd",
-                   order_col: str = "idx", **grid) -> DataFrame:
+                   order_col: str = "idx", **search) -> DataFrame:
     """Label and url of the nearest sample strictly below distance 1.0.
 
     Ties go to the first sample. Beyond ``threshold``, and when nothing is below 1.0, the
-    answer is ``phish``. A candidate without a dom answers ``error``."""
-    one_set = samples.withColumn("_set", F.lit(1))
+    answer is ``phish``. A candidate without a dom answers ``error``. ``search`` goes to ``nearest``."""
     cands = materialize(cands, "candidates")  # sized, measured and joined: three reads
-    found = grid_scores(cands, one_set, key, payload, distance, "_set", order_col,
-                        carry=("label", "url"), **grid)
+    has_dom = F.octet_length(payload) > 0
+    found = nearest(cands.where(has_dom), samples, key, payload, distance, order_col, ("label", "url"), **search)
     near = found.filter(F.col("min_distance") < 1.0).select(
         key, F.col("min_distance").alias("_d"), F.col("label").alias("_label"),
         F.col("url").alias("_url"))
-    has_dom = F.octet_length(payload) > 0
     d = F.coalesce("_d", F.lit(1.0))
     return (
         cands.join(near, key, "left")
