@@ -139,11 +139,9 @@ def html_tokens(df: DataFrame, fields=("tags",), html: str = "html",
     if unknown:
         raise ValueError(f"unknown page fields {sorted(unknown)}")
     if engine == "native":
-        native = {"tags": native_tags, "all_tags": native_all_tags, "depth": native_depth}
-        missing = set(fields) - set(native)
-        if missing:
-            raise ValueError(f"the native engine has no {sorted(missing)}")
-        out = df.withColumns({f: native[f](F.col(html)) for f in fields})
+        native = {"tags": native_tags, "all_tags": native_all_tags, "depth": native_depth, "tag_attrs": native_tag_attrs,
+                  "refs": native_refs, "domain_refs": native_domain_refs, "events": native_events}
+        out = df.withColumns({f: F.when(F.octet_length(html) > 0, native[f](F.col(html))) for f in fields})
         out = out.withColumn("parse_error", F.lit(None).cast("string"))
         return out if keep_html else out.drop(html)
     if engine != "parser":
@@ -195,9 +193,10 @@ def sanitize_tags(df: DataFrame, html: str = "html", keep_html: bool = False,
     return out.withColumn("dom", as_dom(F.col("tags")))
 
 
-def sanitize_tags_attrs(df: DataFrame, html: str = "html", keep_html: bool = False) -> DataFrame:
+def sanitize_tags_attrs(df: DataFrame, html: str = "html", keep_html: bool = False,
+                        engine: str = "parser") -> DataFrame:
     """``tag_attrs`` and ``dom`` of tag:attr pairs in source order."""
-    out = html_tokens(df, ["tag_attrs"], html, keep_html)
+    out = html_tokens(df, ["tag_attrs"], html, keep_html, engine)
     return out.withColumn("dom", as_dom(F.col("tag_attrs")))
 
 
@@ -219,7 +218,11 @@ def dom_length(dom: Column) -> Column:
 
 COMMENT = r"(?s)<!--.*?-->"
 START_TAG = r"<([a-zA-Z][^\s/>]*)"
-TAG_EVENT = r"</?[a-zA-Z][^\s/>]*"
+# A whole tag: quoted values may hold anything, ``>`` included.
+_TAG_REST = r"""(?:[^>"']|"[^"]*"|'[^']*')*>"""
+TAG_TEXT = rf"</?[a-zA-Z]{_TAG_REST}"
+TAG_START = rf"{START_TAG}{_TAG_REST}"
+TAG_EVENT = rf"(</?[a-zA-Z][^\s/>]*){_TAG_REST}"
 
 
 def _without_comments(html: Column) -> Column:
@@ -231,7 +234,7 @@ def native_tags(html: Column) -> Column:
     text = _without_comments(html)
     for element in REMOVED_ELEMENTS:
         text = F.regexp_replace(text, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", "")
-    return F.transform(F.regexp_extract_all(text, F.lit(START_TAG), 1), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(TAG_START), 1), F.lower)
 
 
 def _blank_raw_text(html: Column) -> Column:
@@ -243,12 +246,12 @@ def _blank_raw_text(html: Column) -> Column:
 
 def native_all_tags(html: Column) -> Column:
     """Every tag name, nothing removed."""
-    return F.transform(F.regexp_extract_all(_blank_raw_text(html), F.lit(START_TAG), 1), F.lower)
+    return F.transform(F.regexp_extract_all(_blank_raw_text(html), F.lit(TAG_START), 1), F.lower)
 
 
 def native_depth(html: Column) -> Column:
     """Deepest nesting: fold the tag events over the stack of open tags."""
-    events = F.transform(F.regexp_extract_all(_blank_raw_text(html), F.lit(TAG_EVENT), 0), F.lower)
+    events = F.transform(F.regexp_extract_all(_blank_raw_text(html), F.lit(TAG_EVENT), 1), F.lower)
     void = F.array(*[F.lit("<" + name) for name in VOID_ELEMENTS])
     start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("deepest"))
 
@@ -269,3 +272,105 @@ def native_depth(html: Column) -> Column:
         )
 
     return F.aggregate(events, start, step, lambda state: state["deepest"])
+
+
+#: One attribute within a tag: its name, and its value as written, quotes included.
+ATTRIBUTE = r"""(?<=['"\s/])([^\s/>=][^\s/=>]*)(?:\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?"""
+#: Entities that occur in urls as written; others stay as they are.
+ENTITIES = {"&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
+def _name(tag: Column) -> Column:
+    return F.lower(F.regexp_extract(tag, START_TAG, 1))
+
+
+def _attribute_names(tag: Column) -> Column:
+    """Names in source order, the first of repeated ones."""
+    rest = F.regexp_replace(tag, r"^<[a-zA-Z][^\s/>]*", "")
+    return F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), 1), F.lower))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, the last of repeated ones; empty without a value, NULL without the attribute."""
+    rest = F.regexp_replace(tag, r"^<[a-zA-Z][^\s/>]*", "")
+    names = F.reverse(F.transform(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), 1), F.lower))
+    values = F.reverse(F.regexp_extract_all(rest, F.lit(ATTRIBUTE), 2))
+    at = F.array_position(names, name).cast("int")
+    value = F.regexp_replace(F.get(values, at - 1), r"""(?s)^(['"])(.*)\1$""", "$2")
+    for entity, character in ENTITIES.items():
+        value = F.replace(value, F.lit(entity), F.lit(character))
+    return F.when(at > 0, value)
+
+
+def native_tag_attrs(html: Column) -> Column:
+    """Tag:attr pairs of the sanitized tags, a tag without attributes by its name."""
+    text = _without_comments(html)
+    for element in REMOVED_ELEMENTS:
+        text = F.regexp_replace(text, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", "")
+
+    def pairs(tag):
+        names = _attribute_names(tag)
+        return F.when(F.size(names) > 0, F.transform(names, lambda n: F.concat(_name(tag), F.lit(":"), n))).otherwise(F.array(_name(tag)))
+
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(rf"<[a-zA-Z]{_TAG_REST}"), 0), pairs))
+
+
+def _without_scripts(html: Column) -> Column:
+    return F.regexp_replace(_without_comments(html), r"(?is)(<script\b[^>]*>).*?(</script\s*>)", "$1$2")
+
+
+def native_refs(html: Column) -> Column:
+    """Resource references as written, in document order; those of a style sheet where it ends."""
+    pieces = F.regexp_extract_all(_without_scripts(html), F.lit(rf"(?is)<style\b[^>]*>.*?</style\s*>|<[a-zA-Z]{_TAG_REST}"), 0)
+    none = F.array().cast("array<string>")
+
+    def one(value):
+        return F.when(value.isNull(), none).otherwise(F.array(value))
+
+    def found(piece):
+        name = _name(piece)
+        css = F.regexp_extract_all(F.regexp_replace(piece, r"(?is)^<style\b[^>]*>", ""), F.lit(CSS_URL.pattern), 1)
+        # a split by spaces: stylesheet as a word of its own, a hint anywhere
+        rel = F.split(F.trim(F.regexp_replace(F.coalesce(_attribute(piece, "rel"), F.lit("")), r"\s+", " ")), " ")
+        joined = F.array_join(rel, " ")
+        hinted = F.array_contains(rel, "stylesheet")
+        for hint in PRELOAD_HINTS:
+            hinted = hinted | joined.contains(hint)
+        return (F.when(name == "style", css)
+                .when(name.isin(SRC_ELEMENTS), one(_attribute(piece, "src")))
+                .when((name == "link") & hinted, one(_attribute(piece, "href"))).otherwise(none))
+
+    return F.flatten(F.transform(pieces, found))
+
+
+def native_domain_refs(html: Column) -> Column:
+    """Src, or else href, of the elements that load from elsewhere."""
+    tags = F.regexp_extract_all(_blank_raw_text(html), F.lit(rf"<[a-zA-Z]{_TAG_REST}"), 0)
+
+    def target(tag):
+        src, href = _attribute(tag, "src"), _attribute(tag, "href")
+        return F.when(_name(tag).isin(DOMAIN_ELEMENTS), F.when(src != "", src).otherwise(F.when(href != "", href)))
+
+    return F.array_compact(F.transform(tags, target))
+
+
+def native_events(html: Column) -> Column:
+    """Start tags and /end tags as they open and close: a fold over the stack of open tags."""
+    tags = F.regexp_extract_all(_blank_raw_text(html), F.lit(TAG_TEXT), 0)
+    strings = F.array().cast("array<string>")
+
+    def step(state, tag):
+        opened, out = state["open"], state["out"]
+        is_end = tag.startswith("</")
+        name = F.lower(F.regexp_extract(tag, r"</?([a-zA-Z][^\s/>]*)", 1))
+        closes = F.when(is_end, F.array_position(opened, name).cast("int")).otherwise(F.lit(0))
+        alone = name.isin(VOID_ELEMENTS) | tag.endswith("/>")
+        closed = F.transform(F.slice(opened, F.lit(1), closes), lambda n: F.concat(F.lit("/"), n))
+        started = F.when(alone, F.array(name, F.concat(F.lit("/"), name))).otherwise(F.array(name))
+        return F.struct(
+            F.when(is_end, F.slice(opened, closes + 1, F.greatest(F.size(opened), F.lit(1))))
+            .when(alone, opened).otherwise(F.concat(F.array(name), opened)).alias("open"),
+            F.concat(out, F.when(is_end, closed).otherwise(started)).alias("out"))
+
+    start = F.struct(strings.alias("open"), strings.alias("out"))
+    return F.aggregate(tags, start, step, lambda state: state["out"])

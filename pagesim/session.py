@@ -43,6 +43,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark would take it to, for readers beside Spark."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(location).toString()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table written between two stages of one job."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

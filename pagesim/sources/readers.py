@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..operators.signatures import filter_feed
 from ..schemas import FEED_CSV, FEED_JSON, FEEDBACK, PAGES, SAMPLE_META
 from ..session import at_least_partitions
+from .sample_files import read_sample_files
 
 DOM_NAME = r"([^/\\]+)\.dom$"
 META_NAME = r"([^/\\]+)\.meta\.json$"
@@ -56,7 +57,9 @@ def read_sample_meta(spark: SparkSession, folder: str) -> DataFrame:
     """Sidecar metadata with the ``stem`` it belongs to; unreadable files give no row."""
     meta = (spark.read.schema(SAMPLE_META).option("multiLine", True).option("mode", "DROPMALFORMED")
             .option("pathGlobFilter", "*.meta.json").json(folder))
-    name = F.regexp_extract(F.col("_metadata.file_name"), META_NAME, 1)
+    # the hidden column has the name as in a url
+    plain = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract(plain, META_NAME, 1)
     return meta.select(name.alias("stem"), "url", "ts", "size", "label")
 
 
@@ -67,13 +70,28 @@ def join_sidecar(doms: DataFrame, meta: DataFrame) -> DataFrame:
         F.struct("url", "ts", "size", "label").alias("source"))
 
 
-def read_samples_sidecar(spark: SparkSession, folder: str) -> DataFrame:
-    """``*.dom`` files with a ``.meta.json`` next to them. Order by ``path``."""
+def read_samples_sidecar(spark: SparkSession, folder: str, engine: str = "spark") -> DataFrame:
+    """``*.dom`` files with a ``.meta.json`` next to them. Order by ``path``.
+
+    ``engine="files"`` (here and below) reads through ``sample_files``: files and metadata are paired where the
+    plan is made, and nothing is shuffled."""
+    if engine == "files":
+        found = read_sample_files(spark, folder).where("has_meta")
+        return found.select("path", "stem", "url", F.coalesce("label", F.lit("legit")).alias("label"), "dom",
+                            F.struct("url", "ts", "size", "label").alias("source"))
     return join_sidecar(_dom_files(spark, folder), read_sample_meta(spark, folder))
 
 
-def read_samples_labelled_dirs(spark: SparkSession, folder: str) -> DataFrame:
+def _labelled_folders(spark: SparkSession, root: str, labels: dict[str, str]) -> DataFrame:
+    found = read_sample_files(spark, root, list(labels))
+    label = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.col("folder")]
+    return found.select("path", "stem", F.col("stem").alias("url"), label.alias("label"), "dom")
+
+
+def read_samples_labelled_dirs(spark: SparkSession, folder: str, engine: str = "spark") -> DataFrame:
     """S3: ``phishing/`` and ``legit/`` sub-folders name the label; the url is the file stem."""
+    if engine == "files":
+        return _labelled_folders(spark, folder, {"phishing": "phish", "legit": "legit"})
     out = _nothing(spark, "path string, stem string, url string, label string, dom binary")
     for name, label in (("phishing", "phish"), ("legit", "legit")):
         if path_exists(spark, f"{folder}/{name}"):
@@ -82,11 +100,14 @@ def read_samples_labelled_dirs(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def read_prototype_sets(spark: SparkSession, sets: dict[str, str]) -> DataFrame:
+def read_prototype_sets(spark: SparkSession, sets: dict[str, str], engine: str = "spark") -> DataFrame:
     """Set name -> folder. A missing folder gives no rows, empty files are skipped."""
     out = _nothing(spark, "proto_set string, stem string, dom binary")
     for name, folder in sets.items():
-        if path_exists(spark, folder):
+        if engine == "files":
+            out = out.unionByName(read_sample_files(spark, folder).where(F.octet_length("dom") > 0).select(
+                F.lit(name).alias("proto_set"), "stem", "dom"))
+        elif path_exists(spark, folder):
             out = out.unionByName(_dom_files(spark, folder).filter(F.octet_length("dom") > 0).select(
                 F.lit(name).alias("proto_set"), "stem", "dom"))
     return out
@@ -94,9 +115,12 @@ def read_prototype_sets(spark: SparkSession, sets: dict[str, str]) -> DataFrame:
 
 def read_prototypes(spark: SparkSession, path: str, form: str = "table") -> DataFrame:
     """The prototypes table, or ``form="files"`` for ``phishing/`` and ``legitimate/``
-    folders of ``.dom`` files; empty files are kept. Order by ``stem`` within a label."""
+    folders of ``.dom`` files; empty files are kept. Order by ``stem`` within a label.
+    ``form="sample_files"`` reads these folders through that source."""
     if form == "table":
         return spark.read.parquet(path)
+    if form == "sample_files":
+        return _labelled_folders(spark, path, {"phishing": "phish", "legitimate": "legit"}).select("label", "stem", "dom")
     out = _nothing(spark, "label string, stem string, dom binary")
     for name, label in (("phishing", "phish"), ("legitimate", "legit")):
         if path_exists(spark, f"{path}/{name}"):

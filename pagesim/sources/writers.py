@@ -35,6 +35,14 @@ def append_feedback(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
 
+def write_signatures(table: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """K4: signatures as a table in buckets by url, each one file sorted by url: looked up by a merge join that
+    neither shuffles nor sorts them. ``table`` has each url once, as ``replace_signatures`` leaves it."""
+    (table.where(F.col("url").isNotNull()).repartition(buckets, "url").write.mode("overwrite")
+     .bucketBy(buckets, "url").sortBy("url").option("path", path).saveAsTable(name))
+    return table.sparkSession.table(name)
+
+
 def publish_signatures(table: DataFrame, root: str, version: int) -> None:
     """Write a new version, then announce it. Readers see a version only once it is whole."""
     table.write.mode("overwrite").parquet(f"{root}/version={version}")

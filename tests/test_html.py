@@ -73,6 +73,20 @@ RESOURCES = """<script src="/a.js?v=1"></script><script>inline</script><link rel
 <iframe src="f.html"></iframe><video src="/v.mp4"></video><audio src="/s.mp3"></audio><source src="/v.mp4"><img src="">"""
 
 
+def test_native_reads_attributes_references_and_events(spark):
+    """All fields equal the parser's: quoted angle brackets, repeated and empty attributes, entities, self-closing tags."""
+    pages = [RESOURCES, "<div data-x='a > b' CLASS=\"c\" class=d id><img src='/a?x=1&amp;y=2' alt=\"<p>\"/><br/>t</div>",
+             "<a href=/x>1</a><a title = 'say \"hi\"' href>2</a><p>", "<div><noscript><img src=n.png></noscript><script src=s.js>'<i>'</script></div>",
+             "<ul><li>a<b>c</ul><span/><hr><P Class=x>y</P></i>", "<style media=all>a{background:url(one.gif)} b{background:url('two.gif')}</style><link rel='a  stylesheet' href=z.css>"]
+    df = spark.createDataFrame([(p,) for p in pages] + [("",), (None,)], "html string")
+    fields = list(H.PAGE_FIELDS)
+    native = H.html_tokens(df, fields, engine="native").select(*fields).collect()
+    parsed = H.html_tokens(df, fields).select(*fields).collect()
+    for mine, theirs, page in zip(native, parsed, pages + ["", None]):
+        for f in fields:
+            assert mine[f] == theirs[f], (f, page)
+
+
 def test_resources(spark):
     df = spark.createDataFrame([(RESOURCES, "https://www.b.org/d/page.html")], "html string, url string")
     read = H.html_tokens(df, ["refs", "domain_refs"])
