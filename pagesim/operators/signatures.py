@@ -45,11 +45,13 @@ def detail_page(phish_id: Column) -> Column:
     return F.concat(F.lit(DETAIL_PAGE_PREFIX), phish_id.cast("string"))
 
 
-def signature_lookup(urls: DataFrame, feed: DataFrame, skip_signature: bool = False) -> DataFrame:
+def signature_lookup(urls: DataFrame, feed: DataFrame, skip_signature: bool = False, unique: bool = False) -> DataFrame:
     """Exact, case-sensitive URL equality; of several entries of a url the lowest id answers.
 
     Keeps every row of ``urls`` once. The optimizer broadcasts the feed only when its size is known
-    to be below the session's threshold; otherwise it sorts and merges, and splits hot urls."""
+    to be below the session's threshold; otherwise it sorts and merges, and splits hot urls.
+    ``unique`` says that no url is in the feed twice, as ``replace_signatures`` leaves it: the feed is then not
+    aggregated, and one that was written in buckets (``write_signatures``) is not shuffled either."""
     none = {"phish_id": "bigint", "detail_page": "string", "submitted_at": "string", "target": "string"}
     if skip_signature:
         return urls.withColumns({
@@ -59,7 +61,9 @@ def signature_lookup(urls: DataFrame, feed: DataFrame, skip_signature: bool = Fa
         })
     rest = F.struct(F.col("phish_id").cast("bigint").alias("phish_id"),
                     F.col("submission_time").cast("string").alias("submitted_at"), "target")
-    entry = feed.where(F.col("url").isNotNull()).groupBy("url").agg(F.min(rest).alias("_e")).select("url", "_e.*")
+    entry = feed.where(F.col("url").isNotNull())
+    entry = entry.select("url", rest.alias("_e")) if unique else entry.groupBy("url").agg(F.min(rest).alias("_e"))
+    entry = entry.select("url", "_e.*")
     found = urls.join(entry, "url", "left")
     hit = F.col("phish_id").isNotNull()
     return found.withColumns({
@@ -78,6 +82,21 @@ def signature_misses(urls: DataFrame, feed: DataFrame) -> DataFrame:
     return urls.join(feed.select("url"), "url", "left_anti")
 
 
+def feed_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(url, change) between two versions of a feed: ``added``, ``gone`` or ``changed``.
+
+    A url counts as changed when the entry that answers for it is another: its id, time or target."""
+    rest = F.struct(F.col("phish_id").cast("bigint").alias("phish_id"), F.col("submission_time").cast("string").alias("s"), "target")
+
+    def answers(feed: DataFrame, name: str) -> DataFrame:
+        return feed.where(F.col("url").isNotNull()).groupBy("url").agg(F.min(rest).alias(name))
+
+    both = answers(old, "before").join(answers(new, "after"), "url", "full")
+    change = (F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "gone")
+              .when(~F.col("before").eqNullSafe(F.col("after")), "changed"))
+    return both.select("url", change.alias("change")).where("change IS NOT NULL")
+
+
 def signature_stats(feed: DataFrame) -> DataFrame:
     """Entries, last update and whether there is anything at all."""
     return feed.agg(

@@ -17,7 +17,8 @@ from ..operators.distances import MAX_BROADCAST_ROWS, PrototypeSet
 from ..operators.features import page_features
 from ..operators.model import PageModel
 from ..operators.scores import class_scores
-from ..operators.signatures import signature_lookup
+from ..operators.signatures import feed_changes, signature_lookup
+from ..session import materialize
 
 SCORES = ["phish_min", "phish_avg", "legit_min", "legit_avg"]
 
@@ -106,8 +107,9 @@ def detect(checks: DataFrame, pages: DataFrame | None, feed: DataFrame, protos:
            detection_id: Column | None = None, detected_at: Column | None = None,
            legacy_unverified: bool = False, gate: float = ML_GATE, gate_on: str = "phish",
            small_dom_threshold: int = SMALL_DOM_THRESHOLD, parse_first: bool = True,
-           newest: str | None = None, **options) -> DataFrame:
-    """A verdict for every row of ``checks(url, ...)``; other columns pass through.
+           newest: str | None = None, unique_feed: bool = False, **options) -> DataFrame:
+    """A verdict for every row of ``checks(url, ...)``; other columns pass through, whatever their names:
+    they travel as one struct, and where an answer has the same name the answer stands.
 
     The feed decides first and only its misses reach the tokenizer. Of several entries of a url
     the one of lowest id answers.
@@ -124,17 +126,24 @@ def detect(checks: DataFrame, pages: DataFrame | None, feed: DataFrame, protos:
     ``enrich`` is a function applied to similarity answers (see ``enrich_domain``).
     ``legacy_unverified`` (C14) takes a feed with a ``verified`` flag: unverified hits go on to
     similarity and answer ``suspicious``."""
-    at = F.current_timestamp() if detected_at is None else detected_at
     trusted = feed.filter(F.col("verified") == 1) if legacy_unverified else feed
     passed = [c for c in checks.columns if pages is not None or c != "html"]
+    carried_columns, needed = passed, ["url"] if pages is not None else ["url", "html"]
+    given = {"_given_id": detection_id, "_given_at": detected_at}
+    given = [column.alias(name) for name, column in given.items() if column is not None]
+    checks = checks.select(*needed, F.struct(*passed, *given).alias("_check"))
     # distinct first: copies of a hot url are merged before anything is shuffled
     one_by_url = pages is not None and not skip_ncd
-    looked = signature_lookup(checks.select("url").distinct() if one_by_url else checks, trusted, skip_signature)
+    looked = signature_lookup(checks.select("url").distinct() if one_by_url else checks, trusted, skip_signature, unique_feed)
     hit = F.coalesce("in_database", F.lit(False))
+    # a caller's column gives way to an answer of the same name
+    def passing(answer_names):
+        return [F.col(f"_check.`{c}`").alias(c) for c in carried_columns if c not in answer_names]
 
     if skip_ncd:
+        names = ["classification", "source", "confidence", "phish_id", "detail_page", "submitted_at", "message"]
         return looked.select(
-            *passed, F.when(hit, "phish").otherwise("legit").alias("classification"),
+            *passing(names), F.when(hit, "phish").otherwise("legit").alias("classification"),
             F.lit(SIGNATURE_SOURCE).alias("source"),
             F.when(hit, "high").otherwise("medium").alias("confidence"),
             "phish_id", "detail_page", "submitted_at",
@@ -175,9 +184,9 @@ def detect(checks: DataFrame, pages: DataFrame | None, feed: DataFrame, protos:
     def only_similar(column):
         return F.when(similar, F.col(column)).alias(column)
 
-    identity = F.uuid() if detection_id is None else detection_id
-    out = joined.select(
-        *passed,
+    identity = F.uuid() if detection_id is None else F.col("_check._given_id")
+    at = F.current_timestamp() if detected_at is None else F.col("_check._given_at")
+    answers_to = [
         F.when(hit, "phish").when(bad, UNKNOWN).otherwise(F.coalesce("final_verdict", "verdict")).alias("classification"),
         F.when(hit, SIGNATURE_SOURCE).when(bad, "error").otherwise(F.col("decision_source")).alias("source"),
         F.when(hit, "high").when(bad, "low").otherwise(F.col("ncd_confidence")).alias("confidence"),
@@ -189,10 +198,27 @@ def detect(checks: DataFrame, pages: DataFrame | None, feed: DataFrame, protos:
                                     "features", "ml_prediction", *extra]],
         F.when(similar, identity.cast("string")).alias("detection_id"),
         at.alias("detected_at"),
-    )
+    ]
+    names = {"classification", "source", "confidence", "phish_id", "detail_page", "submitted_at", "message", "error", "verdict",
+             "prototype_scores", "dom_size", "dom_length", "resource_sig_length", "detection_mode", "minimal_dom_adjustment_applied",
+             "final_decision", "reason", "features", "ml_prediction", "detection_id", "detected_at", *extra}
+    out = joined.select(*passing(names), *answers_to)
     return _mark_unverified(out, feed) if legacy_unverified else out
 
 
+def redetect(checks: DataFrame, before: DataFrame, old_feed: DataFrame, new_feed: DataFrame, detect_with,
+             key: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """(answers, judged): the detections under a new version of the feed, from those under the old one.
+
+    Only checks of urls whose entry was added, removed or changed are detected again, by
+    ``detect_with(checks, feed)``; ``judged`` are these answers. All others keep theirs from ``before``, which has a
+    row for each check by ``key``."""
+    urls = materialize(feed_changes(old_feed, new_feed).select("url"), "changed-urls")
+    judged = materialize(detect_with(checks.join(urls, "url", "left_semi").select(*checks.columns), new_feed), "redetected")
+    kept = before.join(urls, "url", "left_anti").select(*before.columns)
+    return kept.unionByName(judged.select(*before.columns)), judged
+
+
 def _mark_unverified(answers: DataFrame, feed: DataFrame) -> DataFrame:
     """C14: the similarity answer of an unverified feed row is kept, nested, under a
     ``suspicious`` one."""

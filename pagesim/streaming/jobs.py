@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators.feedback import ANSWERS
 from ..sources.writers import current_signatures
@@ -33,63 +34,115 @@ def with_current_feed(root: str, detect_with: Callable[[DataFrame, DataFrame], D
     return lambda batch: detect_with(batch, current_signatures(batch.sparkSession, root))
 
 
-def dedupe_checks(checks: DataFrame, ttl_seconds: int = 3600, ts: str = "ts",
-                  late: str = "1 hour") -> DataFrame:
-    """R2: keep a check unless its url (and flag) was kept less than ``ttl_seconds`` before.
+class _KeepOnePerLifetime(StatefulProcessor):
+    """State of one url: the times of kept checks that can still answer another."""
 
-    The built-in watermark deduplication drops repeats for up to twice its delay; here a kept
-    check answers for exactly its lifetime of event time, then the next one is kept. State is
-    one time per live url and is cleared by event-time timeout. Within a micro-batch the checks
-    of a url are taken in time order; frames are thinned as they arrive, so a hot url whose answer
-    is live holds no rows, and the trigger's rate limit bounds the rest."""
-    if "skip_signature" not in checks.columns:
-        checks = checks.withColumn("skip_signature", F.lit(False))
-    columns = checks.columns
-    life = ttl_seconds * 1_000_000
+    def __init__(self, columns: list[str], life: int):
+        self.columns, self.life = columns, life
 
-    def keep(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        until = state.get[0] if state.exists else None
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "us long")
+
+    def _unanswered(self, times: np.ndarray, kept: list[int]) -> np.ndarray:
+        """Which times no kept check answers."""
+        if not kept:
+            return np.ones(len(times), bool)
+        starts = np.array(kept)
+        before = np.searchsorted(starts, times, "right") - 1
+        return (before < 0) | (times >= starts[before] + self.life)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = sorted(us for (us,) in self.kept.get()) if self.kept.exists() else []
+        # no check before the watermark will come, so one from the first that is open to there answers the rest
+        sure = timerValues.getCurrentWatermarkInMs() * 1000 + self.life
         held = None
-        for frame in frames:
-            if until is not None:
-                frame = frame[frame["_us"] >= until]
+        for frame in rows:
+            frame = frame.set_axis([*self.columns, "_us"], axis=1)  # names with a leading underscore do not arrive
+            frame = frame[self._unanswered(frame["_us"].to_numpy(), kept)]
             held = frame if held is None else pd.concat([held, frame])
             held = held.drop_duplicates("_us")
-            if until is not None and len(held):
-                # whichever of these is kept first, it answers for the ones before until + life
+            if len(held):
                 first = held["_us"].min()
-                held = held[(held["_us"] <= first) | (held["_us"] >= until + life)]
-        rows = held.sort_values("_us", kind="stable")
-        kept = []
-        for position, moment in enumerate(rows["_us"].tolist()):
-            if until is None or moment >= until:
-                kept.append(position)
-                until = moment + life
-        state.update((until,))
-        # an expiry the watermark has already passed is cleared at its next step
-        state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.iloc[kept][columns]
+                held = held[(held["_us"] <= first) | (held["_us"] >= sure)]
+        if held is None or not len(held):
+            return
+        held = held.sort_values("_us", kind="stable")
+        chosen, before = [], len(kept)
+        for position, moment in enumerate(held["_us"].tolist()):
+            at = bisect.bisect_right(kept, moment)
+            if at and moment < kept[at - 1] + self.life:
+                continue
+            chosen.append(position)
+            kept.insert(at, moment)
+            self.handle.registerTimer((moment + self.life) // 1000 + 1)
+        if len(kept) > before:
+            self.kept.put([(us,) for us in kept])
+        yield held.iloc[chosen][self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed the end of a lifetime: nothing that comes is answered by it."""
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        live = [us for (us,) in self.kept.get() if (us + self.life) // 1000 + 1 > now] if self.kept.exists() else []
+        if live:
+            self.kept.put([(us,) for us in live])
+        else:
+            self.kept.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+def dedupe_checks(checks: DataFrame, ttl_seconds: int = 3600, ts: str = "ts",
+                  late: str = "1 hour") -> DataFrame:
+    """R2: keep a check unless its url (and flag) was kept less than ``ttl_seconds`` before it.
+
+    The built-in watermark deduplication drops repeats for up to twice its delay; here a kept check answers for
+    exactly its lifetime of event time, then the next one is kept. State is the times of the kept checks of a url;
+    a timer at the end of each lifetime clears it. A check that comes late, up to ``late``, is kept if no kept
+    check answers it, also when a later one was kept already. Within a micro-batch the checks of a url are taken
+    in time order; frames are thinned as they arrive, and the trigger's rate limit bounds the rest. Needs the
+    RocksDB state store, which is set for the session."""
+    if "skip_signature" not in checks.columns:
+        checks = checks.withColumn("skip_signature", F.lit(False))
+    checks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = checks.withColumn("_us", F.unix_micros(ts)).withWatermark(ts, late)
-    return timed.groupBy("url", "skip_signature").applyInPandasWithState(
-        keep, checks.schema, "until_us long", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("url", "skip_signature").transformWithStateInPandas(
+        _KeepOnePerLifetime(checks.columns, ttl_seconds * 1_000_000), checks.schema, "append", "eventTime")
 
 
 def feedback_stream(feedback: DataFrame, detections: DataFrame, within: str = "1 hour",
-                    late: str = "1 hour") -> DataFrame:
+                    late: str = "1 hour", rejected: bool = False) -> DataFrame:
     """Feedback joined to the detection it names, if it came ``within`` that time after.
 
     ``feedback(id, correct, ts)``, ``detections(detection_id, url, verdict, detected_at)``. Both
-    sides are watermarked and the time bound lets old detections leave the state."""
-    entries = feedback.filter(F.lower("correct").isin(ANSWERS)).withWatermark("ts", late)
+    sides are watermarked and the time bound lets old detections leave the state.
+
+    With ``rejected`` every entry gets exactly one answer, in ``status``: 200 with its detection, 400 at once for
+    an answer that is no yes or no, and 404 when the watermark has passed the entry and no detection was found
+    that it could name. The watermark moves with entries and detections that have an id; where neither may come for
+    long, a heartbeat of each with an id of its own lets the last entries be answered. Rows without id get none."""
     known = detections.withWatermark("detected_at", late)
-    joined = entries.join(known, F.expr(
-        f"id = detection_id AND ts >= detected_at AND ts <= detected_at + INTERVAL {within}"))
-    return joined.select("id", "url", "verdict", F.lower("correct").alias("user_feedback"),
-                         F.col("ts").alias("timestamp"), F.col("detected_at").alias("detection_timestamp"))
+    bound = F.expr(f"id = detection_id AND ts >= detected_at AND ts <= detected_at + INTERVAL {within}")
+    answer = F.lower("correct")
+    columns = ["id", "url", "verdict", answer.alias("user_feedback"), F.col("ts").alias("timestamp"),
+               F.col("detected_at").alias("detection_timestamp")]
+    valid = F.coalesce(answer.isin(ANSWERS), F.lit(False))
+    entries = feedback.filter(valid).withWatermark("ts", late)
+    if not rejected:
+        return entries.join(known, bound).select(*columns)
+    joined = entries.join(known, bound, "left_outer").where(F.col("id").isNotNull()).select(
+        *columns, "correct", F.when(F.col("detection_id").isNull(), 404).otherwise(200).alias("status"))
+    types = {f.name: f.dataType for f in joined.schema.fields}
+    bad = feedback.filter(~valid & F.col("id").isNotNull()).select(
+        "id", F.lit(None).cast(types["url"]).alias("url"), F.lit(None).cast(types["verdict"]).alias("verdict"),
+        answer.alias("user_feedback"), F.col("ts").alias("timestamp"),
+        F.lit(None).cast(types["detection_timestamp"]).alias("detection_timestamp"), "correct", F.lit(400).alias("status"))
+    return joined.unionByName(bad)
 
 
 def metrics_stream(detections: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from pagesim.operators import enrich as E
 from pagesim.operators import feedback as B
-from pagesim.plans.detect import classify_pages, detect
+from pagesim.plans.detect import classify_pages, detect, redetect
 
 from . import brute
 
@@ -188,3 +188,34 @@ def test_a_hot_url_is_split_in_the_one_join_of_the_raw_checks(spark, data, tmp_p
     final = plan.split("== Initial Plan ==")[0]
     assert "skew=true" in final and final.count("MapInArrow") == 1
     assert not any("html" in line for line in final.split("\n") if "Exchange" in line)
+
+
+def test_callers_columns_of_any_name_pass_through(spark, data):
+    """Names that the plan uses itself; those of answers give way to the answers."""
+    _, p, pages, feed = data
+    names = ["verdict", "phish_id", "_read", "_hash", "error", "html", "_check", "dom_length", "features", "in_database", "classified",
+             "detection_mode", "_unverified_id", "ncd_error", "final_verdict", "phish_min", "tags", "label", "_d", "confidence", "a b"]
+    plain = spark.createDataFrame([(1, "https://f.org/"), (2, "https://a.org/"), (3, "https://none.org/")], "id int, url string")
+    checks = plain.withColumns({n: F.concat(F.lit(n), F.col("id")) for n in names})
+    want = {r.id: r for r in detect(plain, pages, feed, p, detection_id=F.col("id")).collect()}
+    got = {r.id: r for r in detect(checks, pages, feed, p, detection_id=F.col("id")).collect()}
+    for k, row in want.items():
+        ours, theirs = got[k].asDict(), row.asDict()
+        assert {c: ours[c] for c in theirs if c != "detected_at"} == {c: theirs[c] for c in theirs if c != "detected_at"}
+        assert all(ours[n] == f"{n}{k}" for n in names if n not in theirs)
+    carried = detect(checks.drop("html").join(pages, "url"), None, feed, p, detection_id=F.col("id")).collect()
+    assert {r.id: r.classification for r in carried} == {k: r.classification for k, r in want.items() if k in {x.id for x in carried}}
+    assert {r["a b"] for r in detect(checks, pages, feed, p, skip_ncd=True).collect()} == {"a b1", "a b2", "a b3"}
+
+
+def test_only_checks_of_changed_entries_are_judged_again(spark, data):
+    _, p, pages, feed = data
+    checks = spark.createDataFrame([(i, u) for i, u in enumerate(["https://f.org/", "https://a.org/", "https://b.org/", "https://a.org/"])], "event_id int, url string")
+    new = spark.createDataFrame([(7, "https://b.org/", "t", "T")], "phish_id long, url string, submission_time string, target string")
+
+    def answer(some, version):
+        return detect(some, pages, version, p, detection_id=F.col("event_id")).select("event_id", "url", "classification", "source", "phish_id")
+
+    out, judged = redetect(checks, answer(checks, feed), feed, new, answer)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, answer(checks, new).collect()))
+    assert {r.url for r in judged.collect()} == {"https://f.org/", "https://b.org/"}

@@ -89,3 +89,31 @@ def test_stats_and_versions(spark, tmp_path):
     assert G.signature_stats(now).first().entry_count == 5
     assert G.signature_stats(now.limit(0)).first().exists is False
     assert G.stored_size_mb(spark, root) >= 0
+
+
+def test_bucketed_feed_is_neither_shuffled_nor_aggregated(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("phish_id"), F.concat(F.lit("u"), F.col("id")).alias("url"),
+                                    F.lit("t").alias("submission_time"), F.lit("x").alias("target"), F.col("id").alias("input_seq"))
+    feed = G.replace_signatures(rows)
+    stored = writers.write_signatures(feed, "test_bucketed_signatures", str(tmp_path / "feed"), 4)
+    urls = spark.range(5000).select(F.concat(F.lit("u"), F.col("id")).alias("url"))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        found = G.signature_lookup(urls, stored, unique=True)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan
+        assert found.where("in_database").count() == 2000 and found.count() == 5000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.sql("DROP TABLE test_bucketed_signatures")
+
+
+def test_feed_changes(spark):
+    schema = "phish_id long, url string, submission_time string, target string"
+    old = spark.createDataFrame([(1, "same", "t", "a"), (2, "gone", "t", "a"), (3, "moved", "t", "a"), (9, None, "t", "a"), (5, "same", "t", "b")], schema)
+    new = spark.createDataFrame([(1, "same", "t", "a"), (4, "moved", "t", "a"), (6, "new", None, None)], schema)
+    assert {(r.url, r.change) for r in G.feed_changes(old, new).collect()} == {("gone", "gone"), ("moved", "changed"), ("new", "added")}
+    assert G.feed_changes(old, old).count() == 0

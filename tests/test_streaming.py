@@ -69,6 +69,33 @@ def test_dedupe_within_ttl(spark, tmp_path):
     assert sorted(r.event_id for r in kept.collect()) == [1, 3, 5, 6, 9, 10]
 
 
+def test_late_checks_that_nothing_answers_are_kept(spark, tmp_path):
+    """A check older than one that was kept already, within the delay; columns that Spark's rows cannot name."""
+    frames = [checks(spark, [(1, 0, "a"), (2, 200, "a"), (7, 200, "b")]), checks(spark, [(3, 100, "a"), (4, 30, "a"), (5, 150, "a"), (6, 259, "a")]),
+              checks(spark, [(8, 140, "b"), (9, 159, "a")])]
+    source = str(tmp_path / "in")
+    for frame in frames:
+        stream = stream_of(spark, [frame.withColumn("_x", F.lit(1))], source)
+        kept = run_to_table(spark, jobs.dedupe_checks(stream, late="3 hours").select("event_id", "url", "_x"), tmp_path, "out")
+    assert sorted(r.event_id for r in kept.collect()) == [1, 2, 3, 7, 8]
+
+
+def test_every_feedback_gets_one_answer(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    def at(minutes):
+        return t0 + dt.timedelta(minutes=minutes)
+    known = spark.createDataFrame([("0", "u0", "legit", at(0)), ("1", "u1", "phish", at(1)), ("beat", None, None, at(6000))],
+                                  "detection_id string, url string, verdict string, detected_at timestamp")
+    entries = spark.createDataFrame([("0", "yes", at(5)), ("1", "maybe", at(5)), ("1", None, at(6)), ("99", "NO", at(7)), ("0", "no", at(180)),
+                                     (None, "yes", at(8)), ("alive", "yes", at(6000))], "id string, correct string, ts timestamp")
+    later = spark.createDataFrame([("alive", "yes", at(9000))], entries.schema)
+    later_known = spark.createDataFrame([("beat", None, None, at(9000))], known.schema)
+    joined = jobs.feedback_stream(stream_of(spark, [entries, later], str(tmp_path / "f")), stream_of(spark, [known, later_known], str(tmp_path / "d")), rejected=True)
+    out = run_to_table(spark, joined, tmp_path, "out")
+    assert sorted((r.id, r.correct or "", r.status, r.url or "") for r in out.where("id != 'alive'").collect()) == [
+        ("0", "no", 404, ""), ("0", "yes", 200, "u0"), ("1", "", 400, ""), ("1", "maybe", 400, ""), ("99", "NO", 404, "")]
+
+
 def test_feedback_stream(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     known = spark.createDataFrame([(str(i), f"u{i}", "legit", t0 + dt.timedelta(minutes=i)) for i in range(4)],
