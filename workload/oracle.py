@@ -66,6 +66,8 @@ p AS (
     ELSE array_to_string(list_transform(list_distinct(attrs), lambda a: name || ':' || lower(a)), ' ') END AS pair FROM n)
 SELECT page_id, string_agg(pair, ' ' ORDER BY i) AS dom FROM p GROUP BY page_id"""
 
+ORACLE["sanitize_tags_attrs_native"] = ORACLE["sanitize_tags_attrs"]
+
 EVENTS = rf"""events_of AS (
   SELECT page_id, html,
     list_transform(regexp_extract_all({BLANKED}, '</?[a-zA-Z][^\s/>]*'), lambda t: lower(t)) AS events,
@@ -92,6 +94,10 @@ ORACLE["html_tokens"] = sql(EVENTS, NESTING, select="""
 SELECT e.page_id, len(e.tags) + n.closed AS events, n.closed::BIGINT AS closed
 FROM events_of e JOIN nested n USING (page_id)""")
 
+ORACLE["html_tokens_native"] = ORACLE["html_tokens"]
+ORACLE["page_nesting_native"] = sql(EVENTS, NESTING, select="""
+SELECT e.page_id, array_to_string(e.tags, ' ') AS tags, n.deepest::BIGINT AS depth FROM events_of e JOIN nested n USING (page_id)""")
+
 
 def _tag_count(name: str) -> str:
     return f"round(len(list_filter(tags, lambda t: t = '{name}'))::DOUBLE, 6) AS count_{name}"
@@ -140,6 +146,8 @@ SELECT page_id, unnest(['/js/app' || i || '.js?v=1', '//cdn.' || host || '/s.css
   'https://www.' || host || '/i/' || i || '.png#x', 'data:image/png;base64,AA', '/bg/' || host || '.gif',
   'https://ads.example.org', 'https://frame.example.net/x?y=1', '/v.mp4', '/v.mp4']) AS ref FROM r""")
 
+ORACLE["resource_refs_native"] = ORACLE["resource_refs"]
+
 ORACLE["read_url_list"] = "SELECT url FROM pages"
 
 # --- signatures ----------------------------------------------------------------------------
@@ -280,6 +288,13 @@ near AS (SELECT c.page_id, s.url, {jaccard('c.dom', 's.dom')} AS d, s.page_id AS
   QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY d, idx) = 1)""", select="""
 SELECT page_id, round(least(d, 1.0), 4) AS ncd, CASE WHEN d > 0.48 THEN 'phish' ELSE 'legit' END AS classification,
   CASE WHEN d < 1.0 THEN url END AS closest_sample FROM near""")
+ORACLE["nearest_other_tag_jaccard"] = sql(MDOMS, f"""
+near AS (SELECT c.page_id, s.url, s.label, {jaccard('c.dom', 's.dom')} AS d, s.page_id AS idx
+  FROM doms c JOIN doms s ON c.page_id <> s.page_id
+  QUALIFY row_number() OVER (PARTITION BY c.page_id ORDER BY d, idx) = 1)""", select="""
+SELECT page_id, round(least(d, 1.0), 4) AS ncd, CASE WHEN d > 0.48 THEN 'phish' ELSE label END AS classification,
+  CASE WHEN d < 1.0 THEN url END AS closest_sample FROM near""")
+ORACLE["nearest_other_grid_tag_jaccard"] = ORACLE["nearest_other_tag_jaccard"]
 ORACLE["class_scores_tag_jaccard"] = sql(MDOMS, PROTOS, scores("dom"), select="""
 SELECT page_id, round(phish_min, 6) AS phish_min, round(phish_avg, 6) AS phish_avg, round(legit_min, 6) AS legit_min,
   round(legit_avg, 6) AS legit_avg FROM scored""")
@@ -294,6 +309,10 @@ SELECT * FROM structure JOIN set_scores USING (page_id)""")
 VECTORS = "v AS MATERIALIZED (SELECT vec_id AS idx, embedding::DOUBLE[] AS e, 'all' AS g FROM embeddings)"
 MEANS = """means AS (SELECT a.idx, sum(list_distance(a.e, b.e)) / count(*) AS m FROM v a CROSS JOIN v b GROUP BY a.idx)"""
 ORACLE["mean_distance_l2"] = sql(VECTORS, MEANS, select="SELECT idx, round(m, 6) AS mean_distance FROM means")
+ORACLE["nearest_other_l2"] = sql(VECTORS, select="""
+SELECT a.idx, arg_min(b.idx, (list_distance(a.e, b.e), b.idx)) AS nearest, round(min(list_distance(a.e, b.e)), 6) AS min_distance
+FROM v a JOIN v b ON a.idx <> b.idx GROUP BY a.idx""")
+ORACLE["farthest_on_average_l2"] = sql(VECTORS, MEANS, select="SELECT idx FROM means ORDER BY m DESC, idx LIMIT 1")
 ORACLE["fpf_select_l2"] = sql(VECTORS, fpf("v", "g", "idx", "e", l2, 5, "min(idx)", "picks"), select="""
 SELECT key AS idx, idx::BIGINT AS prototype_index, round(cover, 6) AS cover_distance FROM picks""")
 ORACLE["build_prototypes_tag_jaccard"] = sql(MDOMS, PROTOS, select="""
@@ -309,22 +328,57 @@ FROM protos p JOIN (SELECT label, count(*) AS n FROM big GROUP BY label) n ON n.
 ORACLE["union_prototype_sets"] = sql(MDOMS, PROTOS, select="""
 SELECT CASE WHEN label = 'phish' THEN 'first' ELSE 'legit' END AS proto_set, page_id FROM protos""")
 
-
-def _cluster_rounds(k: int) -> str:
+KNOWN = """files AS (SELECT 's' || lpad(page_id::VARCHAR, 9, '0') AS stem, url, dom, label,
+  starts_with(url, 'http://') OR contains(url, '.com') AS known FROM doms)"""
+ORACLE["read_samples_sidecar"] = ORACLE["join_sidecar"] = sql(MDOMS, KNOWN, select="""
+SELECT stem, url, label, dom, strlen(dom) AS size FROM files WHERE known""")
+ORACLE["read_samples_labelled_dirs"] = sql(MDOMS, select="""
+SELECT page_id::VARCHAR AS stem, page_id::VARCHAR AS url, label, dom FROM doms""")
+ORACLE["read_prototype_sets"] = sql(MDOMS, select=f"""
+SELECT proto_set, page_id::VARCHAR AS stem, dom FROM doms WHERE strlen(dom) >= {MINIMAL_DOM}""")
+ORACLE["read_prototype_files"] = sql(MDOMS, PROTOS, select="""
+SELECT label, label || '_prototype_' || lpad(idx::VARCHAR, 2, '0') AS stem, dom FROM protos""")
+ORACLE["write_manifest_files"] = sql(MDOMS, KNOWN, select="""
+SELECT stem || '.dom' AS dom, stem || '.meta.json' AS meta, CASE WHEN known AND label = 'phish' THEN 'phish' ELSE 'unknown' END AS label FROM files""")
+
+
+def _cluster_rounds(k: int, apart: str = "list_distance(v.e, c.e)") -> str:
     ctes = ["k1 AS (SELECT idx AS key FROM means ORDER BY m DESC, idx LIMIT 1)"]
     for i in range(1, k + 1):
-        before = f"least(p.d, list_distance(v.e, c.e))" if i > 1 else "list_distance(v.e, c.e)"
+        measured = f"CASE WHEN v.idx = c.idx THEN 0 ELSE {apart} END"
+        before = f"least(p.d, {measured})" if i > 1 else measured
         join = f"JOIN d{i - 1} p ON p.idx = v.idx" if i > 1 else ""
         ctes.append(f"d{i} AS MATERIALIZED (SELECT v.idx, {before} AS d FROM v JOIN v c ON c.idx = (SELECT key FROM k{i}) {join})")
         ctes.append(f"k{i + 1} AS (SELECT idx AS key, d AS cover FROM d{i} ORDER BY d DESC, idx LIMIT 1)")
     return ",\n".join(ctes)
 
 
-ORACLE["fpf_cluster_l2"] = sql(VECTORS, MEANS, _cluster_rounds(4), select="""
-SELECT 1::BIGINT AS cluster, key AS idx, NULL::DOUBLE AS cover_distance, NULL::DOUBLE AS variance_before, NULL::DOUBLE AS variance_after FROM k1
-""" + "".join(f"""UNION ALL SELECT {i}, key, round(cover, 6), (SELECT round(var_pop(d), 6) FROM d{i - 1}), (SELECT round(var_pop(d), 6) FROM d{i}) FROM k{i}
-WHERE (SELECT bool_and(gain >= -1) FROM (VALUES {", ".join(f"((SELECT var_pop(d) FROM d{j - 1}) - (SELECT var_pop(d) FROM d{j}))" for j in range(2, i + 1))}) t(gain))
-""" for i in range(2, 5)))
+def _clusters(gain: float) -> str:
+    """Centres, each added while all before it lowered the variance by ``gain``."""
+    first = """SELECT 1::BIGINT AS cluster, key AS idx, NULL::DOUBLE AS cover_distance, NULL::DOUBLE AS variance_before, NULL::DOUBLE AS variance_after FROM k1
+"""
+    return first + "".join(f"""UNION ALL SELECT {i}, key, round(cover, 6), (SELECT round(var_pop(d), 6) FROM d{i - 1}), (SELECT round(var_pop(d), 6) FROM d{i}) FROM k{i}
+WHERE (SELECT bool_and(gain >= {gain}) FROM (VALUES {", ".join(f"((SELECT var_pop(d) FROM d{j - 1}) - (SELECT var_pop(d) FROM d{j}))" for j in range(2, i + 1))}) t(gain))
+""" for i in range(2, 5))
+
+
+ORACLE["fpf_cluster_l2"] = sql(VECTORS, MEANS, _cluster_rounds(4), select=_clusters(-1))
+ORACLE["fpf_cluster_gain_l2"] = sql(VECTORS, MEANS, _cluster_rounds(4), select=_clusters(0.001))
+TAG_ROWS = "v AS MATERIALIZED (SELECT page_id AS idx, dom FROM doms WHERE label = 'phish')"
+TAG_MEANS = f"""means AS (SELECT a.idx, round(sum(CASE WHEN a.idx = b.idx THEN 0 ELSE {jaccard('a.dom', 'b.dom')} END), 9) AS m
+  FROM v a CROSS JOIN v b GROUP BY a.idx)"""
+ORACLE["fpf_cluster_gain_tag_jaccard"] = sql(MDOMS, TAG_ROWS, TAG_MEANS, _cluster_rounds(4, jaccard("v.dom", "c.dom")), select=_clusters(0.001))
+SELECTED = f"""centres AS MATERIALIZED (SELECT cluster, idx FROM ({_clusters(-1)}) x)"""
+NEAR_SELECTED = """assigned AS MATERIALIZED (SELECT v.idx, v.e, c.cluster, list_distance(v.e, w.e) AS d
+  FROM v CROSS JOIN centres c JOIN v w ON w.idx = c.idx QUALIFY row_number() OVER (PARTITION BY v.idx ORDER BY d, c.cluster) = 1)"""
+ORACLE["assign_selected_clusters_l2"] = sql(VECTORS, MEANS, _cluster_rounds(4), SELECTED, NEAR_SELECTED, select="""
+SELECT idx, cluster, round(d, 6) AS center_distance FROM assigned""")
+ORACLE["cluster_samples_l2"] = sql(VECTORS, MEANS, _cluster_rounds(4), SELECTED, NEAR_SELECTED, """
+sizes AS (SELECT cluster, count(*) AS size, avg(d) AS a FROM assigned GROUP BY cluster)""", """
+inner_d AS (SELECT x.cluster, list_distance(x.e, y.e) AS d FROM assigned x JOIN assigned y ON x.cluster = y.cluster AND x.idx < y.idx)""", select="""
+SELECT s.cluster, any_value(c.idx) AS center, s.size, nullif(count(i.d), 0) AS pairs, round(any_value(s.a), 6) AS avg_center_distance,
+  round(min(i.d), 6) AS min_distance, round(max(i.d), 6) AS max_distance, round(avg(i.d), 6) AS avg_distance
+FROM sizes s JOIN centres c USING (cluster) LEFT JOIN inner_d i USING (cluster) GROUP BY s.cluster, s.size""")
 ORACLE["cover_variance_l2"] = sql(VECTORS, """
 near AS (SELECT v.idx, c.idx AS centre, list_distance(v.e, c.e) AS d FROM v JOIN v c ON c.idx IN (0, 1, 2))""", """
 cover AS (SELECT n.n, near.idx, min(d) AS d FROM near JOIN (VALUES (1), (2), (3)) n(n) ON near.centre < n.n GROUP BY ALL)""", select="""
@@ -387,6 +441,11 @@ ORACLE["detect_tag_jaccard"] = sql(*JUDGED, CHECKS, FEED_RAW, FEED, DETECTED, se
 ORACLE["detect_parse_first_tag_jaccard"] = ORACLE["detect_tag_jaccard"]
 ORACLE["detect_carried_pages_tag_jaccard"] = ORACLE["detect_tag_jaccard"]
 ORACLE["detect_stream"] = ORACLE["detect_tag_jaccard"]
+ORACLE["redetect_tag_jaccard"] = sql(*JUDGED, CHECKS, FEED_RAW, FEED.replace("feed AS", "first_feed AS"), """
+feed AS (SELECT url, min(phish_id) AS phish_id, any_value(submission_time) AS submission_time, any_value(target) AS target FROM (
+  SELECT phish_id, url, submission_time, target FROM first_feed WHERE NOT contains(url, 'blog.')
+  UNION ALL SELECT page_id + 5000000, url, NULL, NULL FROM pages WHERE contains(url, '#')) GROUP BY url)""", DETECTED, select="""
+SELECT event_id, url, classification, source, phish_id FROM detected""")
 ORACLE["detect_signature_only"] = sql(CHECKS, FEED_RAW, FEED, select=f"""
 SELECT event_id, url, CASE WHEN phish_id IS NOT NULL THEN 'phish' ELSE 'legit' END AS classification, 'signature-local' AS source,
   CASE WHEN phish_id IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence, phish_id,
@@ -508,6 +567,19 @@ ORACLE["dedupe_checks_stream"] = sql(CHECKS, """
 kept AS (SELECT url, min(ts) AS ts FROM checks GROUP BY url UNION ALL
   SELECT k.url, min(c.ts) FROM kept k JOIN checks c ON c.url = k.url AND c.ts >= k.ts + INTERVAL 1 HOUR GROUP BY k.url)""", select="""
 SELECT url, count(*) AS kept FROM kept GROUP BY url""")
+ORACLE["dedupe_checks_rows"] = sql(CHECKS, """
+kept AS (SELECT url, min(ts) AS ts FROM checks GROUP BY url UNION ALL
+  SELECT k.url, min(c.ts) FROM kept k JOIN checks c ON c.url = k.url AND c.ts >= k.ts + INTERVAL 1 HOUR GROUP BY k.url)""", select="""
+SELECT url, epoch_us(ts) AS at FROM kept WHERE ts IS NOT NULL""")
+ORACLE["feedback_answers_stream"] = sql(CHECKS, FEEDBACK, select=f"""
+SELECT f.id, f.correct, CASE WHEN valid THEN c.url END AS url, CASE WHEN valid AND c.url IS NOT NULL THEN {LABEL.replace('url', 'c.url')} END AS verdict,
+  epoch_us(f.ts) AS at, CASE WHEN NOT valid THEN 400 WHEN c.url IS NULL THEN 404 ELSE 200 END::BIGINT AS status
+FROM (SELECT *, lower(correct) IN ('yes', 'no') AS valid FROM entries) f LEFT JOIN checks c ON c.event_id::VARCHAR = f.id""")
+ORACLE["signature_lookup_bucketed"] = sql(CHECKS, FEED_RAW, FEED, select=f"""
+SELECT event_id, url, phish_id IS NOT NULL AS in_database, phish_id, '{DETAIL}' || phish_id AS detail_page FROM checks LEFT JOIN feed USING (url)""")
+ORACLE["page_tokens_sql"] = sql(DOMS, select="""
+SELECT page_id, (i - 1)::INTEGER AS position, string_split(dom, ' ')[i] AS tag FROM (
+  SELECT page_id, dom, unnest(range(1, len(string_split(dom, ' ')) + 1)) AS i FROM doms) WHERE dom <> ''""")
 ORACLE["metrics_stream"] = sql(CHECKS, FEED_RAW, FEED, select="""
 SELECT CASE WHEN phish_id IS NOT NULL THEN 'signature-local' ELSE 'ncd' END AS source, count(*) AS detections
 FROM checks LEFT JOIN feed USING (url) GROUP BY 1""")

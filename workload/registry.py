@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,21 +15,24 @@ from pagesim.functions import kernel as N
 from pagesim.functions import osint as O
 from pagesim.functions import urls as U
 from pagesim.functions import verdicts as V
+from pagesim.functions.tables import register_page_functions
 from pagesim.operators import corpus as C
 from pagesim.operators import distances as D
 from pagesim.operators import enrich as E
 from pagesim.operators import feedback as B
 from pagesim.operators import features as X
 from pagesim.operators import model as M
+from pagesim.operators.nearest import farthest_on_average, nearest
 from pagesim.operators import ordering as R
 from pagesim.operators import prototypes as P
 from pagesim.operators import scores as S
 from pagesim.operators import signatures as G
 from pagesim.operators import tuning as T
-from pagesim.plans.detect import classify_pages, detect
+from pagesim.plans.detect import classify_pages, detect, redetect
 from pagesim.plans.training import train_pipeline
-from pagesim.session import scratch_path
+from pagesim.session import materialize, scratch_path
 from pagesim.sources import readers, writers
+from pagesim.sources.sample_files import read_manifest, write_sample_files
 from pagesim.streaming import jobs
 
 from . import standins as I
@@ -73,6 +77,25 @@ def sanitize_tags_attrs(spark, sf):
     return H.sanitize(I.pages(spark, sf), "tags_attrs").select("page_id", text("dom").alias("dom"))
 
 
+@query
+def sanitize_tags_attrs_native(spark, sf):
+    return H.sanitize(I.pages(spark, sf), "tags_attrs", engine="native").select("page_id", text("dom").alias("dom"))
+
+
+@query
+def html_tokens_native(spark, sf):
+    out = H.html_tokens(I.pages(spark, sf), ["events"], engine="native")
+    return out.select("page_id", F.size("events").cast("bigint").alias("events"),
+                      F.size(F.filter("events", lambda e: e.startswith("/"))).cast("bigint").alias("closed"))
+
+
+@query
+def page_nesting_native(spark, sf):
+    """Every tag, and the deepest nesting, without leaving the JVM."""
+    out = H.html_tokens(I.pages(spark, sf), ["all_tags", "depth"], engine="native")
+    return out.select("page_id", F.array_join("all_tags", " ").alias("tags"), F.col("depth").cast("bigint").alias("depth"))
+
+
 @query
 def html_tokens(spark, sf):
     out = H.html_tokens(I.pages(spark, sf), ["events"])
@@ -139,6 +162,12 @@ def resource_refs(spark, sf):
     return refs.select("page_id", F.explode("refs").alias("ref"))
 
 
+@query
+def resource_refs_native(spark, sf):
+    refs = H.html_tokens(I.resource_pages(spark, sf), ["refs"], engine="native")
+    return refs.select("page_id", F.explode("refs").alias("ref"))
+
+
 @query
 def read_url_list(spark, sf):
     """The urls as a list file, every one behind blanks and beside a comment and an empty line."""
@@ -290,6 +319,38 @@ def nearest_sample_ncd(spark, sf):
     return out.select("page_id", "ncd", "classification", "closest_sample")
 
 
+@query
+def nearest_other_tag_jaccard(spark, sf):
+    """Every page of both classes against all others, as if it were new: the label it would get."""
+    doms = I.labelled_doms(spark, sf)
+    out = S.nearest_sample(doms.drop("label", "url"), doms, exclude_self=True, **JACCARD)
+    return out.select("page_id", "ncd", "classification", "closest_sample")
+
+
+@query
+def nearest_other_grid_tag_jaccard(spark, sf):
+    """The same without the index."""
+    doms = I.labelled_doms(spark, sf)
+    out = S.nearest_sample(doms.drop("label", "url"), doms, exclude_self=True, method="grid", **JACCARD)
+    return out.select("page_id", "ncd", "classification", "closest_sample")
+
+
+@query
+def nearest_search_effort_tag_jaccard(spark, sf):
+    """Pairs that the index opens, step by step, of all there are."""
+    doms, report = I.labelled_doms(spark, sf), []
+    nearest(doms, doms, exclude_self=True, report=report, **JACCARD)
+    return spark.createDataFrame([(r["step"], r["queries"], r["pairs"], r["all_pairs"]) for r in report],
+                                 "step string, queries bigint, pairs bigint, all_pairs bigint")
+
+
+@query
+def nearest_other_l2(spark, sf):
+    vectors = I.vectors(spark, sf)
+    out = nearest(vectors, vectors.withColumnRenamed("idx", "nearest"), key="idx", order_col="nearest", distance="l2", exclude_self=True)
+    return out.select("idx", "nearest", *r6("min_distance"))
+
+
 @query
 def class_scores_tag_jaccard(spark, sf):
     out = S.class_scores(I.labelled_doms(spark, sf), I.prototypes(spark, sf, "tag_jaccard"), **JACCARD)
@@ -316,6 +377,64 @@ def mean_distance_l2(spark, sf):
     return D.mean_distance(I.vectors(spark, sf), distance="l2").select("idx", *r6("mean_distance"))
 
 
+# --- folders of sample files ---------------------------------------------------------------
+
+def _sample_folder(spark, sf):
+    """Every labelled page as a file; secure pages without metadata, and empty doms as empty files."""
+    doms = I.labelled_doms(spark, sf)
+    known = F.col("url").startswith("http://") | F.col("url").contains(".com")
+    path = scratch_path(spark, "sample-files")
+    write_sample_files(doms.select(
+        F.concat(F.lit("s"), F.lpad(F.col("page_id").cast("string"), 9, "0")).alias("stem"), "dom",
+        *[F.when(known, c).alias(n) for n, c in (("url", F.col("url")), ("ts", F.col("page_id")), ("size", F.octet_length("dom").cast("bigint")))],
+        F.when(known & (F.col("label") == "phish"), "phish").alias("label")), path)
+    return path
+
+
+@query
+def read_samples_sidecar(spark, sf):
+    out = readers.read_samples_sidecar(spark, _sample_folder(spark, sf), engine="files")
+    return out.select("stem", "url", "label", text("dom").alias("dom"), F.col("source.size").alias("size"))
+
+
+@query
+def join_sidecar(spark, sf):
+    """The same files, paired by a join in Spark."""
+    out = readers.read_samples_sidecar(spark, _sample_folder(spark, sf))
+    return out.select("stem", "url", "label", text("dom").alias("dom"), F.col("source.size").alias("size"))
+
+
+@query
+def read_samples_labelled_dirs(spark, sf):
+    doms, path = I.labelled_doms(spark, sf), scratch_path(spark, "labelled-dirs")
+    folder = F.when(F.col("label") == "phish", "phishing").otherwise("legit")
+    write_sample_files(doms.select(folder.alias("folder"), F.col("page_id").cast("string").alias("stem"), "dom"), path)
+    return readers.read_samples_labelled_dirs(spark, path, engine="files").select("stem", "url", "label", text("dom").alias("dom"))
+
+
+@query
+def read_prototype_sets(spark, sf):
+    """Sets of prototypes as folders, the smallest pages emptied; empty files are skipped."""
+    doms, path = I.labelled_doms(spark, sf), scratch_path(spark, "proto-sets")
+    emptied = F.when(F.octet_length("dom") >= I.MINIMAL_DOM, F.col("dom")).otherwise(F.lit("").cast("binary"))
+    write_sample_files(doms.select(F.col("proto_set").alias("folder"), F.col("page_id").cast("string").alias("stem"), emptied.alias("dom")), path)
+    sets = {n: f"{path}/{n}" for n in ("phish_cluster_1", "phish_cluster_2", "phish_cluster_3", "legit")}
+    return readers.read_prototype_sets(spark, sets, engine="files").select("proto_set", "stem", text("dom").alias("dom"))
+
+
+@query
+def read_prototype_files(spark, sf):
+    protos, path = I.prototypes(spark, sf, "tag_jaccard"), scratch_path(spark, "proto-files")
+    folder = F.when(F.col("label") == "phish", "phishing").otherwise("legitimate")
+    write_sample_files(protos.select(folder.alias("folder"), F.col("name").alias("stem"), "dom", "url", "size", "label"), path)
+    return readers.read_prototypes(spark, path, "sample_files").select("label", "stem", text("dom").alias("dom"))
+
+
+@query
+def write_manifest_files(spark, sf):
+    return read_manifest(spark, _sample_folder(spark, sf))
+
+
 # --- prototypes and clusters ---------------------------------------------------------------
 
 @query
@@ -324,6 +443,15 @@ def fpf_select_l2(spark, sf):
     return out.select("idx", F.col("prototype_index").cast("bigint").alias("prototype_index"), *r6("cover_distance"))
 
 
+@query
+def fpf_select_effort_ncd(spark, sf):
+    """Pairs that lazy rounds measure, of those that measuring every row would take."""
+    report = []
+    P.fpf_select(I.samples(spark, sf), 5, by="label", report=report)
+    return spark.createDataFrame([(r["round"], r["rows"], r["pairs"], r["full_pairs"]) for r in report],
+                                 "round bigint, rows bigint, pairs bigint, full_pairs bigint")
+
+
 @query
 def fpf_select_documents_ncd(spark, sf):
     out = P.fpf_select(I.samples(spark, sf), 5, by="label")
@@ -363,6 +491,43 @@ def fpf_cluster_l2(spark, sf):
                       *r6("cover_distance", "variance_before", "variance_after"))
 
 
+@query
+def fpf_cluster_gain_l2(spark, sf):
+    """With the stop rule."""
+    out = P.fpf_cluster(I.vectors(spark, sf), min_variance_gain=0.001, distance="l2")
+    return out.select(F.col("cluster").cast("bigint").alias("cluster"), "idx",
+                      *r6("cover_distance", "variance_before", "variance_after"))
+
+
+@query
+def fpf_cluster_gain_tag_jaccard(spark, sf):
+    phish = I.labelled_doms(spark, sf).filter("label = 'phish'")
+    out = P.fpf_cluster(phish, min_variance_gain=0.001, **JACCARD)
+    return out.select(F.col("cluster").cast("bigint").alias("cluster"), "idx",
+                      *r6("cover_distance", "variance_before", "variance_after"))
+
+
+@query
+def farthest_on_average_l2(spark, sf):
+    vectors = I.vectors(spark, sf)
+    return vectors.where(F.col("idx") == F.lit(farthest_on_average(vectors, distance="l2"))).select("idx")
+
+
+@query
+def cluster_samples_l2(spark, sf):
+    """Clusters around selected centres, and their report."""
+    return P.cluster_samples(I.vectors(spark, sf), min_variance_gain=-1.0, distance="l2")[2].select(
+        F.col("cluster").cast("bigint").alias("cluster"), "center", "size", "pairs",
+        *r6("avg_center_distance", "min_distance", "max_distance", "avg_distance"))
+
+
+@query
+def assign_selected_clusters_l2(spark, sf):
+    vectors = I.vectors(spark, sf)
+    out = P.assign_clusters(vectors, P.fpf_cluster(vectors, min_variance_gain=-1.0, distance="l2"), distance="l2")
+    return out.select("idx", F.col("cluster").cast("bigint").alias("cluster"), *r6("center_distance"))
+
+
 @query
 def cover_variance_l2(spark, sf):
     return P.cover_variance(I.vectors(spark, sf), [0, 1, 2], distance="l2").select(
@@ -765,6 +930,35 @@ def dedupe_checks_stream(spark, sf):
     return _to_table(spark, kept, "deduped").groupBy("url").agg(F.count("*").alias("kept"))
 
 
+@query
+def dedupe_checks_rows(spark, sf):
+    """Every check that is kept, with its time."""
+    kept = jobs.dedupe_checks(_check_stream(spark, sf)).select("url", F.unix_micros("ts").alias("at"))
+    return _to_table(spark, kept, "deduped")
+
+
+@query
+def feedback_answers_stream(spark, sf):
+    """Every entry and its one answer; heartbeats two days later let the watermark pass the last ones."""
+    def as_stream(rows, beat, name):
+        path = scratch_path(spark, name)
+        rows.write.parquet(path)
+        for _ in range(2):
+            beat.write.mode("append").parquet(path)
+            beat = beat.select(*[(F.col(f.name) + F.expr("interval 1 day")).alias(f.name) if f.dataType.typeName() == "timestamp"
+                                 else F.col(f.name) for f in beat.schema.fields])
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+
+    late = I.events(spark, sf).agg((F.max("ts") + F.expr("interval 2 days")).alias("ts"))
+    known, entries = _detections(spark, sf), I.feedback(spark, sf)
+    none = F.lit(None).cast("string")
+    known_beat = late.select(*[{"detected_at": F.col("ts"), "detection_id": F.lit("beat")}.get(c, none).alias(c) for c in known.columns])
+    entry_beat = late.select(*[{"ts": F.col("ts"), "correct": F.lit("yes"), "id": F.lit("alive")}[c].alias(c) for c in entries.columns])
+    out = _to_table(spark, jobs.feedback_stream(as_stream(entries, entry_beat, "entries"), as_stream(known, known_beat, "known"), rejected=True), "answers")
+    out = out.where("id != 'alive'")
+    return out.select("id", "correct", "url", "verdict", F.unix_micros("timestamp").alias("at"), F.col("status").cast("bigint").alias("status"))
+
+
 @query
 def feedback_stream(spark, sf):
     known = _check_stream(spark, sf).select(
@@ -793,6 +987,41 @@ def metrics_stream(spark, sf):
     return spark.read.parquet(out)
 
 
+@query
+def redetect_tag_jaccard(spark, sf):
+    """The feed loses its entries of one host and gains others: only checks of these urls are judged again."""
+    feed = I.feed(spark, sf)
+    new = feed.where(~F.col("url").contains("blog.")).unionByName(
+        I.table(spark, sf, "pages").where(F.col("url").contains("#")).select(*[
+            {"phish_id": (F.col("page_id") + 5000000).alias("phish_id"), "url": F.col("url")}.get(
+                c, F.lit(None).cast(feed.schema[c].dataType).alias(c)) for c in feed.columns]))
+    protos, checks = I.prototypes(spark, sf, "tag_jaccard"), I.url_checks(spark, sf)
+
+    def answer(some, version):
+        return detect(some, I.pages(spark, sf), version, protos, detection_id=F.col("event_id"), **JACCARD, **DETECT).select(
+            "event_id", "url", "classification", "source", "phish_id")
+
+    out, _ = redetect(checks, materialize(answer(checks, feed), "before"), feed, new, answer)
+    return out
+
+
+@query
+def signature_lookup_bucketed(spark, sf):
+    """The lookup against signatures kept in buckets: the feed is neither shuffled nor aggregated."""
+    name = "signatures_" + uuid.uuid4().hex
+    stored = writers.write_signatures(I.feed(spark, sf), name, scratch_path(spark, "signatures"), 8)
+    out = G.signature_lookup(I.url_checks(spark, sf), stored, unique=True)
+    return out.select("event_id", "url", "in_database", "phish_id", "detail_page")
+
+
+@query
+def page_tokens_sql(spark, sf):
+    """Tags in SQL, by a lateral table function over the table of pages."""
+    register_page_functions(spark)
+    I.table(spark, sf, "pages").createOrReplaceTempView("sql_pages")
+    return spark.sql("""SELECT p.page_id, t.position, t.tag FROM sql_pages p, LATERAL page_tokens(p.html) t""")
+
+
 @query
 def feed_refresh(spark, sf):
     """Two published versions: readers see the second."""
