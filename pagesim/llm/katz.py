@@ -41,7 +41,7 @@ from pagesim.session import at_least_partitions, scratch_path
 
 #: Counts up to DISCOUNTED are discounted (Katz's own choice).
 DISCOUNTED = 5
-CHUNK_TOKENS, PART_KEYS, LEAST_HOT, MOST_BUCKETS = 2_000_000, 2_000_000, 1_000_000, 50_000
+CHUNK_TOKENS, PART_KEYS, LEAST_HOT, MOST_BUCKETS = 1_000_000, 1_000_000, 1_000_000, 50_000
 END_WORD = np.uint64(0x656E64656E64656E)
 
 _LOWER = np.arange(256, dtype=np.uint8)
