@@ -41,7 +41,7 @@ from pagesim.session import at_least_partitions, scratch_path
 
 #: Counts up to DISCOUNTED are discounted (Katz's own choice).
 DISCOUNTED = 5
-CHUNK_TOKENS, PART_KEYS, LEAST_HOT, MOST_BUCKETS = 1_000_000, 1_000_000, 1_000_000, 50_000
+CHUNK_TOKENS, PART_KEYS, LEAST_HOT, MOST_BUCKETS = 1_500_000, 1_500_000, 1_000_000, 50_000
 END_WORD = np.uint64(0x656E64656E64656E)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -232,10 +232,14 @@ class Chunk:
         c = self.e_context[start:end]
         return np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
 
-    def ask(self, parts: int) -> Iterator[tuple[int, bytes]]:
+    def ask(self, parts: int, n: int) -> Iterator[tuple[int, bytes]]:
+        """The shorter contexts' probabilities go along: of a word alone (n = 2) as its count, which is shorter."""
+        if n == 2:
+            low = np.zeros(len(self.e_word), np.uint32)
+            low[self.token_entry] = np.minimum(self.counts[self.at], np.iinfo(np.uint32).max)
         for part, start, end in _cut(self.e_place, parts):
             runs = self._runs(start, end)
-            distinct, index = pack_repeated(self.e_p[start:end])
+            distinct, index = (np.zeros(0), low[start:end]) if n == 2 else pack_repeated(self.e_p[start:end])
             yield part, pack(self.e_context[start:end][runs], np.diff(runs, append=end - start).astype(np.uint32),
                              self.e_hot[start:end][runs].astype(np.uint8), self.e_word[start:end],
                              self.e_count[start:end].astype(np.uint32), distinct, index)
@@ -334,7 +338,16 @@ def count_words(parts: int):
     return count
 
 
-def count_pairs(parts: int, last: bool):
+def _lower(asked: tuple, words: Order) -> np.ndarray:
+    """The probabilities that came with a block, or those of the counts that came."""
+    if len(asked[6]):
+        return asked[6][asked[7]]
+    _, total, unknown = unigrams(words)
+    counts = asked[7].astype(np.int64)
+    return np.where(counts > 0, words.discounts.of(counts) / total, unknown)
+
+
+def count_pairs(parts: int, last: bool, words: Order):
     """The same for pairs of a context and a word; contexts' sums go with the answers, those of hot contexts apart."""
     def count(key, table):
         part = key[0].as_py()
@@ -350,7 +363,7 @@ def count_pairs(parts: int, last: bool):
         pair_context, pair_word = c[new], w[new]
         total = np.bincount(at, np.concatenate([a[5] for a in asked]).astype(float), len(pair_word)).astype(np.int64)
         lower, pair_hot = np.empty(len(pair_word)), np.zeros(len(pair_word), bool)
-        lower[at] = np.concatenate([a[6][a[7]] for a in asked])
+        lower[at] = np.concatenate([_lower(a, words) for a in asked])
         pair_hot[at] = hot > 0
         # Sums of each context over the pairs that were seen.
         heads = np.flatnonzero(np.concatenate([[True], pair_context[1:] != pair_context[:-1]]))
@@ -442,7 +455,7 @@ def _asking(model: dict):
             chunk = Chunk(row)
             _heard(chunk, told, model)
             chunk.entries(model["hot_context"])
-            rows += [{"part": part, "chunk": chunk.id, "data": data} for part, data in chunk.ask(model["parts"])]
+            rows += [{"part": part, "chunk": chunk.id, "data": data} for part, data in chunk.ask(model["parts"], len(model["orders"]) + 1)]
         return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())]))
     return ask
 
@@ -497,7 +510,7 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, chunk_tokens: in
             model.counted(chunks.mapInArrow(_ask_words(model.parts), ASK_SCHEMA), count_words(model.parts))
         else:
             asked = bucketed.cogroup(model.answers(n - 1).groupBy("chunk")).applyInArrow(_asking(_known(model)), ASK_SCHEMA)
-            model.counted(asked, count_pairs(model.parts, n == order))
+            model.counted(asked, count_pairs(model.parts, n == order, model.orders[0]))
     return bucketed.cogroup(model.answers(order).groupBy("chunk")).applyInArrow(_scoring(_known(model)), SCORE_SCHEMA), model
 
 
