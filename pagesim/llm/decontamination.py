@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesim.llm.text import narrow, slices
+from pagesim.llm.tokens import release_encoders
 
 #: Errors allowed, as a share of the item's length; the pieces are then about 1 / ERROR_SHARE long.
 ERROR_SHARE = 0.08
@@ -154,7 +155,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = ERROR_SHARE
     schema = docs.schema
 
     def keep(batches):
-        for batch in batches:
+        release_encoders()
+        for batch in slices(batches):
             clean = [True] * batch.num_rows
             for block in blocks:
                 matcher = _matcher(block, share)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from pagesim.llm.hashing import ByteSums, mix
 from pagesim.llm.text import SPACES, narrow, slices
+from pagesim.llm.tokens import release_encoders
 from pagesim.session import materialize
 
 WORDS, PERCENT = 5, 75
@@ -121,6 +122,7 @@ def document_sets(docs: DataFrame, moved: np.ndarray) -> DataFrame:
                         ("first", pa.int64()), ("head", pa.binary()), ("bitmap", pa.binary())])
 
     def shingle(batches):
+        release_encoders()
         for batch in slices(batches, limit=SLICE_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist())
             cols = [batch.column("doc_id"), batch.column("th"), [len(s) for s in sets],
@@ -393,6 +395,7 @@ def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
                         ("key", pa.binary()), ("own", pa.binary())])
 
     def shingle(batches):
+        release_encoders()
         for batch in slices(batches, limit=SLICE_BYTES):
             sets_ = shingle_sets(batch.column("text").to_pylist())
             rows = [(t["first"], t["part"], t["round"], t["side"], key, blob)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pagesim.llm.hashing import ByteSums
 from pagesim.llm.text import crc_fold, labelled, narrow, slices
+from pagesim.llm.tokens import release_encoders
 
 PASSAGE_WORDS, PAIR_BINS = 64, 32
 #: Bound of the labelled rows that the model is fitted on.
@@ -167,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Atten
     sample = labelled(docs, labels, "quality", crc_fold(F.col("doc_id"), FOLDS) != 0, limit)
 
     def encode(batches):
+        release_encoders()
         for batch in slices(batches, limit=ENCODE_BYTES):
             x, passages = encode_passages(batch.column("text").to_pylist())
             parts = np.split(x, np.cumsum(passages)[:-1])
@@ -208,6 +210,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> D
     of_texts, schema = scorer(train(docs, labels, limit)), docs.schema
 
     def keep(batches):
+        release_encoders()
         for batch in slices(batches, limit=ENCODE_BYTES):
             yield batch.filter(pa.array(of_texts(batch.column("text").to_pylist()) >= THRESHOLD))
 

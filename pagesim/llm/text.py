@@ -14,6 +14,8 @@ from pagesim.session import at_least_partitions
 #: White space between words, and a word (fixed values of the word rule).
 SPACES, WORD = " \t\n\x0b\x0c\r", r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
+#: Longest text that a classifier is fitted on; all texts are scored, however long.
+SAMPLE_TEXT_BYTES = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +52,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: Column, limit
     """At most ``limit`` rows (doc_id, text, label) of the labelled documents in the fold, drawn by
     hashed id, the same share of each document's chance whatever the size of the corpus.
 
-    A doc_id labelled twice counts with its largest label; rows without a label are left out."""
+    A doc_id labelled twice counts with its largest label, one of several rows with the least of its texts; rows
+    without a label are left out, and texts of more than ``SAMPLE_TEXT_BYTES``, so that the sample is bounded in
+    bytes too."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
              .where(fold).groupBy("doc_id").agg(F.max("label").alias("label")))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES)
+    return texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -10,7 +10,8 @@ import zlib
 import numpy as np
 import regex
 
-MAX_CHUNKS, MAX_WORDS = 600_000, 450_000
+#: Entries of one generation of a cache, and bytes of its keys.
+MAX_CHUNKS, MAX_WORDS, MAX_CACHE_BYTES = 600_000, 450_000, 16 << 20
 #: Text before this character has the same classes in every Unicode version the libraries know.
 _SETTLED = "ɐ"
 #: Marks a chunk that is taken as it is, without the space before it. No text holds half a surrogate pair.
@@ -29,14 +30,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache:
-    """Two generations of a dictionary; a full one becomes the old one, so memory is bounded."""
+    """Two generations of a dictionary; one that is full by number or by bytes becomes the old one, so memory is bounded."""
 
     def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+        self.size, self.new, self.old, self.held = size, {}, {}, 0
 
     def turn(self) -> None:
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {}
+        if len(self.new) > self.size or self.held > MAX_CACHE_BYTES:
+            self.old, self.new, self.held = self.new, {}, 0
 
     def missing(self, keys: set[str]) -> list[str]:
         """Keys without a value; what only the old generation knows moves to the new one."""
@@ -46,6 +47,7 @@ class _Cache:
                 self.new[key] = self.old[key]
             else:
                 out.append(key)
+        self.held += sum(map(len, out))
         return out
 
 
@@ -181,6 +183,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release_encoders() -> None:
+    """Forget the worker's encoders: a worker that encoded tokens in one stage needs their caches in no other."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+
+
 def crc_of_ids(ids: np.ndarray) -> int:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())

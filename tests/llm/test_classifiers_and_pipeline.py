@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pagesim.llm import quality_classifier as quality
 from pagesim.llm import toxicity
+from pagesim.llm.text import labelled
 from pagesim.llm.decontamination import budget, normal
 from pagesim.llm.queries import QUERIES
 from pagesim.session import materialize
@@ -100,6 +102,83 @@ def test_toxicity_of_planted_words(spark, documents, labels):
     assert np.mean([(s >= 0.3) == y for s, y in pairs]) > 0.95
 
 
+def marked_rows(n, seed=3):
+    """Ordinary words of syllables; toxic texts hold ever new words with one of two beginnings, or a word of their own."""
+    draw = np.random.default_rng(seed)
+    syllables = ["re", "eux", "tion", "ment", "la", "que", "oi", "vi", "and", "er", "lich", "ach"]
+    rows, known = [], []
+    for k in range(n):
+        words = ["".join(draw.choice(syllables, draw.integers(1, 5))) for _ in range(draw.integers(40, 120))]
+        bad = k % 4 == 0
+        if bad:
+            for _ in range(len(words) // 20 + 2):
+                words[draw.integers(len(words))] = draw.choice(["snarf", "zubko"]) + "".join(draw.choice(syllables, 3))
+        rows.append((k, " ".join(words) + ("." if k % 2 else "")))
+        known.append((k, 1, int(bad)))
+    return rows, known
+
+
+def test_toxicity_of_beginnings_of_new_words(documents, labels):
+    rows, known = marked_rows(1200)
+    out = toxicity.score_toxicity(documents(rows), labels(known)).collect()
+    held = [(r.predicted, int(r.doc_id % 4 == 0)) for r in out if r.held_out]
+    assert np.mean([p for p, y in held if y]) >= 0.95 and np.mean([p for p, y in held if not y]) <= 0.05
+
+
+def plain_toxicity(rows, known):
+    """The operator as loops over all documents."""
+    label = {d: y for d, _, y in known}
+    sample = [(t, label[d]) for d, t in rows if d in label and zlib.crc32(str(d).encode()) % 4 != 2]
+    seen = set()
+    for text, y in sample:
+        w = toxicity.words_of(text)
+        for before, word, after in zip([b"", *w], w, [*w[1:], b""]):
+            seen.add((word.strip(toxicity.PUNCTUATION), y, zlib.crc32(before + b" " + after)))
+    counted = defaultdict(lambda: [0, 0])
+    for word, y, _ in seen:
+        counted[word][0] += y
+        counted[word][1] += 1
+    chance = sum(v[0] for v in counted.values()) / sum(v[1] for v in counted.values())
+    by_piece = defaultdict(lambda: [0, 0])
+    for word, (t, n) in counted.items():
+        whole = b" " + word + b" "
+        for piece in {whole[k:k + 6] for k in range(max(1, len(whole) - 5))}:
+            by_piece[piece][0] += t
+            by_piece[piece][1] += n
+    found = [p for p, (t, n) in by_piece.items() if t >= 4 and (t - n * chance) / (n * chance) ** 0.5 > 6 and 2 * t > n]
+    holds = {w: any(p in b" " + w + b" " for p in found) for w in counted}
+    plain = sorted(((n - t, w) for w, (t, n) in counted.items() if not holds[w] and n > t), key=lambda x: (-x[0], x[1]))[:20_000]
+    ordinary = toxicity.train_dictionary([(w, n) for n, w in plain][::-1], 16_384)
+    chosen = toxicity.choose_sequences([(w, t, n) for w, (t, n) in counted.items() if holds[w]], found, chance)
+    toxic = ordinary + b"".join(toxicity.spelled(s) for s, _ in sorted(chosen, key=lambda x: (x[1], x[0])))
+    evidence = toxicity.Evidence(toxic, ordinary)
+    x, y = np.array([evidence.features(t) for t, _ in sample]), np.array([float(y) for _, y in sample])
+    w, mean, deviation = toxicity.fit_logistic(x, y, positive=2.0)
+    return {d: 1 / (1 + np.exp(-np.clip(w[0] + ((np.array(evidence.features(t)) - mean) / deviation) @ w[1:], -30, 30))) for d, t in rows}, chosen
+
+
+def test_toxicity_equals_plain_version(documents, labels):
+    rows, known = marked_rows(240, 8)
+    rows += [(1000, None), (1001, ""), (1002, "snarfreeux " * 3000)]
+    want, chosen = plain_toxicity(rows, known[:200])
+    assert {s[:5] for s, _ in chosen} >= {b" snar", b" zubk"}
+    for r in toxicity.score_toxicity(documents(rows), labels(known[:200])).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-6
+
+
+def test_toxicity_where_no_sequence_stands_out(documents, labels):
+    """Both labels known, nothing toxic to be found: plain dictionaries, and scores that say little."""
+    rows = [(k, f"w{k % 7} and w{k % 5} some words") for k in range(80)]
+    out = toxicity.score_toxicity(documents(rows), labels([(k, 1, int(k % 9 == 0)) for k in range(80)])).collect()
+    assert len(out) == 80 and all(0 < r.score < 1 for r in out)
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, documents, labels):
+    rows = [(1, f"text {k}") for k in range(500)] + [(2, "x" * 200_000), (3, None), (4, "short")]
+    sample = labelled(documents(rows), labels([(1, 1, 1), (2, 1, 0), (3, 1, 0), (4, 0, 0)]), "quality", F.lit(True), 10)
+    assert sorted((r.doc_id, r.text, r.label) for r in sample.collect()) == [(1, "text 0", 1), (3, None, 1), (4, "short", 0)]
+
+
 def test_stages_against_plain_versions(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
