@@ -228,6 +228,22 @@ def grid_pairs(cands: DataFrame, others: DataFrame, key: str, payload: str = "do
     return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(cell, schema)
 
 
+def grid_pair_stats(cands: DataFrame, others: DataFrame, key: str, payload: str, distance: str, set_col: str,
+                    order_col: str, skip_equal: bool = False) -> DataFrame:
+    """(n, total, lo, hi) of the pairs of each cell; ``skip_equal`` leaves out distances of exactly 0."""
+    k = kernel(distance)
+    left, right, tasks = _place(cands, others, key, payload, set_col, order_col, [], None, payload)
+
+    def cell(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
+        d = k.matrix([k.prepare(p) for p in lhs["payload"]], [k.prepare(p) for p in rhs["payload"]]).ravel()
+        d = d[d != 0] if skip_equal else d
+        rows = [(len(d), d.sum(), d.min(), d.max())] if len(d) else []
+        return pd.DataFrame(rows, columns=["n", "total", "lo", "hi"])
+
+    left, right = left.repartition(tasks, "lb", "rb"), right.repartition(tasks, "lb", "rb")
+    return left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(cell, "n long, total double, lo double, hi double")
+
+
 def _self_grid(samples: DataFrame, key: str, payload: str, distance: str, group: str | None,
                block_rows: int | None, emit: str, weight: str | None = None) -> DataFrame:
     """Every unordered pair once, in cells of two blocks of one group.

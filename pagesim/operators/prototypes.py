@@ -23,8 +23,8 @@ from ..fixed_values import (
     DEFAULT_K, MAX_CLUSTERS, MIN_VARIANCE_GAIN, MINIMAL_DOM_THRESHOLD, UNKNOWN,
 )
 from ..functions.kernel import kernel, payload_size
-from ..session import materialize, shared_folder
-from .distances import group_distance_stats
+from ..session import bounded_rows, materialize, shared_folder
+from .distances import MAX_BROADCAST_ROWS, group_distance_stats, payload_bytes
 from .nearest import farthest_on_average
 
 CHECKPOINT_EVERY = 8
@@ -335,11 +335,17 @@ def assign_clusters(samples: DataFrame, centres: DataFrame, key: str = "idx", pa
                     distance: str = "ncd") -> DataFrame:
     """Nearest centre, ties to the earlier one; adds ``cluster``, ``center_distance``.
 
-    Centres are at most ``max_clusters`` rows, so they travel with the tasks."""
+    Centres are a handful of rows: they travel with the tasks after their number and bytes were checked."""
     k = kernel(distance)
-    rows = centres.select("cluster", key).collect()
+    few = centres.select("cluster", key)
+    rows = bounded_rows(few, MAX_BROADCAST_ROWS)
+    if rows is None:
+        raise ValueError(f"more than {MAX_BROADCAST_ROWS} centres")
     ids = {r[key]: r["cluster"] for r in rows}
-    data = samples.filter(F.col(key).isin(list(ids))).select(key, payload).collect()
+    wanted = samples.join(F.broadcast(few), key, "left_semi").select(key, payload)
+    data = bounded_rows(wanted, MAX_BROADCAST_ROWS, payload_bytes(wanted, payload))
+    if data is None:
+        raise ValueError("the centres' payloads are too large to travel with the tasks")
     ready = sorted(((ids[r[key]], r[key], k.prepare(r[payload])) for r in data), key=lambda c: c[0])
 
     @F.pandas_udf("cluster int, center_distance double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pagesim.fixed_values import STRUCTURE_FEATURES
+
 from .standins import K, MINIMAL_DOM, SMALL_DOM
 
 ORACLE: dict[str, str] = {}
@@ -441,6 +443,36 @@ ORACLE["detect_tag_jaccard"] = sql(*JUDGED, CHECKS, FEED_RAW, FEED, DETECTED, se
 ORACLE["detect_parse_first_tag_jaccard"] = ORACLE["detect_tag_jaccard"]
 ORACLE["detect_carried_pages_tag_jaccard"] = ORACLE["detect_tag_jaccard"]
 ORACLE["detect_stream"] = ORACLE["detect_tag_jaccard"]
+ORACLE["classify_resources_tag_jaccard"] = sql(MDOMS, PROTOS, RESOURCES, """s AS (SELECT page_id, array_to_string(list_sort(list_distinct([
+    bare || '/js/app' || i || '.js', 'https://cdn.' || host || '/s.css',
+    replace('www.' || host, 'www.', '') || '/i/' || i || '.png', bare || '/bg/' || host || '.gif',
+    'ads.example.org', 'frame.example.net/x', bare || '/v.mp4'])), ' ') AS signature FROM r)""", """classified AS MATERIALIZED (
+  SELECT d.page_id, d.url, s.signature AS payload, 0 AS dom_length, strlen(s.signature) AS resource_sig_length,
+    'resource-signature' AS detection_mode FROM doms d JOIN s USING (page_id))""", scores("payload", "classified"), VERDICTS,
+                                               select="SELECT * EXCLUDE (url, dom_length, reason) FROM verdicts")
+ORACLE["classify_ncd_rules"] = sql(MDOMS, CLASSIFIED, select="""
+SELECT page_id, true AS ordered, true AS follows, detection_mode, strlen(payload) AS dom_size FROM classified""")
+ORACLE["prototype_distances_ncd_rules"] = sql(MDOMS, BIG, select=f"""
+SELECT d.page_id, p.label, p.i AS prototype_index, true AS in_range
+FROM doms d CROSS JOIN (SELECT label, unnest(range(1, least({K}, count(*)) + 1)) AS i FROM big GROUP BY label) p""")
+ORACLE["build_prototypes_ncd_rules"] = sql(MDOMS, BIG, select=f"""
+SELECT label, label || '_prototype_' || lpad(i::VARCHAR, 2, '0') AS name, true AS sized
+FROM (SELECT label, unnest(range(1, least({K}, count(*)) + 1)) AS i FROM big GROUP BY label)""")
+ORACLE["nearest_sample_ncd_rules"] = "SELECT page_id, true AS follows, true AS in_range FROM pages"
+ORACLE["cluster_samples_ncd_rules"] = f"SELECT count(*) AS samples, true AS all_named, true AS ordered FROM pages WHERE {LABEL} = 'phish'"
+ORACLE["page_features_ncd_rules"] = "SELECT page_id, true AS best, true AS ordered, 1.0::DOUBLE AS absent_set FROM pages"
+ORACLE["tune_threshold_ncd_rules"] = sql(MDOMS, BIG, select=f"""
+SELECT (least({K}, count(*) FILTER (label = 'legit')) * least({K}, count(*) FILTER (label = 'phish')))::BIGINT AS lp_comparisons,
+  true AS middle, true AS separates, true AS ordered FROM big""")
+ORACLE["detect_ncd_rules"] = sql(CHECKS, FEED_RAW, FEED, select="""
+SELECT event_id, CASE WHEN phish_id IS NULL THEN 'ncd' ELSE 'signature-local' END AS source, phish_id,
+  CASE WHEN phish_id IS NOT NULL THEN 'phish' END AS by_feed, true AS decided FROM checks LEFT JOIN feed USING (url)""")
+ORACLE["detect_default_ids"] = sql(CHECKS, FEED_RAW, FEED, select="""
+SELECT CASE WHEN phish_id IS NULL THEN 'ncd' ELSE 'signature-local' END AS source, count(*) AS checks,
+  count(*) FILTER (phish_id IS NULL) AS ids FROM checks LEFT JOIN feed USING (url) GROUP BY 1""")
+ORACLE["detect_features_tag_jaccard"] = sql(EVENTS, NESTING, STRUCTURE, CHECKS, FEED_RAW, FEED, select="""
+SELECT c.event_id, """ + ", ".join(f"CASE WHEN f.phish_id IS NULL THEN x.{c} END AS {c}" for c in STRUCTURE_FEATURES) + """
+FROM checks c LEFT JOIN feed f USING (url) JOIN pages p USING (url) JOIN structure x ON x.page_id = p.page_id""")
 ORACLE["redetect_tag_jaccard"] = sql(*JUDGED, CHECKS, FEED_RAW, FEED.replace("feed AS", "first_feed AS"), """
 feed AS (SELECT url, min(phish_id) AS phish_id, any_value(submission_time) AS submission_time, any_value(target) AS target FROM (
   SELECT phish_id, url, submission_time, target FROM first_feed WHERE NOT contains(url, 'blog.')
@@ -476,6 +508,8 @@ ORACLE["scale_features"] = sql(EVENTS, NESTING, STRUCTURE, select="SELECT page_i
 SAMPLES = """samples AS (
   SELECT d.doc_id, d.source || '/' || d.doc_id AS url, CASE WHEN l.quality = 0 THEN 'phish' ELSE 'legit' END AS label, d.text
   FROM documents d JOIN labels l USING (doc_id))"""
+ORACLE["fpf_select_documents_ncd_rules"] = sql(SAMPLES, select="""
+SELECT label, unnest(range(1, least(5, count(*)) + 1)) AS prototype_index, true AS falls FROM samples GROUP BY label""")
 ORACLE["balanced_weights"] = sql(SAMPLES, select="""
 SELECT doc_id, round(count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY label)), 6) AS weight FROM samples""")
 ORACLE["stratified_split"] = sql(SAMPLES, select="""
@@ -580,6 +614,13 @@ SELECT event_id, url, phish_id IS NOT NULL AS in_database, phish_id, '{DETAIL}'
 ORACLE["page_tokens_sql"] = sql(DOMS, select="""
 SELECT page_id, (i - 1)::INTEGER AS position, string_split(dom, ' ')[i] AS tag FROM (
   SELECT page_id, dom, unnest(range(1, len(string_split(dom, ' ')) + 1)) AS i FROM doms) WHERE dom <> ''""")
+ORACLE["detect_enriched_tag_jaccard"] = sql(*JUDGED, CHECKS, FEED_RAW, FEED, DETECTED, rf"""
+facts AS (SELECT url, {HOST} AS host, regexp_replace({HOST}, '^www\.', '') AS domain, {ISSUER} AS issuer FROM pages)""", select="""
+SELECT d.event_id, d.classification, d.source,
+  CASE WHEN d.phish_id IS NULL THEN CASE WHEN domain LIKE '%.org' THEN 'unknown' ELSE 'R' || upper(left(domain, 1)) END END AS registrar,
+  CASE WHEN d.phish_id IS NULL THEN issuer END AS ssl_issuer FROM detected d JOIN facts USING (url)""")
+ORACLE["saved_models"] = """SELECT k.kind, count(*) AS pages, true AS same, true AS sums, true AS follows
+FROM pages CROSS JOIN (VALUES ('logistic_regression'), ('random_forest')) k(kind) GROUP BY k.kind"""
 ORACLE["metrics_stream"] = sql(CHECKS, FEED_RAW, FEED, select="""
 SELECT CASE WHEN phish_id IS NOT NULL THEN 'signature-local' ELSE 'ncd' END AS source, count(*) AS detections
 FROM checks LEFT JOIN feed USING (url) GROUP BY 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagesim import schemas
@@ -214,7 +214,7 @@ def replace_signatures_pk_only(spark, sf):
 
 @query
 def signature_lookup(spark, sf):
-    return G.signature_lookup(I.url_checks(spark, sf), I.feed(spark, sf)).drop("ts", "lookup_error")
+    return G.signature_lookup(I.url_checks(spark, sf), I.feed(spark, sf), unique=True).drop("ts", "lookup_error")
 
 
 @query
@@ -584,9 +584,117 @@ def classify_ncd(spark, sf):
     return classify_pages(I.pages(spark, sf), I.prototypes(spark, sf), **DETECT).select("page_id", *SCORES, *VERDICT)
 
 
+@query
+def classify_resources_tag_jaccard(spark, sf):
+    """Pages with resources, judged by their resource signatures."""
+    out = classify_pages(I.resource_pages(spark, sf), I.prototypes(spark, sf, "tag_jaccard"), small_dom_threshold=1 << 20,
+                         minimal_threshold=I.MINIMAL_DOM, **JACCARD)
+    return out.select("page_id", *SCORES, *[c for c in VERDICT if c != "dom_length"])
+
+
+# What SQL can say of answers that rest on compression.
+
+@query
+def classify_ncd_rules(spark, sf):
+    """The verdict follows from the scores, and no minimum is above its mean."""
+    out = classify_pages(I.pages(spark, sf), I.prototypes(spark, sf), **DETECT)
+    adjusted = F.col("legit_min") + F.when(F.col("minimal_dom_adjustment_applied"), 0.05).otherwise(0.0)
+    gap = F.col("phish_min") - adjusted
+    return out.select("page_id", ((F.col("phish_min") <= F.col("phish_avg")) & (F.col("legit_min") <= F.col("legit_avg"))).alias("ordered"),
+                      F.when(F.col("verdict") == "phish", gap < 2e-4).otherwise(gap > -2e-4).alias("follows"), "detection_mode", "dom_size")
+
+
+@query
+def prototype_distances_ncd_rules(spark, sf):
+    d = D.prototype_distances(I.labelled_doms(spark, sf), I.prototypes(spark, sf))
+    return d.select("page_id", "label", F.col("prototype_index").cast("bigint").alias("prototype_index"),
+                    F.col("distance").between(0.0, 1.2).alias("in_range"))
+
+
+@query
+def fpf_select_documents_ncd_rules(spark, sf):
+    """Indices 1 to k of every class; covers fall."""
+    out = P.fpf_select(I.samples(spark, sf), 5, by="label")
+    before = Window.partitionBy("label").orderBy("prototype_index")
+    falls = F.coalesce(F.col("cover_distance") <= F.lag("cover_distance").over(before) + 0.2, F.lit(True))
+    return out.select("label", F.col("prototype_index").cast("bigint").alias("prototype_index"), falls.alias("falls"))
+
+
+@query
+def build_prototypes_ncd_rules(spark, sf):
+    out = I.prototypes(spark, sf).select("label", "name", (F.octet_length("dom") == F.col("size")).alias("sized"))
+    return out
+
+
+@query
+def nearest_sample_ncd_rules(spark, sf):
+    """Every page of both classes against the whole labelled set but itself; the label follows from the distance."""
+    doms = I.labelled_doms(spark, sf)
+    out = S.nearest_sample(doms.drop("label", "url"), doms, exclude_self=True)
+    labels = doms.select(F.col("url").alias("closest_sample"), F.col("label").alias("theirs")).dropDuplicates(["closest_sample"])
+    out = out.join(labels, "closest_sample", "left")
+    follows = F.when(F.col("ncd") > 0.48, F.col("classification") == "phish").otherwise(F.col("classification") == F.col("theirs"))
+    return out.select("page_id", follows.alias("follows"), F.col("ncd").between(0.0, 1.2).alias("in_range"))
+
+
+@query
+def cluster_samples_ncd_rules(spark, sf):
+    phish = I.labelled_doms(spark, sf).filter("label = 'phish'")
+    assigned, centres, report = P.cluster_samples(phish)
+    return report.agg(F.sum("size").alias("samples"), (F.count("*") == F.max("cluster")).alias("all_named"),
+                      (F.min("min_distance") <= F.max("max_distance")).alias("ordered"))
+
+
+@query
+def page_features_ncd_rules(spark, sf):
+    out = X.page_features(I.pages(spark, sf), I.cluster_prototypes(spark, sf))
+    best = F.least("ncd_phish_cluster_1_min", "ncd_phish_cluster_2_min", "ncd_phish_cluster_3_min")
+    return out.select("page_id", (F.col("ncd_phish_best") == best).alias("best"), (F.col("ncd_legit_min") <= F.col("ncd_legit_avg") + 1e-9).alias("ordered"),
+                      F.col("ncd_phish_cluster_3_min").alias("absent_set"))
+
+
+@query
+def tune_threshold_ncd_rules(spark, sf):
+    protos = I.prototypes(spark, sf)
+    out = T.tune_threshold(protos.filter("label = 'legit'"), protos.filter("label = 'phish'"))
+    middle = F.abs(F.col("suggested_threshold") - (F.col("ll_max") + F.col("lp_min")) / 2) < 1e-9
+    return out.select("lp_comparisons", middle.alias("middle"), (F.col("separated") == (F.col("lower_bound") < F.col("upper_bound"))).alias("separates"),
+                      ((F.col("ll_min") <= F.col("ll_avg")) & (F.col("lp_avg") <= F.col("lp_max"))).alias("ordered"))
+
+
+@query
+def detect_ncd_rules(spark, sf):
+    """What the feed decides, by value; the rest is judged."""
+    out = _detect(spark, sf, "ncd")
+    return out.select("event_id", "source", "phish_id", F.when(F.col("phish_id").isNotNull(), F.col("classification")).alias("by_feed"),
+                      F.col("classification").isin("phish", "legit").alias("decided"))
+
+
+@query
+def detect_default_ids(spark, sf):
+    """Without a given id every similarity answer has one of its own, and no other answer has any."""
+    out = detect(I.url_checks(spark, sf).drop("ts"), I.pages(spark, sf).drop("page_id"), I.feed(spark, sf),
+                 I.prototypes(spark, sf, "tag_jaccard"), **JACCARD, **DETECT)
+    return out.groupBy("source").agg(F.count("*").alias("checks"), F.countDistinct("detection_id").alias("ids"))
+
+
+@query
+def detect_enriched_tag_jaccard(spark, sf):
+    snaps, as_of = I.snapshots(spark, sf), F.to_timestamp(F.lit("2024-06-01 12:00:00"))
+    out = _detect(spark, sf, "tag_jaccard", enrich=lambda a: E.enrich_domain(a, **snaps, as_of=as_of))
+    return out.select("event_id", "classification", "source", "registrar", "ssl_issuer")
+
+
+@query
+def detect_features_tag_jaccard(spark, sf):
+    """The features that go with a similarity answer."""
+    out = _detect(spark, sf, "tag_jaccard", cluster_protos=I.cluster_prototypes(spark, sf, "tag_jaccard"))
+    return out.select("event_id", *[F.round(f"features.{f}", 6).alias(f) for f in STRUCTURE_FEATURES])
+
+
 def _detect(spark, sf, distance, **options):
     return detect(I.url_checks(spark, sf).drop("ts"), I.pages(spark, sf).drop("page_id"), I.feed(spark, sf),
-                  I.prototypes(spark, sf, distance), distance=distance, detection_id=F.col("event_id"),
+                  I.prototypes(spark, sf, distance), distance=distance, detection_id=F.col("event_id"), unique_feed=True,
                   **DETECT, **options)
 
 
@@ -760,6 +868,24 @@ def train_forest(spark, sf):
     return _trained(spark, sf, M.FOREST)
 
 
+@query
+def saved_models(spark, sf):
+    """Both kinds: a loaded model predicts as the one that was saved, probabilities sum to one, labels follow them."""
+    features, out = materialize(_structure(spark, sf), "features"), None
+    for kind in (M.LOGISTIC, M.FOREST):
+        model, path = M.create_model(kind), scratch_path(spark, "model")
+        model.train(features)
+        model.save(path)
+        mine = model.predict(features).select("page_id", F.col("ml_probability").alias("before"))
+        both = M.PageModel.load(path).predict(features).join(mine, "page_id")
+        p = F.col("ml_probability")
+        row = both.agg(F.count("*").alias("pages"), F.bool_and(p == F.col("before")).alias("same"),
+                       F.bool_and(F.abs(p + F.col("ml_legit_probability") - 1) < 1e-9).alias("sums"),
+                       F.bool_and((F.col("ml_label") == "phish") == (p > 0.5)).alias("follows")).withColumn("kind", F.lit(kind))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def train_and_evaluate(spark, sf):
     return train_pipeline(I.pages(spark, sf).withColumn("label", I.page_label()), I.cluster_prototypes(spark, sf))[2]
