@@ -117,7 +117,7 @@ def pieces(word: bytes) -> set[bytes]:
 def _in_contexts(sample: DataFrame) -> DataFrame:
     """(word, toxic, all): in how many different contexts each word stands, and in how many of toxic documents."""
     def contexts(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):  # each word becomes a row
             rows = set()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 w = words_of(text)
