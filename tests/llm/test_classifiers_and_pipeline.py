@@ -220,4 +220,4 @@ def test_stages_of_awkward_rows(spark, awkward, documents, tmp_path):
 
 def test_the_pipeline_is_registered(spark):
     assert QUERIES["pipeline"] is corpus_pipeline.run
-    assert [n.split("_")[0] for n in QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 14)]
