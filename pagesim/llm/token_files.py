@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagesim.llm.text import slices
 from pagesim.llm.tokens import crc_of_ids, encoder
-from pagesim.session import materialize, scratch_path
+from pagesim.session import materialize, qualified, scratch_path
 
 NO_KEY = np.iinfo(np.int64).min
 LEVEL_GAMMA, MAX_LEVELS = 2.0, 40
@@ -193,7 +193,10 @@ class TokenStore:
         """The ids of every record of the key; an empty list for a key that is not there."""
         out = []
         for k in range(int(np.searchsorted(self.last, key)), int(np.searchsorted(self.first, key, "right"))):
-            shard = self.open.setdefault(self.rows[k]["file"], Shard(self.folder, self.rows[k]["file"]))
+            file = self.rows[k]["file"]
+            if file not in self.open:
+                self.open[file] = Shard(self.folder, file)
+            shard = self.open[file]
             first, number = shard.locate(np.array([key]))
             for ids in shard.records(np.arange(first[0], first[0] + number[0])):
                 if shard.keys[first[0]] == key:
@@ -235,14 +238,14 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 shard = Shard(folder, row["file"])
                 keys = shard.keys
-                first, number = shard.locate(keys)
                 known = keys != NO_KEY
-                if not (np.all(number[known] > 0) and np.all(keys[first[known]] == keys[known])):
-                    raise ValueError(f"the index of {row['file']} does not find its own keys")
-                # records of one key follow one another: place within the key, from the index
-                record = np.arange(len(keys))
-                if not np.all((record[known] >= first[known]) & (record[known] < (first + number)[known])):
-                    raise ValueError(f"records of {row['file']} lie outside their key's range")
+                # every key through the index: where its records begin, and how many there are
+                own, at = np.unique(keys[known], return_index=True)
+                first, number = shard.locate(own[np.argsort(at)])
+                inside = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+                record = np.concatenate([np.flatnonzero(~known), np.repeat(first, number) + inside]).astype(np.int64)
+                if len(record) != len(keys) or not np.array_equal(np.sort(record), np.arange(len(keys))):
+                    raise ValueError(f"the index of {row['file']} does not find each of its records once")
                 out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
                 for r, ids in zip(record, shard.records(record)):
                     out["doc_id"].append(None if keys[r] == NO_KEY else int(keys[r]))
@@ -259,5 +262,5 @@ def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0,
                 folder: str | None = None) -> DataFrame:
     """Write ``docs`` as token shards and return what the files hold, one row per document."""
-    folder = folder or scratch_path(spark, "token-shards")
+    folder = qualified(spark, folder or scratch_path(spark, "token-shards"))
     return read_token_shards(write_token_shards(docs, folder, tokenizer, end_id), folder)

@@ -60,6 +60,15 @@ def test_token_store_finds_every_key_and_no_other(spark, awkward):
     folder = scratch_path(spark, "tokens")
     manifest = token_files.write_token_shards(awkward, folder, PATH, 0)
     store = token_files.TokenStore(folder, manifest.collect())
+    opened, shard = [], token_files.Shard
+    token_files.Shard = lambda *a: opened.append(a[1]) or shard(*a)
+    try:
+        for _ in range(5):
+            for key in (3, 4, 7):
+                store.get(key)
+    finally:
+        token_files.Shard = shard
+    assert len(opened) == len(set(opened))  # a shard's index is read once
     want = defaultdict(list)
     for doc, text, *_ in AWKWARD:
         want[doc].append(ids_of(text, 0))
