@@ -108,6 +108,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, gram_words: int = G
     gone = repeated_lines(plain, min_words, gram_words).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
     both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(_without(docs["text"], F.col("_gone")))
+    text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(_without(docs["text"], gone["_gone"]))
     return both.select(*(text.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c != "lines_removed"),
-                       F.coalesce(F.size("_gone"), F.lit(0)).alias("lines_removed"))
+                       F.coalesce(F.size(gone["_gone"]), F.lit(0)).alias("lines_removed"))

@@ -31,7 +31,7 @@ def documents(spark):
 def awkward(documents):
     """The awkward rows with extra columns whose names operators also use."""
     return documents(AWKWARD).withColumns({c: F.lit("x") for c in (
-        "key", "label", "size", "shard", "h", "n", "th", "part", "score", "gone", "_id", "text_hash", "first")})
+        "key", "label", "size", "shard", "h", "n", "th", "part", "score", "gone", "_gone", "_id", "_hash", "_read", "_at", "_task", "text_hash", "first", "group", "place", "digest", "shown")})
 
 
 @pytest.fixture(scope="session")
