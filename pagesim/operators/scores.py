@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..fixed_values import ERROR_NOT_FETCHED, LEGIT_SET, NEAREST_THRESHOLD, PHISH_SETS
 from ..session import materialize
-from .distances import MAX_BROADCAST_ROWS, PrototypeSet, distances_to, grid_scores, set_scores
+from .distances import MAX_BROADCAST_ROWS, PrototypeSet, distances_to, grid_scores, payload_digest, set_scores
 from .nearest import nearest
 
 
@@ -49,12 +48,6 @@ def scores_by_set(cands: DataFrame, protos: DataFrame | PrototypeSet, names: dic
         c: F.when(there, F.coalesce(c, F.lit(1.0))) for c in wide.columns if c != "_digest"})
 
 
-def payload_digest(df: DataFrame, payload: str) -> Column:
-    """A digest that equal payloads share."""
-    plain = F.col(payload) if isinstance(df.schema[payload].dataType, (T.BinaryType, T.StringType)) else F.to_json(F.struct(payload))
-    return F.sha2(plain.cast("binary"), 256)
-
-
 def class_scores(cands, protos, **options) -> DataFrame:
     """A1: distances to the phish and the legit class; an absent class scores 1.0."""
     return scores_by_set(cands, protos, {"phish": "phish", "legit": "legit"}, **options)
