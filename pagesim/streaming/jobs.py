@@ -53,7 +53,8 @@ class _KeepOnePerLifetime(StatefulProcessor):
         return (before < 0) | (times >= starts[before] + self.life)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = sorted(us for (us,) in self.kept.get()) if self.kept.exists() else []
+        kept = sorted(us for (us,) in self.kept.get())
+        timed = kept[0] if kept else None  # the state's one timer is set for the end of its first lifetime
         # no check before the watermark will come, so one from the first that is open to there answers the rest
         sure = timerValues.getCurrentWatermarkInMs() * 1000 + self.life
         held = None
@@ -75,19 +76,25 @@ class _KeepOnePerLifetime(StatefulProcessor):
                 continue
             chosen.append(position)
             kept.insert(at, moment)
-            self.handle.registerTimer((moment + self.life) // 1000 + 1)
         if len(kept) > before:
             self.kept.put([(us,) for us in kept])
+            if kept[0] != timed:
+                self._time(kept[0])
         yield held.iloc[chosen][self.columns]
 
+    def _time(self, us: int) -> None:
+        self.handle.registerTimer((us + self.life) // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The watermark has passed the end of a lifetime: nothing that comes is answered by it."""
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        live = [us for (us,) in self.kept.get() if (us + self.life) // 1000 + 1 > now] if self.kept.exists() else []
-        if live:
-            self.kept.put([(us,) for us in live])
-        else:
-            self.kept.clear()
+        """The watermark has passed the end of a lifetime: nothing that comes is answered by it, nor by any other whose
+        end it has passed. What is left gets the next timer, so a url has one at a time however many checks it keeps."""
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        kept = sorted(us for (us,) in self.kept.get())
+        live = [us for us in kept if (us + self.life) // 1000 + 1 > now]
+        if len(live) < len(kept):  # else the timer of a check before which a late one was kept
+            self.kept.put([(us,) for us in live]) if live else self.kept.clear()
+            if live:
+                self._time(live[0])
         return iter([])
 
     def close(self) -> None:
@@ -103,7 +110,7 @@ def dedupe_checks(checks: DataFrame, ttl_seconds: int = 3600, ts: str = "ts",
 
     The built-in watermark deduplication drops repeats for up to twice its delay; here a kept check answers for
     exactly its lifetime of event time, then the next one is kept. State is the times of the kept checks of a url;
-    a timer at the end of each lifetime clears it. A check that comes late, up to ``late``, is kept if no kept
+    a timer at the end of the first lifetime clears what has ended and moves on to the next. A check that comes late, up to ``late``, is kept if no kept
     check answers it, also when a later one was kept already. Within a micro-batch the checks of a url are taken
     in time order; frames are thinned as they arrive, and the trigger's rate limit bounds the rest. Needs the
     RocksDB state store, which is set for the session."""
