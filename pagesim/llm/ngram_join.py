@@ -46,6 +46,8 @@ SMALL_ROWS = 1_000_000
 #: Shingles in a chunk of a group and in a chunk of its queries.
 CHUNK = 1 << 16
 SLICE_BYTES = 1 << 20
+#: Bytes of heads that a task sorts at once; sorting takes about ten times that.
+HEADS_AT_ONCE = 4 << 20
 #: Groups of so many members are bounded member by member before whole sets move.
 SMALL_GROUP = 4
 #: How far from a common shingle, in the text, others are looked for that are common with it.
@@ -191,7 +193,7 @@ def _deal(classes: DataFrame, spark: SparkSession) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "first", "head"))):
                 waiting.append(row)
                 size += len(row[3])
-                if size > 24 << 20:
+                if size > HEADS_AT_ONCE:
                     yield packed(blocks(waiting))
                     waiting, size = [], 0
         if waiting:
