@@ -78,6 +78,8 @@ def _answer(read: DataFrame, protos, cluster_protos, model: PageModel | None, ga
     ``ncd_error``."""
     passed = [c for c in read.columns if c not in (
         "html", "classified", "parse_error", "dom_length", "detection_mode", "resource_sig_length")]
+    if cluster_protos is not None:  # by bytes, adaptive execution leaves few tasks after a join, each long to compute
+        read = read.repartition(4 * read.sparkSession.sparkContext.defaultParallelism)
     out = judge_pages(read, protos, **options)
     out = out.withColumnsRenamed({"confidence": "ncd_confidence", "error": "ncd_error"})
     if cluster_protos is None and model is None:

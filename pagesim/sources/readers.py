@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,14 +157,22 @@ def as_json_feed(feed: DataFrame) -> DataFrame:
         "target", "input_seq")
 
 
+#: Pages that one task reads, parses and measures, about.
+PAGES_PER_TASK = 2000
+
+
 def read_html_pages(spark: SparkSession, path: str, schema: T.StructType = PAGES,
                     streaming: bool = False, min_partitions: int | None = None) -> DataFrame:
     """Landed pages, as a table or as a stream of files.
 
-    Every page costs parsing and compressions, so a batch scan of few splits is spread first."""
+    Every page costs parsing and compressions, some hundredths of a second where it is measured against prototypes, so a
+    batch scan is spread first: a split of many megabytes would be one long task. The count is read off the files."""
     if streaming:
         return spark.readStream.schema(schema).parquet(path)
-    return at_least_partitions(spark.read.schema(schema).parquet(path), min_partitions)
+    scan = spark.read.schema(schema).parquet(path)
+    if min_partitions is None:
+        min_partitions = max(spark.sparkContext.defaultParallelism, math.ceil(scan.count() / PAGES_PER_TASK))
+    return at_least_partitions(scan, min_partitions)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
