@@ -64,6 +64,7 @@ def test_rows_are_measured_together(monkeypatch):
     monkeypatch.setattr(ncd, "pair", lambda a, b: calls.append(1) or pair(a, b))
     P._from_centre(ncd, [0, 1, 8, 9], [DOMS[0]] * 4, 5, ncd.prepare(DOMS[1]))
     assert len(calls) == 2  # before the centre and behind it
+    assert np.isnan(P._from_centre(l2, [0, 1], points[:2], 9, None)).all()
 
 
 class _Handle:
