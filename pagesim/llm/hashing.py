@@ -8,17 +8,18 @@ _RANDOM = np.random.default_rng(20_240_601)
 _BYTES = _RANDOM.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BLOCK = 1 << 16
 
 
-def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for positions 0 to n."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((_BASE, _BACK)):
-            steps = np.full(n + 1, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the base modulo 2**64."""
+    steps = np.full(n, base % (1 << 64), np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+#: Powers of the base and of its inverse within a block; any other is one of these times a power of a whole block's.
+_WITHIN, _BACK_WITHIN = _powers(_BASE, _BLOCK), _powers(_BACK, _BLOCK)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,10 +32,15 @@ class ByteSums:
     """Running sums from which the hash of any part of a byte string is a difference."""
 
     def __init__(self, data: np.ndarray):
-        power, self.back = _powers_for(len(data))
+        blocks = len(data) // _BLOCK + 1
+        self.back = _powers(pow(_BACK, _BLOCK, 1 << 64), blocks)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * power[:len(data)], out=self.sums[1:])
+        for k, power in enumerate(_powers(pow(_BASE, _BLOCK, 1 << 64), blocks)):
+            part = data[k * _BLOCK:(k + 1) * _BLOCK]
+            self.sums[1 + k * _BLOCK:][:len(part)] = _BYTES[part] * (_WITHIN[:len(part)] * power)
+        np.cumsum(self.sums, out=self.sums)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Equal parts have equal hashes, wherever they lie."""
-        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
+        back = _BACK_WITHIN[starts % _BLOCK] * self.back[starts // _BLOCK]
+        return mix((self.sums[ends] - self.sums[starts]) * back)

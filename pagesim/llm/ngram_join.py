@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pagesim.llm.hashing import ByteSums, mix
 from pagesim.llm.text import SPACES, narrow, slices
 from pagesim.llm.tokens import release_encoders
-from pagesim.session import materialize
+from pagesim.session import arrow_batches, materialize
 
 WORDS, PERCENT = 5, 75
 #: A shingle met by more groups or classes than this is moved to the end of the order.
@@ -45,9 +45,14 @@ MAX_MOVED = 2_000_000
 SMALL_ROWS = 1_000_000
 #: Shingles in a chunk of a group and in a chunk of its queries.
 CHUNK = 1 << 16
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are cut into shingles at once (hashing takes some 50 times that), and of an Arrow batch.
+SLICE_BYTES, ARROW_BYTES = 1 << 18, 1 << 20
 #: Bytes of heads that a task sorts at once; sorting takes about ten times that.
 HEADS_AT_ONCE = 4 << 20
+#: Size comparisons at once where classes meet, and most rows of a batch of small rows.
+COMPARED_AT_ONCE, MET_ROWS = 1 << 18, 10_000
+#: Shingles near common ones that are counted at once.
+NEAR_AT_ONCE = 1 << 19
 #: Groups of so many members are bounded member by member before whole sets move.
 SMALL_GROUP = 4
 #: How far from a common shingle, in the text, others are looked for that are common with it.
@@ -167,35 +172,33 @@ def _deal(classes: DataFrame, spark: SparkSession) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     places = _places(spark, parts)
 
-    def blocks(rows):
-        keys, sizes, firsts = b"".join(r[0] for r in rows), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int64)
-        heads = [np.frombuffer(r[3], np.uint64) for r in rows]
-        tokens = np.concatenate(heads)
-        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(h) for h in heads])
-        part = (mix(tokens) % np.uint64(parts)).astype(np.int64)
+    def blocks(waiting):
+        keys, sizes, firsts, lengths, tokens = (np.concatenate(x) for x in zip(*waiting))
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), lengths)
+        part = (mix(tokens) % np.uint64(parts)).astype(np.min_scalar_type(parts))
         order = np.argsort(part, kind="stable")
-        tokens, owner, part = tokens[order], owner[order], part[order]
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        key16 = np.frombuffer(keys, "V16")
+        tokens, owner = tokens[order], owner[order]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
         out = []
-        for p in range(parts):
+        for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             a, b = cuts[p], cuts[p + 1]
-            if a < b:
-                own, inside = np.unique(owner[a:b], return_inverse=True)
-                count = np.bincount(inside)
-                out.append((int(places[p]), key16[own].tobytes(), sizes[own].tobytes(), firsts[own].tobytes(),
-                            count.astype("<u4").tobytes(), tokens[a:b].tobytes()))
+            begin = np.flatnonzero(np.concatenate([[True], owner[a + 1:b] != owner[a:b - 1]]))
+            own, count = owner[a:b][begin], np.diff(np.append(begin, b - a))
+            out.append((int(places[p]), keys[own].tobytes(), sizes[own].tobytes(), firsts[own].tobytes(),
+                        count.astype("<u4").tobytes(), tokens[a:b].tobytes()))
         return out
 
     def deal(batches):
-        waiting, size = [], 0
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "first", "head"))):
-                waiting.append(row)
-                size += len(row[3])
-                if size > HEADS_AT_ONCE:
-                    yield packed(blocks(waiting))
-                    waiting, size = [], 0
+        waiting, held = [], 0
+        for batch in slices(batches, "head", HEADS_AT_ONCE):
+            heads = batch.column("head").to_pylist()
+            waiting.append((np.frombuffer(b"".join(batch.column("key").to_pylist()), "V16"),
+                            np.array(batch.column("n"), np.int32), np.array(batch.column("first"), np.int64),
+                            np.array([len(h) // 8 for h in heads], np.int64), np.frombuffer(b"".join(heads), np.uint64)))
+            held += waiting[-1][-1].nbytes
+            if held > HEADS_AT_ONCE:
+                yield packed(blocks(waiting))
+                waiting, held = [], 0
         if waiting:
             yield packed(blocks(waiting))
 
@@ -216,40 +219,53 @@ def _meet(dealt: DataFrame, moved: np.ndarray, fresh: np.ndarray | None = None)
     schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("hot", pa.int64()), ("number", pa.int64())])
 
     def meet(batches):
-        keys, sizes, firsts, tokens = [], [], [], []
+        cells = [[], [], [], [], []]
         for batch in batches:
-            for row in batch.to_pylist():
-                count = np.frombuffer(row["counts"], "<u4")
-                keys.append(np.repeat(np.frombuffer(row["keys"], "V16"), count))
-                sizes.append(np.repeat(np.frombuffer(row["sizes"], np.int32), count))
-                firsts.append(np.repeat(np.frombuffer(row["firsts"], np.int64), count))
-                tokens.append(np.frombuffer(row["tokens"], np.uint64))
-        if not keys:
+            for out, name, kind in zip(cells, ("keys", "sizes", "firsts", "counts", "tokens"), ("V16", np.int32, np.int64, "<u4", np.uint64)):
+                out.extend(np.frombuffer(cell.as_buffer(), kind) for cell in batch.column(name))
+        if not cells[0]:
             return
-        key, size, first, token = map(np.concatenate, (keys, sizes, firsts, tokens))
-        order = np.argsort(token, kind="stable")
-        key, size, first, token = key[order], size[order], first[order], token[order]
+        key, size, first, count, token = (np.concatenate(cells.pop(0)) for _ in range(5))
+        # classes are numbered by their keys: of two, the one with the greater number asks
+        order = np.lexsort(key.view(">u8").astype(np.uint64).reshape(-1, 2).T[::-1])
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        owner = np.repeat(number, count)
+        key, size = key[order], size[order].astype(np.int64)
+        groups, group = np.unique(first[order], return_inverse=True)
+        order = np.lexsort((owner, token))
+        token, owner = token[order], owner[order]
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        end = np.append(begin[1:], len(token))
-        pairs, hot = set(), []
-        late = set() if not len(moved) else set(np.intersect1d(token[begin], moved).tolist())
-        taken = set() if fresh is None else set(np.intersect1d(token[begin], fresh).tolist())
-        for a, b in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist()):
-            groups = np.unique(first[a:b])
-            common = (len(groups) > COMMON_GROUPS or b - a > COMMON_CLASSES) and token[a] not in late and len(moved) < MAX_MOVED
-            if fresh is not None and (not common or token[a] in taken):
-                continue
-            if fresh is None and common:
-                hot.append((None, None, _signed(token[a]), b - a))
-                continue
-            _candidates(key[a:b], size[a:b], first[a:b], groups, pairs)
-        rows = sorted(pairs)
-        for at in range(0, len(rows), 100_000):
-            some = rows[at:at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.binary()), pa.array([r[1] for r in some], pa.int64()),
-                                              pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], schema=schema)
-        if hot:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hot), schema)], schema=schema)
+        length = np.diff(np.append(begin, len(token)))
+        begin, length = begin[length > 1], length[length > 1]
+        token = token[begin]
+        common = length > COMMON_CLASSES
+        for n in range(COMMON_GROUPS + 1, COMMON_CLASSES + 1):
+            at = np.flatnonzero(length == n)
+            there = np.sort(group[owner[begin[at][:, None] + np.arange(n)]], axis=1)
+            common[at] = (there[:, 1:] != there[:, :-1]).sum(axis=1) >= COMMON_GROUPS
+        if len(moved) >= MAX_MOVED:
+            common[:] = False
+        elif len(moved):
+            common &= ~_among(token, moved)
+        asked = ~common if fresh is None else common & ~_among(token, fresh)
+        codes, held = [], 0
+        for met in _candidates(begin[asked], length[asked], owner, size, group):
+            codes.append(met[0] * len(groups) + met[1])
+            held += len(codes[-1])
+            if held > 1 << 20:
+                codes = [np.unique(np.concatenate(codes))]
+                held = len(codes[0]) // 2
+        codes = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
+        for at in range(0, len(codes), MET_ROWS):
+            asks, told = np.divmod(codes[at:at + MET_ROWS], len(groups))
+            yield pa.RecordBatch.from_arrays([pa.array(key[asks].tolist(), pa.binary()), pa.array(groups[told], pa.int64()),
+                                              pa.nulls(len(asks), pa.int64()), pa.nulls(len(asks), pa.int64())], schema=schema)
+        hot, number = (token[common].view(np.int64), length[common]) if fresh is None else (token[:0], length[:0])
+        for at in range(0, len(hot), MET_ROWS):
+            some = hot[at:at + MET_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int64()),
+                                              pa.array(number[at:at + MET_ROWS], pa.int64())], schema=schema)
 
     return dealt.mapInArrow(meet, "key binary, first long, hot long, number long")
 
@@ -262,7 +278,7 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def _holding(classes: DataFrame, fresh: np.ndarray) -> DataFrame:
     """The keys of the classes whose heads hold one of these shingles."""
     def hold(batches):
-        for batch in batches:
+        for batch in slices(batches, "head", SLICE_BYTES):
             heads = [np.frombuffer(h, np.uint64) for h in batch.column("head").to_pylist()]
             if heads:
                 owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
@@ -273,20 +289,30 @@ def _holding(classes: DataFrame, fresh: np.ndarray) -> DataFrame:
     return classes.select("key", "head").mapInArrow(hold, "key binary").distinct()
 
 
-def _candidates(key, size, first, groups, pairs: set) -> None:
-    """Add (class, group) for each class and each group that has a class of fitting size and lesser key
-    here: of two classes the one with the greater key asks."""
-    names = key.tolist()
-    place = np.empty(len(names), np.int64)
-    place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-    by = np.argsort(first, kind="stable")
-    told, before = size[by].astype(np.int64)[None, :], place[by][None, :]
-    starts = np.searchsorted(first[by], groups)
-    for at in range(0, len(names), 256):
-        asks, own = size[at:at + 256, None].astype(np.int64), place[at:at + 256, None]
-        fits = (100 * told >= PERCENT * asks) & (100 * asks >= PERCENT * told) & (before < own)
-        rows, columns = np.nonzero(np.logical_or.reduceat(fits, starts, axis=1))
-        pairs.update(zip([names[at + r] for r in rows.tolist()], groups[columns].tolist()))
+def _candidates(begin, length, owner, size, group):
+    """Yields (classes, groups): each class and each group that has a class of fitting size and lesser number
+    in the same shingle, often repeated. A shingle's classes stand in ``owner`` from ``begin``, ascending."""
+    for n in np.unique(length).tolist():
+        at = begin[length == n]
+        if n <= 16:  # shingles met by equally many are compared at once, one pair of places after another
+            for k in range(0, len(at), COMPARED_AT_ONCE // n):
+                own = owner[at[k:k + COMPARED_AT_ONCE // n, None] + np.arange(n)].T
+                sizes, groups = size[own], group[own]
+                for i in range(1, n):
+                    for j in range(i):
+                        fits = (100 * sizes[j] >= PERCENT * sizes[i]) & (100 * sizes[i] >= PERCENT * sizes[j])
+                        yield own[i][fits].astype(np.int64), groups[j][fits]
+            continue
+        step = max(1, COMPARED_AT_ONCE // n)
+        for own in (owner[a:a + n] for a in at.tolist()):
+            by = np.argsort(group[own], kind="stable")
+            told, groups = size[own][by], group[own][by]
+            starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+            for k in range(0, n, step):
+                asks, place = size[own[k:k + step], None], np.arange(k, min(n, k + step))[:, None]
+                fits = (100 * told >= PERCENT * asks) & (100 * asks >= PERCENT * told) & (by < place)
+                rows, columns = np.nonzero(np.logical_or.reduceat(fits, starts, axis=1))
+                yield own[k + rows].astype(np.int64), groups[starts][columns]
 
 
 def _near(docs: DataFrame, wanted: DataFrame, keep: str | None = None) -> DataFrame:
@@ -328,9 +354,14 @@ def candidates(docs: DataFrame, sets: DataFrame, moved: np.ndarray) -> DataFrame
 def _spread(docs: DataFrame, fresh: np.ndarray, limit: int) -> np.ndarray:
     """Shingles that stand near the fresh common ones in more than ``COMMON_CLASSES`` of these documents:
     mostly the rest of the same common passage, which would else take a round for each part."""
+    def counted(found):  # what is common stands here more than once
+        own, number = np.unique(np.concatenate(found), return_counts=True)
+        own, number = own[number > 1], number[number > 1]
+        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(number)], names=["h", "n"])
+
     def around(batches):
-        for batch in slices(batches):
-            found = []
+        found, held = [], 0
+        for batch in slices(batches, limit=SLICE_BYTES):
             for hashes in shingle_runs(batch.column("text").to_pylist()):
                 at = np.flatnonzero(_among(hashes, fresh))
                 if len(at):
@@ -338,10 +369,12 @@ def _spread(docs: DataFrame, fresh: np.ndarray, limit: int) -> np.ndarray:
                     np.add.at(near, np.maximum(at - REACH, 0), 1)
                     np.add.at(near, np.minimum(at + REACH + 1, len(hashes)), -1)
                     found.append(np.unique(hashes[np.cumsum(near)[:-1] > 0]))
-            if found:  # what is common stands here more than once
-                own, number = np.unique(np.concatenate(found), return_counts=True)
-                own, number = own[number > 1], number[number > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(number)], names=["h", "n"])
+                    held += len(found[-1])
+            if held > NEAR_AT_ONCE:
+                yield counted(found)
+                found, held = [], 0
+        if found:
+            yield counted(found)
 
     rows = (docs.select("text").mapInArrow(around, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
             .where(F.col("n") > COMMON_CLASSES).orderBy(F.col("n").desc(), "h").limit(max(0, limit)).select("h").collect())
@@ -361,7 +394,7 @@ def _bounded(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                                           & (100 * F.col("m") >= PERCENT * F.col("n")))
 
     def bound(batches):
-        for batch in batches:
+        for batch in slices(batches, "mine", SLICE_BYTES):
             fits = [may_link(np.frombuffer(a, np.uint8), n, np.frombuffer(b, np.uint8), m) for a, n, b, m in zip(
                 *(batch.column(c).to_pylist() for c in ("mine", "m", "bitmap", "n")))]
             kept = batch.filter(pa.array(fits, pa.bool_()))
@@ -399,12 +432,17 @@ def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     def shingle(batches):
         release_encoders()
         for batch in slices(batches, limit=SLICE_BYTES):
-            sets_ = shingle_sets(batch.column("text").to_pylist())
-            rows = [(t["first"], t["part"], t["round"], t["side"], key, blob)
-                    for own, to in zip(sets_, batch.column("to").to_pylist())
-                    for key, blob in ((set_key(own), own.tobytes()),) for t in to]
-            for at in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at:at + 512]), schema)], schema=schema)
+            rows, held = [], 0
+            for own, to in zip(shingle_sets(batch.column("text").to_pylist()), batch.column("to")):
+                key, blob = set_key(own), own.tobytes()
+                for t in to.as_py():
+                    rows.append((t["first"], t["part"], t["round"], t["side"], key, blob))
+                    held += len(blob)
+                    if held > ARROW_BYTES or len(rows) == MET_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (_near(docs, there, keep="to").select("text", "to")
@@ -414,7 +452,7 @@ def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def compare(batches):
         state = _Group()
-        for batch in batches:
+        for batch in slices(batches, "own", ARROW_BYTES):
             for first, part, round_, side, key, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if state.name != (first, part, round_):
                     if out := state.edges():
@@ -497,11 +535,12 @@ def components(edges: DataFrame) -> DataFrame:
 def join_similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document row, with ``th``, the hash of its text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    moved = common_shingles(docs)
-    sets = materialize(document_sets(docs, moved), "document-sets")
-    pairs = materialize(candidates(docs, sets, moved), "group-candidates")
-    pairs = materialize(_bounded(sets, pairs), "group-bounded")
-    found = components(links(docs, sets, pairs))
+    with arrow_batches(docs.sparkSession, ARROW_BYTES):
+        moved = common_shingles(docs)
+        sets = materialize(document_sets(docs, moved), "document-sets")
+        pairs = materialize(candidates(docs, sets, moved), "group-candidates")
+        pairs = materialize(_bounded(sets, pairs), "group-bounded")
+        found = components(links(docs, sets, pairs))
     named = sets.select("doc_id", "th", "n", "key").join(found.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
     named = named.withColumn("part", F.coalesce("root", "key"))
     least = named.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
