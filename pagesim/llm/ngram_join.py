@@ -5,19 +5,23 @@ fewer words its whole word sequence is the one shingle; without words or text th
 links with nothing. Documents link when 100 * intersection >= 75 * union.
 
 1. Equal sets are one class from here on; their number does not matter.
-2. Classes with the same least shingle hash are one group of the matrix: similar sets mostly share it.
-3. Of any two linked sets, the first n - ceil(3n/4) + 1 shingles in any common order meet. These heads
-   are dealt by shingle; a shingle met by few groups gives (class, group) candidates. A shingle met
-   by many groups says nothing about likeness: it moves to the end of the order, and only the classes
-   that met it are dealt again, with new heads. Two linked sets that met only in such shingles are
-   both among these, so no link is lost. A sample of documents supplies the first such shingles, which
-   affects effort, not results.
-4. A parity bitmap of each set, 32 times smaller than the set, bounds the overlap of two sets from above;
+2. Of any two linked sets, the first 2d + 2 shingles in any common order, with d = n - ceil(3n/4), share more
+   than the d of either. These leads are dealt by shingle, once, and each class gets back those that another
+   class has too, with the number of classes. A class that gets no more than d is linked with nothing and
+   goes; of the others, the rarest c - d of the c shingles met are the heads, of which linked sets share one.
+   A sample of documents supplies shingles that come last in the order of the leads, which affects effort,
+   not results.
+3. Classes with the same least, or the same greatest, shingle hash are compared with a few leaders among them.
+   This costs no more than the sets, finds most links of large clusters, and only those that are exact; what
+   hangs together by them is one group of the matrix.
+4. The heads are dealt by shingle; where classes of different groups meet, those of the group that is smaller
+   there ask the other: (class, group) candidates. Within a group all are linked already.
+5. A parity bitmap of each set, 32 times smaller than the set, bounds the overlap of two sets from above;
    candidates of small groups that fail this bound with every member go.
-5. Each remaining group's token union is held in one place, in chunks of bounded size with the members
+6. Each remaining group's token union is held in one place, in chunks of bounded size with the members
    of each token. A query is opened against the members only if its overlap with the union
    reaches 3/4 of its own size, which bounds every member's similarity; members are then counted exactly.
-6. Links become components by alternating star contractions.
+7. Links become components by alternating star contractions.
 
 Repeated rows, rows with equal or null doc_id and empty texts each keep their row. The component id is
 the least doc_id of the component (null if none has one; an empty set's is its own)."""
@@ -35,11 +39,11 @@ from pagesim.llm.tokens import release_encoders
 from pagesim.session import arrow_batches, materialize
 
 WORDS, PERCENT = 5, 75
-#: A shingle met by more groups or classes than this is moved to the end of the order.
-COMMON_GROUPS, COMMON_CLASSES = 10, 10
-#: Documents drawn for the first common shingles, and how many of them must hold one.
+#: Leaders among classes with a common least or greatest shingle, and how many classes are compared with the same ones.
+COMMON_GROUPS, COMMON_CLASSES = 4, 2048
+#: Documents drawn for the common shingles, and how many of them must hold one.
 SAMPLE_DOCUMENTS, SAMPLE_LEAST = 4096, 3
-#: Most shingles that are moved, the commonest first; beyond, they are joined as they are, at more effort.
+#: Most shingles that are moved to the end of the order, the commonest first.
 MAX_MOVED = 2_000_000
 #: Rows of a table that is small enough to be sent to all executors, checked by a count.
 SMALL_ROWS = 1_000_000
@@ -51,12 +55,10 @@ SLICE_BYTES, ARROW_BYTES = 1 << 18, 1 << 20
 HEADS_AT_ONCE = 4 << 20
 #: Size comparisons at once where classes meet, and most rows of a batch of small rows.
 COMPARED_AT_ONCE, MET_ROWS = 1 << 18, 10_000
-#: Shingles near common ones that are counted at once.
-NEAR_AT_ONCE = 1 << 19
+#: Shingles that a task sorts at once where they meet, about; sorting takes some 80 bytes for each.
+MET_AT_ONCE = 1 << 21
 #: Groups of so many members are bounded member by member before whole sets move.
 SMALL_GROUP = 4
-#: How far from a common shingle, in the text, others are looked for that are common with it.
-REACH = 64
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -92,12 +94,24 @@ def set_key(own: np.ndarray) -> bytes:
 
 def head_of(own: np.ndarray, moved: np.ndarray) -> np.ndarray:
     """The leading shingles of which any linked set has one: those moved come last, else by hash."""
-    n = len(own)
-    size = n - (PERCENT * n + 99) // 100 + 1
+    return _ordered(own, moved)[:spare(len(own)) + 1]
+
+
+def lead_of(own: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """The leading shingles, in the same order, of which any linked set has more than the ``spare`` of either."""
+    return _ordered(own, moved)[:2 * spare(len(own)) + 2]
+
+
+def spare(n):
+    """How many of its n shingles a set may lack in one that it is linked with, at most."""
+    return n - (PERCENT * n + 99) // 100
+
+
+def _ordered(own: np.ndarray, moved: np.ndarray) -> np.ndarray:
     if len(moved):
         late = moved[np.minimum(np.searchsorted(moved, own), len(moved) - 1)] == own
         own = np.concatenate([own[~late], own[late]])
-    return own[:size]
+    return own
 
 
 def parity_bitmap(own: np.ndarray) -> np.ndarray:
@@ -124,9 +138,9 @@ def _signed(x: np.uint64) -> int:
 
 
 def document_sets(docs: DataFrame, moved: np.ndarray) -> DataFrame:
-    """doc_id, th (text hash), n, key, first (least shingle), head and bitmap of every document row."""
+    """doc_id, th (text hash), n, key, first and last (least and greatest shingle), lead and bitmap of every document row."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("key", pa.binary()),
-                        ("first", pa.int64()), ("head", pa.binary()), ("bitmap", pa.binary())])
+                        ("first", pa.int64()), ("last", pa.int64()), ("lead", pa.binary()), ("bitmap", pa.binary())])
 
     def shingle(batches):
         release_encoders()
@@ -134,12 +148,12 @@ def document_sets(docs: DataFrame, moved: np.ndarray) -> DataFrame:
             sets = shingle_sets(batch.column("text").to_pylist())
             cols = [batch.column("doc_id"), batch.column("th"), [len(s) for s in sets],
                     [set_key(s) if len(s) else None for s in sets], [_signed(s[0]) if len(s) else None for s in sets],
-                    [head_of(s, moved).tobytes() if len(s) else None for s in sets],
+                    [_signed(s[-1]) if len(s) else None for s in sets], [lead_of(s, moved).tobytes() if len(s) else None for s in sets],
                     [parity_bitmap(s).tobytes() if len(s) else None for s in sets]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return (narrow(docs).withColumn("th", F.xxhash64("text"))
-            .mapInArrow(shingle, "doc_id long, th long, n int, key binary, first long, head binary, bitmap binary"))
+            .mapInArrow(shingle, "doc_id long, th long, n int, key binary, first long, last long, lead binary, bitmap binary"))
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -167,27 +181,39 @@ def _places(spark: SparkSession, parts: int) -> np.ndarray:
     return out
 
 
-def _deal(classes: DataFrame, spark: SparkSession) -> DataFrame:
-    """The heads (key, n, first, head) dealt by shingle, as packed blocks: one for each task pair."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = _places(spark, parts)
+def _blocks(places: np.ndarray, part: np.ndarray, keys, sizes, firsts, owner: np.ndarray, *tokens: np.ndarray) -> pa.RecordBatch:
+    """Tokens (more arrays may go beside them) and their owners' key, size and group, as one packed row for each part."""
+    order = np.argsort(part.astype(np.min_scalar_type(len(places))), kind="stable")
+    owner, tokens = owner[order], [t[order] for t in tokens]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=len(places)))])
+    rows = []
+    for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        a, b = cuts[p], cuts[p + 1]
+        begin = np.flatnonzero(np.concatenate([[True], owner[a + 1:b] != owner[a:b - 1]]))
+        own, count = owner[a:b][begin], np.diff(np.append(begin, b - a))
+        rows.append((int(places[p]), keys[own].tobytes(), sizes[own].tobytes(), firsts[own].tobytes(),
+                     count.astype("<u4").tobytes(), *(t[a:b].tobytes() for t in tokens)))
+    names = ["place", "keys", "sizes", "firsts", "counts", "tokens", "held"][:5 + len(tokens)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], names=names)
 
-    def blocks(waiting):
-        keys, sizes, firsts, lengths, tokens = (np.concatenate(x) for x in zip(*waiting))
-        owner = np.repeat(np.arange(len(keys), dtype=np.int32), lengths)
-        part = (mix(tokens) % np.uint64(parts)).astype(np.min_scalar_type(parts))
-        order = np.argsort(part, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-        out = []
-        for p in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            a, b = cuts[p], cuts[p + 1]
-            begin = np.flatnonzero(np.concatenate([[True], owner[a + 1:b] != owner[a:b - 1]]))
-            own, count = owner[a:b][begin], np.diff(np.append(begin, b - a))
-            out.append((int(places[p]), keys[own].tobytes(), sizes[own].tobytes(), firsts[own].tobytes(),
-                        count.astype("<u4").tobytes(), tokens[a:b].tobytes()))
-        return out
 
+def _unpacked(batches, *kinds) -> list[np.ndarray]:
+    """The arrays of all packed rows of a partition, or none."""
+    names = ("keys", "sizes", "firsts", "counts", "tokens", "held")
+    cells = [[] for _ in range(5 + len(kinds))]
+    for batch in batches:
+        for out, name, kind in zip(cells, names, ("V16", np.int32, np.int64, "<u4", np.uint64, *kinds)):
+            out.extend(np.frombuffer(cell.as_buffer(), kind) for cell in batch.column(name))
+    return [np.concatenate(cells.pop(0)) for _ in range(len(cells))] if cells[0] else []
+
+
+def _by_key(key: np.ndarray) -> np.ndarray:
+    """The order of keys of 16 bytes."""
+    return np.lexsort(key.view(">u8").astype(np.uint64).reshape(-1, 2).T[::-1])
+
+
+def _deal(classes: DataFrame, places: np.ndarray) -> DataFrame:
+    """The heads (key, n, first, head) dealt by shingle, as packed blocks: one for each task pair."""
     def deal(batches):
         waiting, held = [], 0
         for batch in slices(batches, "head", HEADS_AT_ONCE):
@@ -197,60 +223,105 @@ def _deal(classes: DataFrame, spark: SparkSession) -> DataFrame:
                             np.array([len(h) // 8 for h in heads], np.int64), np.frombuffer(b"".join(heads), np.uint64)))
             held += waiting[-1][-1].nbytes
             if held > HEADS_AT_ONCE:
-                yield packed(blocks(waiting))
+                yield blocks(waiting)
                 waiting, held = [], 0
         if waiting:
-            yield packed(blocks(waiting))
-
-    names = ["place", "keys", "sizes", "firsts", "counts", "tokens"]
+            yield blocks(waiting)
 
-    def packed(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], names=names)
+    def blocks(waiting):
+        keys, sizes, firsts, lengths, tokens = (np.concatenate(x) for x in zip(*waiting))
+        part = (mix(tokens) % np.uint64(len(places))).astype(np.int64)
+        return _blocks(places, part, keys, sizes, firsts, np.repeat(np.arange(len(keys), dtype=np.int32), lengths), tokens)
 
     return (classes.select("key", "n", "first", "head")
             .mapInArrow(deal, "place int, keys binary, sizes binary, firsts binary, counts binary, tokens binary")
-            .repartition(parts, "place"))
+            .repartition(len(places), "place"))
 
 
-def _meet(dealt: DataFrame, moved: np.ndarray, fresh: np.ndarray | None = None) -> DataFrame:
-    """What meets in each shingle. Rows of two kinds: queries (``key`` with a group it met) and common
-    shingles (``hot``) with the number of classes that met there. With ``fresh``, only the queries of the
-    common shingles that are not among these."""
-    schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("hot", pa.int64()), ("number", pa.int64())])
+def able_classes(sets: DataFrame) -> DataFrame:
+    """key and head of each class that may be linked: of the shingles of its lead that other leads hold too, the
+    rarest. Two linked classes share one of their heads. Copies of a set count as one class."""
+    spark = sets.sparkSession
+    total = sets.agg(F.sum(F.octet_length("lead"))).first()[0] or 0
+    places = _places(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * MET_AT_ONCE))))
+    leads = sets.where("n > 0").select("key", "n", F.lit(0).cast("long").alias("first"), F.col("lead").alias("head"))
+
+    def count(batches):
+        if not (cells := _unpacked(batches)):
+            return
+        key, size, first, counts, token = cells
+        order = _by_key(key)
+        new = np.ones(len(key), bool)
+        new[order[1:]] = key[order[1:]] != key[order[:-1]]
+        token, owner = token[np.repeat(new, counts)], np.repeat(np.arange(len(key), dtype=np.int32), counts * new)
+        distinct, at, held = np.unique(token, return_inverse=True, return_counts=True)
+        held = np.minimum(held, 65535).astype("<u2")[at]
+        met = held > 1
+        token, owner, held = token[met], owner[met], held[met]
+        part = (mix(key.view("<u8").reshape(-1, 2)[:, 0]) % np.uint64(len(places))).astype(np.int64)
+        ends = np.searchsorted(owner, np.arange(len(key) + 1))
+        begin = 0
+        while begin < len(key):  # some classes at a time, so that no batch is large
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + HEADS_AT_ONCE // 8, side="right")) - 1)
+            end = min(end, len(key))
+            a, b = ends[begin], ends[end]
+            if b > a:
+                yield _blocks(places, part[owner[a:b]], key, size, first, owner[a:b], token[a:b], held[a:b])
+            begin = end
+
+    def gather(batches):
+        if not (cells := _unpacked(batches, "<u2")):
+            return
+        key, size, _, counts, token, held = cells
+        order = _by_key(key)
+        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        number = np.empty(len(key), np.int32)
+        number[order] = np.cumsum(new) - 1
+        key, size = key[order[new]], size[order[new]].astype(np.int64)
+        owner = np.repeat(number, counts)
+        order = np.lexsort((token, held, owner))
+        token, ends = token[order], np.cumsum(np.bincount(owner, minlength=len(key)))
+        length = np.diff(ends, prepend=0) - spare(size)
+        able = np.flatnonzero(length > 0)
+        for k in range(0, len(able), 1000):
+            some = able[k:k + 1000]
+            starts = np.concatenate([[0], ends])[some].tolist()
+            heads = [token[a:a + n].tobytes() for a, n in zip(starts, length[some].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(key[some].tolist(), pa.binary()), pa.array(heads, pa.binary())], names=["key", "head"])
+
+    return (_deal(leads, places).mapInArrow(count, "place int, keys binary, sizes binary, firsts binary, counts binary, tokens binary, held binary")
+            .repartition(len(places), "place").mapInArrow(gather, "key binary, head binary"))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(key, first): each class and the groups it must be compared with, where their heads meet. Groups are numbered
+    by ``first``; of two that meet, the classes of the one that is smaller there ask the other."""
+    spark = classes.sparkSession
+    total = classes.agg(F.sum(F.octet_length("head"))).first()[0] or 0
+    places = _places(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * MET_AT_ONCE))))
 
     def meet(batches):
-        cells = [[], [], [], [], []]
-        for batch in batches:
-            for out, name, kind in zip(cells, ("keys", "sizes", "firsts", "counts", "tokens"), ("V16", np.int32, np.int64, "<u4", np.uint64)):
-                out.extend(np.frombuffer(cell.as_buffer(), kind) for cell in batch.column(name))
-        if not cells[0]:
+        if not (cells := _unpacked(batches)):
             return
-        key, size, first, count, token = (np.concatenate(cells.pop(0)) for _ in range(5))
-        # classes are numbered by their keys: of two, the one with the greater number asks
-        order = np.lexsort(key.view(">u8").astype(np.uint64).reshape(-1, 2).T[::-1])
+        key, size, first, count, token = cells
+        # classes are numbered by the size of their groups: of two, the one with the greater number asks
+        order = _by_key(key)
+        place, new = np.empty(len(key), np.int64), np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        place[order] = np.cumsum(new) - 1
+        key, size, first = key[order[new]], size[order[new]].astype(np.int64), first[order[new]]
+        groups, group, members = np.unique(first, return_inverse=True, return_counts=True)
+        order = np.lexsort((group, -members[group]))
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
-        owner = np.repeat(number, count)
-        key, size = key[order], size[order].astype(np.int64)
-        groups, group = np.unique(first[order], return_inverse=True)
+        owner = np.repeat(number[place], count)
+        key, size, group = key[order], size[order], group[order]
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(begin, len(token)))
-        begin, length = begin[length > 1], length[length > 1]
-        token = token[begin]
-        common = length > COMMON_CLASSES
-        for n in range(COMMON_GROUPS + 1, COMMON_CLASSES + 1):
-            at = np.flatnonzero(length == n)
-            there = np.sort(group[owner[begin[at][:, None] + np.arange(n)]], axis=1)
-            common[at] = (there[:, 1:] != there[:, :-1]).sum(axis=1) >= COMMON_GROUPS
-        if len(moved) >= MAX_MOVED:
-            common[:] = False
-        elif len(moved):
-            common &= ~_among(token, moved)
-        asked = ~common if fresh is None else common & ~_among(token, fresh)
+        apart = np.minimum.reduceat(group[owner], begin) < np.maximum.reduceat(group[owner], begin)
         codes, held = [], 0
-        for met in _candidates(begin[asked], length[asked], owner, size, group):
+        for met in _candidates(begin[apart], length[apart], owner, size, group, apart=True):
             codes.append(met[0] * len(groups) + met[1])
             held += len(codes[-1])
             if held > 1 << 20:
@@ -259,15 +330,9 @@ def _meet(dealt: DataFrame, moved: np.ndarray, fresh: np.ndarray | None = None)
         codes = np.unique(np.concatenate(codes)) if codes else np.empty(0, np.int64)
         for at in range(0, len(codes), MET_ROWS):
             asks, told = np.divmod(codes[at:at + MET_ROWS], len(groups))
-            yield pa.RecordBatch.from_arrays([pa.array(key[asks].tolist(), pa.binary()), pa.array(groups[told], pa.int64()),
-                                              pa.nulls(len(asks), pa.int64()), pa.nulls(len(asks), pa.int64())], schema=schema)
-        hot, number = (token[common].view(np.int64), length[common]) if fresh is None else (token[:0], length[:0])
-        for at in range(0, len(hot), MET_ROWS):
-            some = hot[at:at + MET_ROWS]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int64()),
-                                              pa.array(number[at:at + MET_ROWS], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(key[asks].tolist(), pa.binary()), pa.array(groups[told], pa.int64())], names=["key", "first"])
 
-    return dealt.mapInArrow(meet, "key binary, first long, hot long, number long")
+    return _deal(classes, places).mapInArrow(meet, "key binary, first long").distinct()
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -275,23 +340,10 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _holding(classes: DataFrame, fresh: np.ndarray) -> DataFrame:
-    """The keys of the classes whose heads hold one of these shingles."""
-    def hold(batches):
-        for batch in slices(batches, "head", SLICE_BYTES):
-            heads = [np.frombuffer(h, np.uint64) for h in batch.column("head").to_pylist()]
-            if heads:
-                owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-                flags = np.bincount(owner, weights=_among(np.concatenate(heads), fresh), minlength=len(heads)) > 0
-                kept = batch.filter(pa.array(flags))
-                yield pa.RecordBatch.from_arrays([kept.column("key")], names=["key"])
-
-    return classes.select("key", "head").mapInArrow(hold, "key binary").distinct()
-
-
-def _candidates(begin, length, owner, size, group):
+def _candidates(begin, length, owner, size, group, apart=False):
     """Yields (classes, groups): each class and each group that has a class of fitting size and lesser number
-    in the same shingle, often repeated. A shingle's classes stand in ``owner`` from ``begin``, ascending."""
+    in the same shingle, often repeated. A shingle's classes stand in ``owner`` from ``begin``, ascending.
+    With ``apart``, only groups that are not the class's own."""
     for n in np.unique(length).tolist():
         at = begin[length == n]
         if n <= 16:  # shingles met by equally many are compared at once, one pair of places after another
@@ -301,6 +353,7 @@ def _candidates(begin, length, owner, size, group):
                 for i in range(1, n):
                     for j in range(i):
                         fits = (100 * sizes[j] >= PERCENT * sizes[i]) & (100 * sizes[i] >= PERCENT * sizes[j])
+                        fits &= (groups[i] != groups[j]) | (not apart)
                         yield own[i][fits].astype(np.int64), groups[j][fits]
             continue
         step = max(1, COMPARED_AT_ONCE // n)
@@ -308,10 +361,14 @@ def _candidates(begin, length, owner, size, group):
             by = np.argsort(group[own], kind="stable")
             told, groups = size[own][by], group[own][by]
             starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-            for k in range(0, n, step):
+            # classes of the first one's group, which come first, have no other group before them
+            for k in range(int((group[own] == group[own[0]]).argmin()) if apart else 0, n, step):
                 asks, place = size[own[k:k + step], None], np.arange(k, min(n, k + step))[:, None]
                 fits = (100 * told >= PERCENT * asks) & (100 * asks >= PERCENT * told) & (by < place)
-                rows, columns = np.nonzero(np.logical_or.reduceat(fits, starts, axis=1))
+                met = np.logical_or.reduceat(fits, starts, axis=1)
+                if apart:
+                    met &= group[own[k:k + step], None] != groups[starts]
+                rows, columns = np.nonzero(met)
                 yield own[k + rows].astype(np.int64), groups[starts][columns]
 
 
@@ -325,73 +382,16 @@ def _near(docs: DataFrame, wanted: DataFrame, keep: str | None = None) -> DataFr
     return docs.join(F.broadcast(there) if few else there, at, "inner" if keep else "left_semi")
 
 
-def candidates(docs: DataFrame, sets: DataFrame, moved: np.ndarray) -> DataFrame:
-    """(key, first): each class and the groups it must be compared with, in rounds until no shingle is common."""
-    spark = docs.sparkSession
-    classes = sets.where("n > 0").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "first", "head")))
-    places = sets.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("at"))
-    found, heads = None, sets.where("n > 0")
-    while True:
-        met = materialize(_meet(_deal(classes, spark), moved), "shingle-candidates")
-        some = met.where("first is not null").select("key", "first")
-        found = some if found is None else found.unionAll(some)
-        # each shingle meets in one task, so none is listed twice
-        common = met.where("hot is not null")
-        hot = common.orderBy(F.desc("number"), "hot").limit(MAX_MOVED - len(moved)).select("hot").collect()
-        if not hot:
-            return found.distinct()
-        fresh = np.sort(np.array([r.hot for r in hot], np.int64).view(np.uint64))
-        if common.count() > len(fresh):  # no room for the others: they are joined as they are, in the same round
-            rest = materialize(_meet(_deal(classes, spark), moved, fresh), "shingle-rest")
-            found = found.unionAll(rest.select("key", "first"))
-        moved = np.union1d(moved, fresh)
-        again = _holding(heads, fresh)
-        wanted = materialize(again.join(places, "key").select("at.doc_id", "at.th"), "shingle-again")
-        moved = np.union1d(moved, _spread(_near(docs, wanted), fresh, MAX_MOVED - len(moved)))
-        classes = heads = materialize(document_sets(_near(docs, wanted), moved).where("n > 0").drop("bitmap"), "shingle-heads").dropDuplicates(["key"])
-
-
-def _spread(docs: DataFrame, fresh: np.ndarray, limit: int) -> np.ndarray:
-    """Shingles that stand near the fresh common ones in more than ``COMMON_CLASSES`` of these documents:
-    mostly the rest of the same common passage, which would else take a round for each part."""
-    def counted(found):  # what is common stands here more than once
-        own, number = np.unique(np.concatenate(found), return_counts=True)
-        own, number = own[number > 1], number[number > 1]
-        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(number)], names=["h", "n"])
-
-    def around(batches):
-        found, held = [], 0
-        for batch in slices(batches, limit=SLICE_BYTES):
-            for hashes in shingle_runs(batch.column("text").to_pylist()):
-                at = np.flatnonzero(_among(hashes, fresh))
-                if len(at):
-                    near = np.zeros(len(hashes) + 1, np.int64)
-                    np.add.at(near, np.maximum(at - REACH, 0), 1)
-                    np.add.at(near, np.minimum(at + REACH + 1, len(hashes)), -1)
-                    found.append(np.unique(hashes[np.cumsum(near)[:-1] > 0]))
-                    held += len(found[-1])
-            if held > NEAR_AT_ONCE:
-                yield counted(found)
-                found, held = [], 0
-        if found:
-            yield counted(found)
-
-    rows = (docs.select("text").mapInArrow(around, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-            .where(F.col("n") > COMMON_CLASSES).orderBy(F.col("n").desc(), "h").limit(max(0, limit)).select("h").collect())
-    return np.array([r.h for r in rows], np.int64).view(np.uint64)
-
-
 def _bounded(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` without those whose bitmaps rule out every member of a small group."""
-    slim = sets.where("n > 0").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "first", "bitmap")))
+    slim = sets.select("key", "n", "first", "bitmap")
     members = materialize(slim.join(pairs.select("first").distinct(), "first", "left_semi"), "bitmap-members")
     number = members.groupBy("first").count()
     sized = materialize(pairs.join(number, "first"), "bitmap-pairs")
     asks = (sized.where(F.col("count") <= SMALL_GROUP).select("key", "first")
             .join(slim.select("key", F.col("n").alias("m"), F.col("bitmap").alias("mine")), "key"))
-    told = members.join(number.where(F.col("count") <= SMALL_GROUP), "first").select("first", "n", "bitmap", F.col("key").alias("other"))
-    both = asks.join(told, "first").where((F.col("other") < F.col("key")) & (100 * F.col("n") >= PERCENT * F.col("m"))
-                                          & (100 * F.col("m") >= PERCENT * F.col("n")))
+    told = members.join(number.where(F.col("count") <= SMALL_GROUP), "first").select("first", "n", "bitmap")
+    both = asks.join(told, "first").where((100 * F.col("n") >= PERCENT * F.col("m")) & (100 * F.col("m") >= PERCENT * F.col("n")))
 
     def bound(batches):
         for batch in slices(batches, "mine", SLICE_BYTES):
@@ -404,26 +404,10 @@ def _bounded(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.unionAll(sized.where(F.col("count") > SMALL_GROUP).select("key", "first"))
 
 
-def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): keys of linked classes, enough of them to connect all that are linked.
-
-    A class is told which chunks it belongs to or asks; its set is made from its text again and goes to
-    these, which is the one time that whole sets move."""
-    spark = docs.sparkSession
-    slim = sets.where("n > 0").groupBy("key").agg(
-        F.first("n").alias("n"), F.first("first").alias("first"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("at"))
-    members = materialize(slim.join(pairs.select("first").distinct(), "first", "left_semi"), "group-members")
-    asked = materialize(pairs.join(slim.select("key", "n", "at"), "key"), "group-queries")
-    size = lambda t: F.ceil(F.sum("n") / CHUNK).cast("int")
-    chunks = members.groupBy("first").agg(size("n").alias("parts")).join(asked.groupBy("first").agg(size("n").alias("rounds")), "first")
-    chunk = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = members.join(chunks, "first").select(
-        "first", chunk("key", "parts").alias("part"), every("rounds").alias("round"), F.lit(0).alias("side"), "key", "at")
-    right = asked.join(chunks, "first").select(
-        "first", every("parts").alias("part"), chunk("key", "rounds").alias("round"), F.lit(1).alias("side"), "key", "at")
-    told = materialize(left.unionAll(right).groupBy("key").agg(
+def _placed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The whole sets (own) of ``rows`` (first, part, round, side, key, at), side by side: a class is told where it is
+    wanted, and its set is made from its text again and goes there."""
+    told = materialize(rows.groupBy("key").agg(
         F.first("at").alias("at"), F.collect_list(F.struct("first", "part", "round", "side")).alias("to")), "group-places")
     there = told.select("at.doc_id", "at.th", "to")
     schema = pa.schema([("first", pa.int64()), ("part", pa.int32()), ("round", pa.int32()), ("side", pa.int32()),
@@ -444,10 +428,60 @@ def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = (_near(docs, there, keep="to").select("text", "to")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (_near(docs, there, keep="to").select("text", "to")
             .mapInArrow(shingle, "first long, part int, round int, side int, key binary, own binary")
             .repartition(parts, "first", "part", "round").sortWithinPartitions("first", "part", "round", "side"))
+
+
+def leaders(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): keys of linked classes, found by comparing the classes of each least and each greatest shingle with
+    leaders: the class of the least key, and the next few of the same part that are linked with none before."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("round"), F.col(c).alias("value")) for k, c in enumerate(("least", "greatest")))))
+    rows = classes.select("key", "at", kinds.alias("kind")).select("key", "at", F.col("kind.round").alias("round"), F.col("kind.value").alias("first"))
+    groups = (rows.groupBy("first", "round").agg(F.min("key").alias("leader"), F.count("*").alias("number")).where("number > 1")
+              .withColumn("parts", F.ceil(F.col("number") / COMMON_CLASSES).cast("int")))
+    rows = materialize(rows.join(groups, ["first", "round"]), "leader-groups")
+    leads = rows.where("key = leader").select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "round", F.lit(0).alias("side"), "key", "at")
+    others = rows.where("key <> leader").select("first", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "round", F.lit(1).alias("side"), "key", "at")
+    edges = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def compare(batches):
+        name, held = None, []
+        for batch in slices(batches, "own", ARROW_BYTES):
+            out = []
+            for first, part, round_, _, key, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != (first, part, round_):
+                    name, held = (first, part, round_), []
+                own = np.frombuffer(own, np.uint64)
+                for leader, other in held:
+                    if 100 * min(len(own), len(other)) >= PERCENT * max(len(own), len(other)):
+                        common = int(_among(own, other).sum())
+                        if 100 * common >= PERCENT * (len(own) + len(other) - common):
+                            out.append((max(key, leader), min(key, leader)))
+                            break
+                else:
+                    if len(held) < COMMON_GROUPS:
+                        held.append((key, own))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], schema=edges)
+
+    return _placed(docs, leads.unionAll(others)).mapInArrow(compare, "a binary, b binary")
+
+
+def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): keys of linked classes, enough of them to connect all candidates that are linked."""
+    slim = sets.select("key", "n", "first", "at")
+    members = materialize(slim.join(pairs.select("first").distinct(), "first", "left_semi"), "group-members")
+    asked = materialize(pairs.join(slim.select("key", "n", "at"), "key"), "group-queries")
+    size = lambda t: F.ceil(F.sum("n") / CHUNK).cast("int")
+    chunks = members.groupBy("first").agg(size("n").alias("parts")).join(asked.groupBy("first").agg(size("n").alias("rounds")), "first")
+    chunk = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(chunks, "first").select(
+        "first", chunk("key", "parts").alias("part"), every("rounds").alias("round"), F.lit(0).alias("side"), "key", "at")
+    right = asked.join(chunks, "first").select(
+        "first", every("parts").alias("part"), chunk("key", "rounds").alias("round"), F.lit(1).alias("side"), "key", "at")
     edges = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def compare(batches):
@@ -462,7 +496,7 @@ def links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
         if out := state.edges():
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], schema=edges)
 
-    return rows.mapInArrow(compare, "a binary, b binary")
+    return _placed(docs, left.unionAll(right)).mapInArrow(compare, "a binary, b binary")
 
 
 class _Group:
@@ -538,9 +572,18 @@ def join_similar(docs: DataFrame) -> DataFrame:
     with arrow_batches(docs.sparkSession, ARROW_BYTES):
         moved = common_shingles(docs)
         sets = materialize(document_sets(docs, moved), "document-sets")
-        pairs = materialize(candidates(docs, sets, moved), "group-candidates")
-        pairs = materialize(_bounded(sets, pairs), "group-bounded")
-        found = components(links(docs, sets, pairs))
+        able = materialize(able_classes(sets), "able-classes")
+        known = sets.where("n > 0").join(able, "key").groupBy("key").agg(
+            *(F.first(c).alias(c) for c in ("n", "head", "bitmap")), F.first("first").alias("least"), F.first("last").alias("greatest"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("at"))
+        known = materialize(known, "able-known")
+        found = components(leaders(docs, known))
+        roots = found.select(F.col("a").alias("key"), F.col("b").alias("root"))
+        classes = materialize(known.join(roots, "key", "left").select(
+            "key", "n", "head", "bitmap", "at", F.xxhash64(F.coalesce("root", "key")).alias("first")), "grouped-classes")
+        pairs = materialize(candidates(classes), "group-candidates")
+        pairs = materialize(_bounded(classes, pairs), "group-bounded")
+        found = components(found.unionAll(links(docs, classes, pairs)))
     named = sets.select("doc_id", "th", "n", "key").join(found.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
     named = named.withColumn("part", F.coalesce("root", "key"))
     least = named.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))

@@ -379,3 +379,50 @@ def test_secrets_of_awkward_rows(awkward, documents):
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in AWKWARD)
     assert all(r.spans == "" for r in rows if r.doc_id in (3, 4, 5, None))
     assert secrets.scan_secrets(documents([])).collect() == []
+
+
+def test_leads_of_linked_sets_share_more_than_either_may_lack():
+    for n in range(1, 400):
+        for m in range(-(-75 * n // 100), n + 1):
+            common = -(-75 * (n + m) // 175)  # the least that links them
+            if common <= m:
+                kept = [min(k, 2 * ngram_join.spare(k) + 2) - (k - common) for k in (n, m)]
+                assert min(kept) > max(ngram_join.spare(n), ngram_join.spare(m)), (n, m)
+    own = np.arange(4, dtype=np.uint64)
+    assert ngram_join.lead_of(own, own[:1]).tolist() == [1, 2, 3, 0] and ngram_join.spare(4) == 1
+
+
+def met_candidates(docs, monkeypatch):
+    """How many classes may be linked, and the candidates that the join made of them."""
+    seen, inner = {}, ngram_join.candidates
+
+    def candidates(classes):
+        seen["able"], seen["met"] = classes.count(), inner(classes)
+        return seen["met"]
+
+    monkeypatch.setattr(ngram_join, "candidates", candidates)
+    ngram_join.join_similar(docs).collect()
+    return seen["able"], seen["met"].count()
+
+
+def test_passages_met_by_chance_make_no_candidates(documents, monkeypatch):
+    """Each text quotes four others in six words each: the pairs that meet grow with the square of the texts."""
+    draw = random.Random(5)
+    quotes = [" ".join(f"q{p}x{k}" for k in range(6)) for p in range(12)]
+    rows = [(d, " ".join(" ".join(f"d{d}x{k}x{i}" for i in range(12)) + " " + q for k, q in enumerate(draw.sample(quotes, 4))))
+            for d in range(60)]
+    assert met_candidates(documents(rows), monkeypatch) == (0, 0)
+
+
+def test_candidates_of_a_large_cluster_of_near_copies_do_not_grow_with_its_square(documents, monkeypatch):
+    base = [f"u{k}" for k in range(120)]
+
+    def copy(c):
+        draw, words = random.Random(c), list(base)
+        words[draw.randrange(len(words))] = f"v{draw.randrange(20)}"
+        return " ".join(words)
+
+    rows = [(c, copy(c)) for c in range(150)]
+    same_join(documents(rows), rows)
+    able, met = met_candidates(documents(rows), monkeypatch)
+    assert able > 140 and met < 2 * able
