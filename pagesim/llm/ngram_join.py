@@ -16,8 +16,9 @@ links with nothing. Documents link when 100 * intersection >= 75 * union.
    hangs together by them is one group of the matrix.
 4. The heads are dealt by shingle; where classes of different groups meet, those of the group that is smaller
    there ask the other: (class, group) candidates. Within a group all are linked already.
-5. A parity bitmap of each set, 32 times smaller than the set, bounds the overlap of two sets from above;
-   candidates of small groups that fail this bound with every member go.
+5. A parity bitmap of each set, 32 times smaller than the set, bounds the overlap of two sets from above; classes
+   that its least form rules out do not meet, and candidates of small groups that fail the bound with every
+   member go.
 6. Each remaining group's token union is held in one place, in chunks of bounded size with the members
    of each token. A query is opened against the members only if its overlap with the union
    reaches 3/4 of its own size, which bounds every member's similarity; members are then counted exactly.
@@ -57,6 +58,8 @@ HEADS_AT_ONCE = 4 << 20
 COMPARED_AT_ONCE, MET_ROWS = 1 << 18, 10_000
 #: Shingles that a task sorts at once where they meet, about; sorting takes some 80 bytes for each.
 MET_AT_ONCE = 1 << 21
+#: Bytes of a bitmap that go with a class to where it meets others: the least that a bitmap has.
+PRINT_BYTES = 64
 #: Groups of so many members are bounded member by member before whole sets move.
 SMALL_GROUP = 4
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -197,12 +200,12 @@ def _blocks(places: np.ndarray, part: np.ndarray, keys, sizes, firsts, owner: np
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], names=names)
 
 
-def _unpacked(batches, *kinds) -> list[np.ndarray]:
+def _unpacked(batches, *kinds, key="V16") -> list[np.ndarray]:
     """The arrays of all packed rows of a partition, or none."""
     names = ("keys", "sizes", "firsts", "counts", "tokens", "held")
     cells = [[] for _ in range(5 + len(kinds))]
     for batch in batches:
-        for out, name, kind in zip(cells, names, ("V16", np.int32, np.int64, "<u4", np.uint64, *kinds)):
+        for out, name, kind in zip(cells, names, (key, np.int32, np.int64, "<u4", np.uint64, *kinds)):
             out.extend(np.frombuffer(cell.as_buffer(), kind) for cell in batch.column(name))
     return [np.concatenate(cells.pop(0)) for _ in range(len(cells))] if cells[0] else []
 
@@ -218,7 +221,8 @@ def _deal(classes: DataFrame, places: np.ndarray) -> DataFrame:
         waiting, held = [], 0
         for batch in slices(batches, "head", HEADS_AT_ONCE):
             heads = batch.column("head").to_pylist()
-            waiting.append((np.frombuffer(b"".join(batch.column("key").to_pylist()), "V16"),
+            keys = batch.column("key").to_pylist()
+            waiting.append((np.frombuffer(b"".join(keys), f"V{len(keys[0])}"),
                             np.array(batch.column("n"), np.int32), np.array(batch.column("first"), np.int64),
                             np.array([len(h) // 8 for h in heads], np.int64), np.frombuffer(b"".join(heads), np.uint64)))
             held += waiting[-1][-1].nbytes
@@ -295,33 +299,48 @@ def able_classes(sets: DataFrame) -> DataFrame:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """(key, first): each class and the groups it must be compared with, where their heads meet. Groups are numbered
-    by ``first``; of two that meet, the classes of the one that is smaller there ask the other."""
+    by ``first``; of two that meet, the classes of the one that is smaller there ask the other. Bitmaps, folded to
+    ``PRINT_BYTES``, go with the keys: two classes that they rule out do not meet."""
     spark = classes.sparkSession
     total = classes.agg(F.sum(F.octet_length("head"))).first()[0] or 0
     places = _places(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * MET_AT_ONCE))))
 
+    def fold(batches):
+        for batch in slices(batches, "head", HEADS_AT_ONCE):
+            prints = [np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, PRINT_BYTES)).tobytes() for b in batch.column("bitmap").to_pylist()]
+            keys = pa.array([k + p for k, p in zip(batch.column("key").to_pylist(), prints)], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, *(batch.column(c) for c in ("n", "first", "head"))], names=["key", "n", "first", "head"])
+
     def meet(batches):
-        if not (cells := _unpacked(batches)):
+        if not (cells := _unpacked(batches, key=f"V{16 + PRINT_BYTES}")):
             return
         key, size, first, count, token = cells
+        cells = key.view(np.uint8).reshape(-1, 16 + PRINT_BYTES)
+        key, prints = np.ascontiguousarray(cells[:, :16]).view("V16")[:, 0], np.ascontiguousarray(cells[:, 16:]).view(np.uint64)
         # classes are numbered by the size of their groups: of two, the one with the greater number asks
         order = _by_key(key)
         place, new = np.empty(len(key), np.int64), np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
         place[order] = np.cumsum(new) - 1
-        key, size, first = key[order[new]], size[order[new]].astype(np.int64), first[order[new]]
+        key, size, first, prints = key[order[new]], size[order[new]].astype(np.int64), first[order[new]], prints[order[new]]
         groups, group, members = np.unique(first, return_inverse=True, return_counts=True)
         order = np.lexsort((group, -members[group]))
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
         owner = np.repeat(number[place], count)
-        key, size, group = key[order], size[order], group[order]
+        key, size, group, prints = key[order], size[order], group[order], prints[order]
+
+        def fit(a, b):  # see may_link
+            both = size[a] + size[b]
+            differ = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1).astype(np.int64)
+            return (100 + PERCENT) * (both - differ) >= 2 * PERCENT * both
+
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(np.append(begin, len(token)))
         apart = np.minimum.reduceat(group[owner], begin) < np.maximum.reduceat(group[owner], begin)
         codes, held = [], 0
-        for met in _candidates(begin[apart], length[apart], owner, size, group, apart=True):
+        for met in _candidates(begin[apart], length[apart], owner, size, group, fit):
             codes.append(met[0] * len(groups) + met[1])
             held += len(codes[-1])
             if held > 1 << 20:
@@ -332,7 +351,8 @@ def candidates(classes: DataFrame) -> DataFrame:
             asks, told = np.divmod(codes[at:at + MET_ROWS], len(groups))
             yield pa.RecordBatch.from_arrays([pa.array(key[asks].tolist(), pa.binary()), pa.array(groups[told], pa.int64())], names=["key", "first"])
 
-    return _deal(classes, places).mapInArrow(meet, "key binary, first long").distinct()
+    printed = classes.select("key", "n", "first", "head", "bitmap").mapInArrow(fold, "key binary, n int, first long, head binary")
+    return _deal(printed, places).mapInArrow(meet, "key binary, first long").distinct()
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -340,10 +360,10 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _candidates(begin, length, owner, size, group, apart=False):
+def _candidates(begin, length, owner, size, group, fit=None):
     """Yields (classes, groups): each class and each group that has a class of fitting size and lesser number
     in the same shingle, often repeated. A shingle's classes stand in ``owner`` from ``begin``, ascending.
-    With ``apart``, only groups that are not the class's own."""
+    With ``fit``, which says of two arrays of classes which may be linked, only such and in groups not their own."""
     for n in np.unique(length).tolist():
         at = begin[length == n]
         if n <= 16:  # shingles met by equally many are compared at once, one pair of places after another
@@ -353,7 +373,9 @@ def _candidates(begin, length, owner, size, group, apart=False):
                 for i in range(1, n):
                     for j in range(i):
                         fits = (100 * sizes[j] >= PERCENT * sizes[i]) & (100 * sizes[i] >= PERCENT * sizes[j])
-                        fits &= (groups[i] != groups[j]) | (not apart)
+                        if fit:
+                            fits &= groups[i] != groups[j]
+                            fits[fits] = fit(own[i][fits], own[j][fits])
                         yield own[i][fits].astype(np.int64), groups[j][fits]
             continue
         step = max(1, COMPARED_AT_ONCE // n)
@@ -362,13 +384,14 @@ def _candidates(begin, length, owner, size, group, apart=False):
             told, groups = size[own][by], group[own][by]
             starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
             # classes of the first one's group, which come first, have no other group before them
-            for k in range(int((group[own] == group[own[0]]).argmin()) if apart else 0, n, step):
+            for k in range(int((group[own] == group[own[0]]).argmin()) if fit else 0, n, step):
                 asks, place = size[own[k:k + step], None], np.arange(k, min(n, k + step))[:, None]
                 fits = (100 * told >= PERCENT * asks) & (100 * asks >= PERCENT * told) & (by < place)
-                met = np.logical_or.reduceat(fits, starts, axis=1)
-                if apart:
-                    met &= group[own[k:k + step], None] != groups[starts]
-                rows, columns = np.nonzero(met)
+                if fit:
+                    fits &= group[own[k:k + step], None] != groups
+                    rows, columns = np.nonzero(fits)
+                    fits[rows, columns] = fit(own[k + rows], own[by[columns]])
+                rows, columns = np.nonzero(np.logical_or.reduceat(fits, starts, axis=1))
                 yield own[k + rows].astype(np.int64), groups[starts][columns]
 
 
