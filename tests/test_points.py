@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from pagesim.functions.kernel import kernel
 from pagesim.operators import nearest as N
 from pagesim.operators.prototypes import fpf_cluster
 
@@ -72,3 +73,13 @@ def test_equal_points_are_measured_once(spark):
     points = np.array([[1.0, 2.0]] * 300 + [[1.0, 2.5]] * 300)
     assert N.farthest_on_average(table(spark, points[::-1], range(600, 0, -1)), distance="l2", report=report) == 1
     assert report[0]["measured"] <= N.FIRST_MEASURED + 2
+
+
+def test_near_pairs_of_very_different_sizes():
+    """A strip's near pairs are measured by their gaps, whichever rows they lie in."""
+    l2, draw = kernel("l2"), np.random.default_rng(8)
+    points = draw.normal(size=(60, 5)) * 10.0 ** np.repeat([0, 3, 6], 20)[:, None]
+    points = np.concatenate([points, points + 1e-7, points[:5]])
+    found = l2.matrix(list(points), list(points))
+    want = apart(points, points)
+    assert np.allclose(found, want, rtol=1e-9, atol=0.0) and ((found == 0) == (want == 0)).all()
