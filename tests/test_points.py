@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pagesim.functions.kernel import kernel
+from pagesim.functions.kernel import L2Closest, kernel
 from pagesim.operators import nearest as N
 from pagesim.operators.prototypes import fpf_cluster
 
@@ -75,6 +75,53 @@ def test_equal_points_are_measured_once(spark):
     assert report[0]["measured"] <= N.FIRST_MEASURED + 2
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_queries_of_a_cell_come_in_parts(spark, monkeypatch, exclude_self):
+    monkeypatch.setattr(N, "CELL_BLOCK", 8)
+    cells, partitions = [], N._cell_partitions
+    monkeypatch.setattr(N, "_cell_partitions", lambda session, n: cells.append(n) or partitions(session, n))
+    points = np.concatenate([directions(240, 12), directions(240, 12)[:30], directions(240, 12)[:30] + 1e-9, [[5.0] * 12] * 3])
+    keys = np.random.default_rng(1).permutation(len(points))
+    df = table(spark, points, keys)
+    few = df.where("idx < 30") if not exclude_self else df
+    out = N.nearest(df, few.withColumnRenamed("idx", "nearest"), key="idx", order_col="nearest", distance="l2", exclude_self=exclude_self).collect()
+    assert max(cells) >= len(points) / 16  # no cell takes more than 16 queries with 8 samples
+    got, l2 = {r.idx: (r.min_distance, r.nearest) for r in out}, kernel("l2")
+    assert len(out) == len(points)
+    for k, p in zip(keys, points):
+        want = min((l2.pair(p, q), int(o)) for o, q in zip(keys, points) if (exclude_self or o < 30) and not (exclude_self and o == k))
+        assert abs(got[k][0] - want[0]) < 1e-12 and (got[k][1] == want[1] or abs(l2.pair(p, points[keys == got[k][1]][0]) - want[0]) < 1e-15)
+
+
+@pytest.mark.parametrize("kind", ["plain", "far", "tight", "wild", "equal"])
+def test_closest_points_by_single_precision(kind):
+    """Whatever the values, the closest point is among the found ones, with its exact distance."""
+    draw = np.random.default_rng(3)
+    points, asks = draw.normal(size=(400, 16)), draw.normal(size=(50, 16))
+    if kind == "far":
+        points, asks = points + 1e6, asks + 1e6
+    elif kind == "tight":
+        points, asks = points * 1e-9 + 1.0, asks * 1e-9 + 1.0
+    elif kind == "wild":
+        points, asks = points * 10.0 ** draw.integers(-12, 12, size=(400, 1)), asks * 10.0 ** draw.integers(-30, 30, size=(50, 1))
+    elif kind == "equal":
+        points, asks[:10] = np.ones((400, 16)), 1.0
+    closest, none = L2Closest(points), (np.zeros(0, int), np.zeros(0, int))
+    d = apart(asks, points)
+    for reach in (np.full(50, np.inf), d.min(1), d.min(1) / 2 - 1e-3):
+        i, j, found = closest.near(asks, reach, 0, 400, none)
+        assert np.allclose(found, d[i, j], rtol=1e-12)
+        for row in range(50):
+            if d[row].min() <= reach[row]:
+                assert d[row].argmin() in j[i == row]
+    if kind == "plain":
+        assert len(closest.near(asks, np.full(50, np.inf), 0, 400, none)[0]) < 60
+        i, j, _ = closest.near(asks, np.full(50, np.inf), 100, 300, (np.arange(50), d[:, 100:300].argmin(1)))
+        d[:, :100], d[:, 300:] = np.inf, np.inf
+        d[np.arange(50), d.argmin(1)] = np.inf
+        assert all(d[row].argmin() in j[i == row] for row in range(50))
+
+
 def test_near_pairs_of_very_different_sizes():
     """A strip's near pairs are measured by their gaps, whichever rows they lie in."""
     l2, draw = kernel("l2"), np.random.default_rng(8)
